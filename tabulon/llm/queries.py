@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, chat, embedding_join, exact_dedup, mixing, ngram_join, pii, token_counts
+from tabulon.llm import bpe, chat, embedding_join, exact_dedup, lm, mixing, ngram_join, pii, token_counts, toxicity
 from tabulon.llm.common import read_table
 
 #: Where the public vocabulary of byte-level BPE lies; a parameter of every function that takes a path.
@@ -35,6 +36,14 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: Rows that a query learns nothing from, by the CRC-32 of the key's decimal text.
+HELD_OUT = "pmod(crc32(CAST(doc_id AS STRING)), {}) = {}"
+
+
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read_table(spark, sf_dir, "documents"), held_out=HELD_OUT.format(7, 2))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +59,19 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_spans(read_table(spark, sf_dir, "documents"))
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from the labelled rows that are not held out."""
+    labels = read_table(spark, sf_dir, "labels").where(~F.expr(HELD_OUT.format(5, 0)))
+    return toxicity.learn(docs, labels)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    held_out = F.coalesce(F.expr(HELD_OUT.format(5, 0)), F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -59,9 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_lm_scores": op5_lm_scores,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_personal_data": op8_personal_data,
+    "op9_toxicity": op9_toxicity,
     "op10_embedding_join": op10_embedding_join,
 }
 
