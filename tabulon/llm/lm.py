@@ -11,7 +11,8 @@ unknown words. So the probabilities of all known words and the unknown ones sum
 Statistics cover every training document: word counts, follow counts, and gradients. Training makes ROUNDS passes over
 disjoint thirds of the training documents: each task takes gradient steps (Adagrad, small batches) from the shared weights
 on its share, and its changes are averaged by row, weighted by how many steps touched the row. The head vocabulary and the
-weights have a fixed size whatever the corpus; the counts of the other words grow with it and are joined, not broadcast.
+weights have a fixed size whatever the corpus. Of the other words the most frequent SENT_WORDS travel to all tasks as a
+sorted table of hashes and counts, also of a fixed size; the rare rest, which grows with the corpus, is joined.
 
 Scores are in sparse batches: only the weight rows of the features at hand are gathered.
 
@@ -50,6 +51,8 @@ RATE = 0.15
 #: Words counted in a task before it hands the counts on.
 COUNTED_WORDS = 400_000
 ROWS_A_BLOCK = 1024
+#: Words beyond the head whose counts are sent to all tasks, at most (12 bytes each).
+SENT_WORDS = 500_000
 #: Words whose ids a worker remembers.
 WORDS_REMEMBERED = 300_000
 #: ASCII capitals to small letters, nothing else.
@@ -318,16 +321,46 @@ def _follow(head, anchors: dict[int, int]):
     return run
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, model double, tails array<struct<word: binary, n: int>>"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_near long, near_base double, model double, rare array<struct<word: binary, n: int>>"
 
 
-def _score(head, shared, counts, base_log: float):
-    """counts: training counts of head words by id."""
+class Counts:
+    """Training counts of the words sent to all tasks, by a 64-bit hash; -1 for words that are not among them."""
+
+    def __init__(self, found: list[bytes], numbers: np.ndarray):
+        import xxhash
+
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], numbers[order].astype(np.int64)
+        self.known: dict[bytes, int] = {}
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "numbers": self.numbers, "known": {}}
+
+    def __call__(self, tail: list[bytes]) -> np.ndarray:
+        import xxhash
+
+        if len(self.known) > WORDS_REMEMBERED:
+            self.known = {}
+        new = list(set(tail).difference(self.known))
+        if new:
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))
+            if len(self.hashes):
+                at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+                numbers = np.where(self.hashes[at] == hashes, self.numbers[at], -1)
+            else:
+                numbers = np.full(len(new), -1)
+            self.known.update(zip(new, numbers.tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, tail), dtype=np.int64, count=len(tail))
+
+
+def _score(head, shared, counts, sent, base_log: float, rooms: np.ndarray):
+    """``counts``: training counts of head words by id; ``sent``: of frequent other words; ``rooms``: log10 of what the words
+    of a tail class share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = counts.value
-        base = np.concatenate((np.log10(numbers + 1.0) + base_log, np.zeros(TAIL_CLASSES)))
-        known = np.concatenate((numbers > 0, np.zeros(TAIL_CLASSES, bool))).astype(np.int64)
+        numbers = np.concatenate((counts.value, np.zeros(TAIL_CLASSES, np.int64)))
         kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
         for batch in batches:
             done = 0
@@ -335,17 +368,27 @@ def _score(head, shared, counts, base_log: float):
                 ids, lengths, split = head.value.encode(texts)
                 logs = log_probabilities(shared.value, ids, lengths) / math.log(10)
                 starts = np.cumsum(lengths) - lengths
-                sums = [np.add.reduceat(x, starts) for x in (known[ids], base[ids], logs)]
                 tail = np.nonzero(ids >= HEAD_WORDS)[0]
                 flat = [w for own in split for w in own]
-                places = np.searchsorted(tail, np.append(starts, len(ids))).tolist()
-                tail = tail.tolist()
-                rows = [[{"word": w, "n": n} for w, n in Counter(map(flat.__getitem__, tail[a:z])).items()] for a, z in zip(places, places[1:], strict=False)]
+                words_there = list(map(flat.__getitem__, tail.tolist()))
+                found = sent.value(words_there)
+                number = numbers[ids]
+                number[tail] = np.maximum(found, 0)
+                near = np.ones(len(ids), dtype=bool)  # the others wait for their counts
+                near[tail] = found >= 0
+                share = np.log10(number + 1.0)
+                base = np.where(near, share + base_log, 0.0)
+                logs[tail] += np.where(found >= 0, share[tail] - rooms[ids[tail] - HEAD_WORDS], 0.0)
+                sums = [np.add.reduceat(x, starts) for x in ((near & (number > 0)).astype(np.int64), base, logs)]
+                far = tail[found < 0]
+                places = np.searchsorted(far, np.append(starts, len(ids))).tolist()
+                far = far.tolist()
+                rows = [[{"word": w, "n": n} for w, n in Counter(map(flat.__getitem__, far[a:z])).items()] for a, z in zip(places, places[1:], strict=False)]
                 own = batch.slice(done, len(texts))
                 done += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), own.column(1), pa.array(lengths), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64()), pa.array(rows, kind)],
-                    names=["doc_id", "held_out", "n_tokens", "n_head", "head_base", "model", "tails"],
+                    names=["doc_id", "held_out", "n_tokens", "n_near", "near_base", "model", "rare"],
                 )
 
     return run
@@ -405,22 +448,39 @@ def score_documents(df: DataFrame, held_out: str, key: str = "doc_id", column: s
             table[r["start"] : r["start"] + len(change)] += change
         shared = sc.broadcast(grown)
 
-    scored = cut(docs.select("doc_id", "held_out", "text").mapInArrow(_score(head, shared, sc.broadcast(numbers), base_log), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
-    each = scored.select("row", F.explode("tails").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))
+    rooms = np.log10(mass + kinds + 1)
+    sent = sc.broadcast(_sent(tails))
+    scored = cut(docs.select("doc_id", "held_out", "text").mapInArrow(_score(head, shared, sc.broadcast(numbers), sent, base_log, rooms), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
+    each = scored.select("row", F.explode("rare").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))
     joined = each.join(counts, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    room = F.element_at(F.array(*[F.lit(float(math.log10(m + k + 1))) for m, k in zip(mass, kinds, strict=True)]), (F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(TAIL_CLASSES)) + 1).cast("int"))
+    room = F.element_at(F.array(*[F.lit(float(x)) for x in rooms]), (F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(TAIL_CLASSES)) + 1).cast("int"))
     sums = joined.groupBy("row").agg(
-        F.sum(F.col("times") * (F.log10(F.col("c") + 1.0) + F.lit(base_log))).alias("tail_base"),
-        F.sum(F.col("times") * (F.log10(F.col("c") + 1.0) - room)).alias("tail_model"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).cast("long").alias("tail_known"),
+        F.sum(F.col("times") * (F.log10(F.col("c") + 1.0) + F.lit(base_log))).alias("far_base"),
+        F.sum(F.col("times") * (F.log10(F.col("c") + 1.0) - room)).alias("far_model"),
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).cast("long").alias("far_known"),
     )
     zero = F.lit(0.0)
-    return scored.drop("tails").join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("tail_base", zero)).alias("base_score"), (F.col("model") + F.coalesce("tail_model", zero)).alias("score"),
+    return scored.drop("rare").join(sums, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_near") + F.coalesce("far_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
+        (F.col("near_base") + F.coalesce("far_base", zero)).alias("base_score"), (F.col("model") + F.coalesce("far_model", zero)).alias("score"),
     )
 
 
+def _sent(tails: DataFrame) -> Counts:
+    """The most frequent tail words: those from a count on that at most SENT_WORDS words reach."""
+    step = F.floor(8 * F.log2(F.col("n").cast("double")))
+    steps = sorted(((int(r["step"]), r["words"]) for r in tails.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    least, total = None, 0
+    for at, number in steps:  # a few hundred steps, whatever the corpus
+        if total + number > SENT_WORDS:
+            break
+        least, total = at, total + number
+    if least is None:
+        return Counts([], np.zeros(0, np.int64))
+    table = tails.where(step >= least).select("word", "n").toArrow()
+    return Counts(table["word"].to_pylist(), table["n"].to_numpy())
+
+
 def _words_frame(df: DataFrame, found: list[bytes]) -> DataFrame:
     """At most HEAD_WORDS words as a table."""
     return df.sparkSession.createDataFrame([(bytearray(w),) for w in found], "word binary")

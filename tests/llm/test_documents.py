@@ -243,7 +243,9 @@ def test_forward_backward_is_exact():
 # -- language model ------------------------------------------------------------------------------------------------------
 
 
-def test_scores_and_base(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [500_000, 40])
+def test_scores_and_base(spark, monkeypatch, sent):
+    monkeypatch.setattr(lm, "SENT_WORDS", sent)
     r = random.Random(13)
     chain = {w: [f"w{r.randrange(60)}" for _ in range(3)] for w in (f"w{k}" for k in range(60))}
     rows = []
