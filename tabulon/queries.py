@@ -477,3 +477,101 @@ def serialize_roundtrip(spark, d):
 def load_renamed(spark, d):
     found = table(spark, d, "region").frame()
     return Table.empty(spark, "regions").load_rows(found, rename_columns={"r_regionkey": "region_key", "r_name": "region_name"}, column_name_transform="camelCase").frame()
+
+
+@query("SELECT 'extra' AS difference, 'n_regionkey' AS name UNION ALL SELECT 'missing', 'n_area' UNION ALL SELECT 'type', 'n_nationkey'")
+def schema_compare(spark, d):
+    other = Table.from_df(table(spark, d, "nation").frame().selectExpr("CAST(n_nationkey AS STRING) AS n_nationkey", "n_name", "1.5D AS n_area"), "nation")
+    found = table(spark, d, "nation", keyed=False).compare_schema(other)
+    rows = [("missing", n) for n in found["missingColumns"]] + [("extra", n) for n in found["extraColumns"]] + [("type", x["columnName"]) for x in found["typeMismatches"]]
+    return spark.createDataFrame(rows, "difference string, name string")
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, NULL::DOUBLE AS n_area FROM nation")
+def schema_update(spark, d):
+    other = Table.from_df(table(spark, d, "nation").frame().selectExpr("CAST(n_nationkey AS STRING) AS n_nationkey", "n_name", "1.5D AS n_area"), "nation")
+    return table(spark, d, "nation", keyed=False).update_schema(other, remove_extra=True).frame()
+
+
+@query("SELECT n_nationkey, n_name, 'x' AS mark FROM nation")
+def add_column_default(spark, d):
+    return table(spark, d, "nation").add_column("mark", "string", default="x").remove_column("n_regionkey").frame()
+
+
+@query("SELECT min(p_name) AS value FROM part WHERE p_size > 10")
+def compute_min_text(spark, d):
+    return scalar(spark, table(spark, d, "part").compute("MIN(p_name)", "p_size > 10"), "string")
+
+
+@query("SELECT * FROM part WHERE p_size > 40 AND p_brand = (SELECT min(p_brand) FROM part) ORDER BY p_partkey LIMIT 1")
+def find_one(spark, d):
+    parts = table(spark, d, "part")
+    found = parts.find_one({"p_size": {"$gt": 40}, "p_brand": parts.compute("MIN(p_brand)")})
+    return spark.createDataFrame([found] if found else [], parts.frame().schema)
+
+
+@query("SELECT p_partkey, p_size FROM part ORDER BY abs(p_size - 25), p_partkey LIMIT 30")
+def sort_by_function(spark, d):
+    return table(spark, d, "part").sort_by(lambda r: F.abs(r.p_size - 25)).frame().limit(30).select("p_partkey", "p_size")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 ORDER BY o_orderpriority, o_orderkey DESC LIMIT 40 OFFSET 10")
+def view_string_filter_sort(spark, d):
+    view = table(spark, d, "orders").create_view(filter="o_orderstatus = 'F' AND o_totalprice > 1000", sort="o_orderpriority ASC, o_orderkey DESC")
+    return view.skip(10).take(40).frame().select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0 AND c_nationkey <> 5")
+def original_versions(spark, d):
+    changed = changed_customers(spark, d).where("rowState = 'MODIFIED'")
+    return changed.add_column("before", "number", expression="originalValues.c_acctbal").frame().select("c_custkey", F.col("before").alias("c_acctbal"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 5 UNION ALL SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND c_nationkey <> 5 UNION ALL SELECT 10000000 + i FROM range(3) r(i)")
+def changed_rows(spark, d):
+    return changed_customers(spark, d).get_changes().frame().select("c_custkey")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal >= 0")
+def remove_rows(spark, d):
+    return table(spark, d, "customer").remove("c_acctbal < 0").frame().select("c_custkey", "c_acctbal")
+
+
+@query("SELECT * FROM nation WHERE 1 = 0")
+def clear_rows(spark, d):
+    return table(spark, d, "nation").clear().frame()
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN 1007 ELSE c_nationkey END AS c_nationkey FROM customer")
+def fk_cascade_update(spark, d):
+    data = company(spark, d)
+    data.add_foreign_key_constraint("nation_customer", update_rule="cascade")
+    return data.update_key("nation", {"n_nationkey": 7}, {"n_nationkey": 1007}).table("customer").frame().select("c_custkey", "c_nationkey")
+
+
+@query("SELECT 1 AS id, 'a' AS name UNION ALL SELECT 2, 'b' UNION ALL SELECT 3, 'c' UNION ALL SELECT 4, 'd'")
+def query_result_shapes(spark, d):
+    fields = [{"name": "id", "dataTypeID": 23}, {"name": "name", "dataTypeID": 1043}]
+    shapes = [
+        {"rows": [{"id": 1, "name": "a"}], "fields": fields}, [[{"id": 2, "name": "b"}], [{"name": "id", "columnType": 3}, {"name": "name", "columnType": 253}]],
+        {"recordset": [{"id": 3, "name": "c"}], "recordsets": [[{"id": 3, "name": "c"}]]}, {"data": {"items": [{"id": 4, "name": "d"}]}},
+    ]
+    found = [Table.from_query_result(spark, s) for s in shapes]
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more, primary_key=[])
+    return out.frame().select(F.col("id").cast("int").alias("id"), "name")
+
+
+@query("SELECT n_regionkey, n_nationkey FROM nation ORDER BY n_nationkey LIMIT 10")
+def preview_rows(spark, d):
+    rows = table(spark, d, "nation").get_preview(10)
+    return spark.createDataFrame([(r["n_regionkey"], r["n_nationkey"]) for r in rows], "n_regionkey int, n_nationkey int")
+
+
+@query("SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = (SELECT max(r_name) FROM region)")
+def data_set_merge(spark, d):
+    target, source = DataSet("s"), company(spark, d)
+    target.merge(source)
+    region = target.table("region")
+    return target.get_child_rows(region.where({"r_name": region.compute("MAX(r_name)")}), "region_nation").frame().select("n_name")
