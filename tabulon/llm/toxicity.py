@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,14 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled rows of each label that are collected for learning, at most.
-SAMPLE = 1500
+SAMPLE = 1000
 FEATURE_BITS = 18
 #: Sequences are learned in pieces of so many tokens (scoring knows no pieces).
 PIECE = 256
 EPOCHS = 40
 WORDS_REMEMBERED = 300_000
-#: A stem or form is toxic evidence from so many contexts on, and at so many times the clean rate.
+#: A stem or form is toxic evidence if it stands in so many contexts and in this share of the toxic sample, and from these
+#: log-odds against the clean one on.
 MIN_CONTEXTS = 4
+MIN_SHARE = 0.01
 MIN_LOG_ODDS = 2.5
 
 _TOKEN = re.compile(r"\w+")
@@ -127,20 +130,29 @@ def numbers(logits: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def toxic_forms(documents: list[list[str]], labels: np.ndarray) -> set[str]:
     """Forms and stems (as feature names) that mark toxic tokens: those of many toxic and hardly any clean documents. A
     document speaks for a form with one context of it, and equal contexts count once, so copies do not add up."""
+    often: Counter[str] = Counter()
+    for words, label in zip(documents, labels, strict=True):
+        if label:
+            often.update({name for word in set(words) for name in stems(word)})
+    least = max(MIN_CONTEXTS, math.ceil(MIN_SHARE * int((labels == 1).sum())))
+    candidates = {name for name, n in often.items() if n >= least}
+    del often
     contexts: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
     for words, label in zip(documents, labels, strict=True):
         own: dict[str, int] = {}
         for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            place = zlib.crc32(f"{before} {word} {after}".encode("utf-8", errors="replace"))
-            for name in stems(word):
-                if place < own.get(name, 1 << 32):
-                    own[name] = place
+            found = candidates.intersection(stems(word))
+            if found:
+                place = zlib.crc32(f"{before} {word} {after}".encode("utf-8", errors="replace"))
+                for name in found:
+                    if place < own.get(name, 1 << 32):
+                        own[name] = place
         for name, place in own.items():
             contexts[label].setdefault(name, set()).add(place)
     clean, toxic = (max(1, int((labels == k).sum())) for k in (0, 1))
     out = set()
     for name, places in contexts[1].items():
-        if len(places) >= MIN_CONTEXTS:
+        if len(places) >= least:
             other = len(contexts[0].get(name, ()))
             if math.log((len(places) + 0.5) / toxic) - math.log((other + 0.5) / clean) >= MIN_LOG_ODDS:
                 out.add(name)
@@ -155,7 +167,8 @@ def train(texts: list[str], labels: list[int], totals: tuple[int, int]) -> Model
     if not totals[0] or not totals[1] or not len(y) or y.min() == y.max():
         model.share = totals[1] / sum(totals) if sum(totals) else 0.0
         return model
-    documents = [tokens(t) for t in texts]
+    shared: dict[str, str] = {}  # one object for each form
+    documents = [[shared.setdefault(w, w) for w in tokens(t)] for t in texts]
     marks = toxic_forms(documents, y)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in documents for w in d))}
     slots = _slots(list(vocabulary))
@@ -163,6 +176,7 @@ def train(texts: list[str], labels: list[int], totals: tuple[int, int]) -> Model
     lengths = np.array([len(d) for d in documents])
     ids = np.fromiter((vocabulary[w] for d in documents for w in d), dtype=np.int64, count=int(lengths.sum()))
     truth = toxic_word[ids] & np.repeat(y == 1, lengths)
+    del documents, shared
     ends = np.cumsum(lengths)
     first, last = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
     first[(ends - lengths)[lengths > 0]] = True
