@@ -10,7 +10,7 @@ must share one of their first ``n - ceil(t n) + 1`` shingles. Only those prefixe
 
 and then one verification of the complete sets for each pair. Documents with the same set form one class (a 64-bit digest
 of the whole set, beside its size) before anything is joined. To keep large groups of near copies from giving all their
-pairs, the first pass joins each prefix shingle's classes with its smallest class only; what these links connect needs no
+pairs, the first pass joins each prefix shingle's classes with one of them only, its hub; what these links connect needs no
 further comparison, and the second pass takes the pairs of a shingle's classes in different components. No pair is lost:
 a qualifying pair shares a prefix shingle, and is either connected already or compared.
 
@@ -220,11 +220,10 @@ def _sets(n: int, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            bits = batch.column(1).to_numpy(zero_copy_only=False)
-            wanted = held[bits >> 3] >> (bits & 7).astype(np.uint8) & 1 == 1
-            own = [shingles(t.as_py(), n) for t in batch.column(0).filter(pa.array(wanted))]
-            own = [x for x in own if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["cls", "grams"])
+            bits = batch.column(2).to_numpy(zero_copy_only=False)
+            wanted = pa.array(held[bits >> 3] >> (bits & 7).astype(np.uint8) & 1 == 1)
+            packed = [shingles(t.as_py(), n).tobytes() for t in batch.column(1).filter(wanted)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(wanted), pa.array(packed, pa.binary())], names=["doc_id", "grams"])
 
     return run
 
@@ -243,19 +242,28 @@ def _verify(percent: int):
 
 
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs of classes that reach the threshold; every pair is verified once, on its complete sets."""
-    wanted = pairs.select(F.col("x").alias("cls")).union(pairs.select(F.col("y").alias("cls"))).distinct()
-    # the sets of one document of each wanted class are made again from its text; a bitmap of bounded size lets these
-    # documents (and a few more, which meet no pair) through, so texts need no shuffle
-    held, bits = _filter(classes.join(wanted, "cls", "left_semi").select("rep"))
+    """The pairs of classes that reach the threshold; every pair is verified once, on its complete sets.
+
+    A class's set is made again from the text of one document of it. A bitmap of bounded size lets these documents (and a few
+    more, which meet no pair) through, so no text is shuffled, and a set is shuffled once for both sides of its pairs."""
+    rep = classes.select("cls", "rep")
+    named = pairs.join(rep.select(F.col("cls").alias("x"), F.col("rep").alias("rx")), "x").join(rep.select(F.col("cls").alias("y"), F.col("rep").alias("ry")), "y")
+    named = cut(named.select("x", "y", "rx", "ry"), "pairs")
+    held, bits = _filter(named.select("rx").union(named.select("ry")).distinct())
     bitmap = docs.sparkSession.sparkContext.broadcast(held)
-    sets = docs.select("text", hash_bit("doc_id", bits).alias("bit")).mapInArrow(_sets(n, bitmap), "cls long, grams binary").dropDuplicates(["cls"])
-    sets = cut(sets, "sets")
-    left = pairs.join(sets.select(F.col("cls").alias("x"), F.col("grams").alias("gx")), "x")
-    both = left.join(sets.select(F.col("cls").alias("y"), F.col("grams").alias("gy")), "y").select("x", "y", "gx", "gy")
+    sets = docs.select("doc_id", "text", hash_bit("doc_id", bits).alias("bit")).mapInArrow(_sets(n, bitmap), "doc_id long, grams binary")
+    left = named.join(sets.select(F.col("doc_id").alias("rx"), F.col("grams").alias("gx")), "rx")
+    both = left.join(sets.select(F.col("doc_id").alias("ry"), F.col("grams").alias("gy")), "ry").select("x", "y", "gx", "gy")
     return cut(both.mapInArrow(_verify(percent), "x long, y long"), "verified")
 
 
+def _fits(percent: int) -> str:
+    """The length and the positional filter on two places (size * 2**32 + position)."""
+    size, position = "({} DIV 4294967296)", "({} & 4294967295)"
+    a, b, i, j = size.format("{a}"), size.format("{b}"), position.format("{a}"), position.format("{b}")
+    return f"{percent} * greatest({a}, {b}) <= 100 * least({a}, {b}) and least({a} - {i}, {b} - {j}) >= ceil({percent} * ({a} + {b}) / {100 + percent}.0D)"
+
+
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", column: str = "text", count_bits: int = COUNT_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_size) of every row; ``key`` is an integer column. Two documents link when
     100 * intersection >= percent * union of their n-gram sets; component_id is the smallest linked doc_id."""
@@ -267,24 +275,17 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, key: str = "do
     sized = survey.where("block IS NULL").select("doc_id", "size", "cls")
     classes = sized.where("size > 0").groupBy("cls", "size").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
     all_prefixes = Cut(docs.mapInArrow(_prefixes(n, count_bits, percent, table), "token long, cls long, place long"), "prefixes")
-    shared = (
-        all_prefixes.df.groupBy("token")
-        .agg(F.min(F.struct("place", "cls")).alias("first"), F.max("cls").alias("top"), F.min("cls").alias("low"))
-        .where("low <> top")
-        .select("token", "first.*")
-        .withColumnsRenamed({"place": "first_place", "cls": "first_cls"})
-    )
-    prefixes = cut(all_prefixes.df.join(shared, "token"), "shared")
+    met = all_prefixes.df.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("top")).where("low <> top").select("token")
+    prefixes = cut(all_prefixes.df.join(met, "token"), "shared")
     all_prefixes.drop()
-
-    fits = f"""
-        {percent} * ({{b}} >> 32) <= 100 * ({{a}} >> 32)
-        and least(({{a}} >> 32) - ({{a}} & 4294967295), ({{b}} >> 32) - ({{b}} & 4294967295))
-            >= ceil({percent} * (({{a}} >> 32) + ({{b}} >> 32)) / {100 + percent}.0D)
-    """.replace(">> 32", "DIV 4294967296")
-    stars = cut(
-        prefixes.where("cls <> first_cls").where(fits.format(a="first_place", b="place")).select(F.least("first_cls", "cls").alias("x"), F.greatest("first_cls", "cls").alias("y")).distinct(), "stars"
-    )
+    # The hub of a shingle: its class with the most shared shingles in its prefix. The text that others are copies of shares
+    # nearly all of its own, so it links with far more of them than any copy does.
+    weights = prefixes.groupBy("cls").agg(F.count(F.lit(1)).alias("weight"))
+    weighted = prefixes.join(weights, "cls")
+    hubs = weighted.groupBy("token").agg(F.max(F.struct("weight", "cls", "place")).alias("hub")).select("token", F.col("hub.cls").alias("hub"), F.col("hub.place").alias("hub_place"))
+    fits = _fits(percent)
+    stars = prefixes.join(hubs, "token").where("cls <> hub").where(fits.format(a="hub_place", b="place"))
+    stars = cut(stars.select(F.least("hub", "cls").alias("x"), F.greatest("hub", "cls").alias("y")).distinct(), "stars")
     links = _links(docs, classes, stars, n, percent)
     joined = cut(components(links), "joined")
 
@@ -293,8 +294,8 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, key: str = "do
     open_ = cut(labelled.join(mixed, "token", "left_semi"), "open")
     a = open_.select("token", F.col("cls").alias("x"), F.col("place").alias("px"), F.col("part").alias("ax"))
     b = open_.select("token", F.col("cls").alias("y"), F.col("place").alias("py"), F.col("part").alias("ay"))
-    crossing = a.join(b, "token").where("ax <> ay and (px DIV 4294967296 < py DIV 4294967296 or px DIV 4294967296 = py DIV 4294967296 and x < y)").where(fits.format(a="px", b="py"))
-    rest = crossing.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(stars, ["x", "y"], "left_anti")
+    crossing = a.join(b, "token").where("ax <> ay and x < y").where(fits.format(a="px", b="py"))
+    rest = crossing.select("x", "y").distinct().join(stars, ["x", "y"], "left_anti")
     rest = cut(rest, "crossing")
     final = components(links.union(_links(docs, classes, rest, n, percent)))
 
