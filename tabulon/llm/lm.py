@@ -1,17 +1,19 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
 P(word | history) = P(class | history) * P(word | class, history). Both factors are softmaxes over sums of weights of hashed
-history features: the word before, the two words before, and the word before the last alone (a skip) for the class, the
-word before for the word within its class, each beside a bias. The
-HEAD_WORDS most frequent training words form classes of equal size, neighbours in an order by the frequent word that most
-often stands just before them, then by frequency. All other words, known or not, belong to one of a few classes by their
-last letters; within such a class a word has its add-one share of the class's training tokens, with one place for all
-unknown words. So the probabilities of all known words and the unknown ones sum to one.
+history features: the word before, the two words before, and the word before the last alone (a skip), each beside a bias.
+All training words of HEAD_COUNT occurrences (of small tables the HEAD_WORDS most frequent) form classes of equal size, about
+as many as a class has words, neighbours in an order by the frequent word that most often stands just before them, then by
+frequency. All other words, known or not, belong to one of a few classes by their last letters; within such a class a word has
+its add-one share of the class's training tokens, with one place for all unknown words. So the probabilities of all known words
+and the unknown ones sum to one.
 
 Statistics cover every training document: word counts, follow counts, and gradients. Training makes ROUNDS passes over
 disjoint thirds of the training documents: each task takes gradient steps (Adagrad, small batches) from the shared weights
 on its share, and its changes are averaged by row, weighted by how many steps touched the row. The head vocabulary and the
-weights have a fixed size whatever the corpus. Of the other words the most frequent SENT_WORDS travel to all tasks as a
+weights grow with the training tokens: there are as many feature rows as histories (for words within classes: histories with
+a class) of HISTORY_COUNT occurrences, estimated from all occurrences of the SEEN_PART-th of them by hash, and FEATURE_ROWS at
+least. All histories are learned from and share these rows. Of the other words the most frequent SENT_WORDS travel to all tasks as a
 sorted table of hashes and counts, also of a fixed size; the rare rest, which grows with the corpus, is joined.
 
 Scores are in sparse batches: only the weight rows of the features at hand are gathered.
@@ -37,14 +39,17 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import cut
 
+#: Occurrences from which on every word is modelled, and words that are modelled at least.
+HEAD_COUNT = 32
 HEAD_WORDS = 4096
 CLASSES = 64
 CLASS_WORDS = HEAD_WORDS // CLASSES
 TAIL_CLASSES = 16
-OUTCOMES = CLASSES + TAIL_CLASSES
 ANCHORS = 32
-FEATURES = 3
+#: Occurrences of a history for which there is a row, and rows at least; one history of SEEN_PART is counted.
+HISTORY_COUNT = 64
 FEATURE_ROWS = 1 << 15
+SEEN_PART = 16
 ROUNDS = 3
 BATCH = 8192
 RATE = 0.15
@@ -69,6 +74,24 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAIL_CLASSES
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of a model; word id // class_words is a head word's class, tail classes have the ids from ``places`` on."""
+
+    classes: int = CLASSES
+    class_words: int = CLASS_WORDS
+    outer_rows: int = FEATURE_ROWS
+    inner_rows: int = FEATURE_ROWS
+
+    @property
+    def places(self) -> int:
+        return self.classes * self.class_words
+
+    @property
+    def outcomes(self) -> int:
+        return self.classes + TAIL_CLASSES
+
+
 # -- counts ------------------------------------------------------------------------------------------------------------
 
 
@@ -92,15 +115,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Head:
-    """The modelled vocabulary: ids by word; word id // CLASS_WORDS is its class."""
+    """The modelled vocabulary: ids by word, below ``places``."""
 
     ids: dict[bytes, int]
-    size: int
+    places: int
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """(ids of all tokens, tokens of each text, words of each text); tail words have ids from HEAD_WORDS on."""
+        """(ids of all tokens, tokens of each text, words of each text); tail words have ids from ``places`` on."""
         if len(self.known) > WORDS_REMEMBERED:
-            self.known = _Known(self.ids)
+            self.known = _Known(self.ids, self.places)
         split = [words(t) for t in texts]
         lengths = np.array([len(x) for x in split], np.int64)
         ids = np.fromiter((i for own in split for i in map(self.known.__getitem__, own)), dtype=np.int64, count=int(lengths.sum()))
@@ -108,7 +131,7 @@ class Head:
 
     @functools.cached_property
     def _fresh(self) -> _Known:
-        return _Known(self.ids)
+        return _Known(self.ids, self.places)
 
     @property
     def known(self) -> _Known:
@@ -119,20 +142,24 @@ class Head:
         self.__dict__["_fresh"] = value
 
     def __getstate__(self) -> dict:
-        return {"ids": self.ids, "size": self.size}
+        return {"ids": self.ids, "places": self.places}
 
 
 class _Known(dict):
     """Ids of words met so far: the head's, and tail classes."""
 
+    def __init__(self, ids: dict[bytes, int], places: int):
+        super().__init__(ids)
+        self.places = places
+
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = HEAD_WORDS + tail_class(word)
+        value = self[word] = self.places + tail_class(word)
         return value
 
 
-def _before(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _before(ids: np.ndarray, lengths: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids one and two places back, a mark of its own beyond a text's beginning."""
-    edge = HEAD_WORDS + TAIL_CLASSES
+    edge = places + TAIL_CLASSES
     one, two = np.roll(ids, 1), np.roll(ids, 2)
     starts = (np.cumsum(lengths) - lengths)[lengths > 0]
     one[starts] = two[starts] = edge
@@ -149,30 +176,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _rows(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _histories(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of the word before, of the two words before, and of the word before the last."""
     a, b = one.astype(np.uint64), two.astype(np.uint64)
-    keys = (a + np.uint64(1 << 40), (b << np.uint64(20)) + a + np.uint64(2 << 40), b + np.uint64(3 << 40))
-    return tuple((_mix(k) % np.uint64(FEATURE_ROWS)).astype(np.int64) for k in keys)  # type: ignore[return-value]
+    return [_mix(k) for k in (a + np.uint64(1 << 60), (b << np.uint64(30)) + a + np.uint64(2 << 60), b + np.uint64(3 << 60))]
 
 
-def _class_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Rows of the weights within classes: a hash of feature row and class."""
-    key = rows.astype(np.uint64) * np.uint64(CLASSES) + classes.astype(np.uint64)
-    return (_mix(key + np.uint64(7 << 50)) % np.uint64(FEATURE_ROWS)).astype(np.int64)
+def _in_class(history: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Hashes of histories with a class."""
+    return _mix(history + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Weights:
     """``outer`` scores classes, ``inner`` the words of a class; the last rows are biases (one row a class for inner)."""
 
-    def __init__(self) -> None:
-        self.outer = np.zeros((FEATURE_ROWS + 1, OUTCOMES), dtype=np.float32)
-        self.inner = np.zeros((FEATURE_ROWS + CLASSES, CLASS_WORDS), dtype=np.float32)
+    def __init__(self, shape: Shape | None = None) -> None:
+        self.shape = shape or Shape()
+        self.outer = np.zeros((self.shape.outer_rows + 1, self.shape.outcomes), dtype=np.float32)
+        self.inner = np.zeros((self.shape.inner_rows + self.shape.classes, self.shape.class_words), dtype=np.float32)
+
+    def outer_rows(self, histories: list[np.ndarray]) -> list[np.ndarray]:
+        return [(h % np.uint64(self.shape.outer_rows)).astype(np.int64) for h in histories]
 
-    def outer_rows(self, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
-        return list(_rows(one, two))
+    def inner_rows(self, histories: list[np.ndarray], classes: np.ndarray) -> list[np.ndarray]:
+        return [*((_in_class(h, classes) % np.uint64(self.shape.inner_rows)).astype(np.int64) for h in histories), self.shape.inner_rows + classes]
 
-    def inner_rows(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray) -> list[np.ndarray]:
-        return [_class_rows(_rows(one, two)[0], classes), FEATURE_ROWS + classes]
+    def outcomes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a head word, outcome of the outer factor) of each id."""
+        head = ids < self.shape.places
+        return head, np.where(head, ids // self.shape.class_words, ids - self.shape.places + self.shape.classes)
 
 
 def _log_softmax(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray | None = None) -> np.ndarray:
@@ -188,19 +220,19 @@ def _log_softmax(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray | N
 
 def log_probabilities(weights: Weights, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log of each token's probability; of a tail word's, only its class's."""
-    one, two = _before(ids, lengths)
+    one, two = _before(ids, lengths, weights.shape.places)
     out = np.empty(len(ids), dtype=np.float64)
     for start in range(0, len(ids), BATCH):
         part = slice(start, start + BATCH)
         own = ids[part]
-        head = own < HEAD_WORDS
-        outcome = np.where(head, own // CLASS_WORDS, own - HEAD_WORDS + CLASSES)
+        head, outcome = weights.outcomes(own)
+        histories = _histories(one[part], two[part])
         at = np.arange(len(own))
-        logs = _log_softmax(weights.outer, weights.outer_rows(one[part], two[part]), weights.outer[-1])[at, outcome].astype(np.float64)
+        logs = _log_softmax(weights.outer, weights.outer_rows(histories), weights.outer[-1])[at, outcome].astype(np.float64)
         where = np.nonzero(head)[0]
         if len(where):
-            inner = _log_softmax(weights.inner, weights.inner_rows(one[part][where], two[part][where], outcome[where]))
-            logs[where] += inner[np.arange(len(where)), own[where] % CLASS_WORDS]
+            inner = _log_softmax(weights.inner, weights.inner_rows([h[where] for h in histories], outcome[where]))
+            logs[where] += inner[np.arange(len(where)), own[where] % weights.shape.class_words]
         out[part] = logs
     return out
 
@@ -209,7 +241,7 @@ class Trainer:
     """Gradient steps of one task from shared weights."""
 
     def __init__(self, weights: Weights, rate: float):
-        self.weights = Weights()
+        self.weights = Weights(weights.shape)
         self.weights.outer[:], self.weights.inner[:] = weights.outer, weights.inner
         self.rate = rate
         self.squares = [np.full(len(t), 1e-3, np.float32) for t in (self.weights.outer, self.weights.inner)]
@@ -234,16 +266,16 @@ class Trainer:
             self._change(which, table, np.array([len(table) - 1]), slope.sum(axis=0, keepdims=True), np.array([len(targets)], np.float32))
 
     def learn(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        one, two = _before(ids, lengths)
+        one, two = _before(ids, lengths, self.weights.shape.places)
         for start in range(0, len(ids), BATCH):
             part = slice(start, start + BATCH)
-            own, a, b = ids[part], one[part], two[part]
-            head = own < HEAD_WORDS
-            outcome = np.where(head, own // CLASS_WORDS, own - HEAD_WORDS + CLASSES)
-            self._step(0, self.weights.outer, self.weights.outer_rows(a, b), outcome, True)
+            own, histories = ids[part], _histories(one[part], two[part])
+            head, outcome = self.weights.outcomes(own)
+            self._step(0, self.weights.outer, self.weights.outer_rows(histories), outcome, True)
             where = np.nonzero(head)[0]
             if len(where):
-                self._step(1, self.weights.inner, self.weights.inner_rows(a[where], b[where], outcome[where]), own[where] % CLASS_WORDS, False)
+                rows = self.weights.inner_rows([h[where] for h in histories], outcome[where])
+                self._step(1, self.weights.inner, rows, own[where] % self.weights.shape.class_words, False)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int = 0, chars: int = 2_000_000) -> Iterator[list[str | None]]:
@@ -282,15 +314,23 @@ def _train(head, shared, rate: float):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The averaged changes of each block; a partition holds whole blocks, a few of a fixed number."""
+def _merge(shape: Shape):
+    """The averaged changes of each block; a partition holds whole blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _merged(batches, (shape.outcomes, shape.class_words))
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch], widths: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for which, start, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             own = np.frombuffer(zlib.decompress(packed.as_py()), np.float32)
             sums[which, start] = sums[which, start] + own if (which, start) in sums else own.copy()
     for (which, start), total in sums.items():
-        width = (OUTCOMES, CLASS_WORDS)[which]
+        width = widths[which]
         rows = len(total) // (width + 1)
         change = total[: rows * width].reshape(rows, width) / np.maximum(total[rows * width :], 1)[:, None]
         yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([start], pa.int32()), pa.array([change.astype(np.float32).tobytes()], pa.binary())], names=["which", "start", "changes"])
@@ -300,8 +340,9 @@ def _follow(head, anchors: dict[int, int]):
     """(word id, anchor, times): how often an anchor is the last anchor within three places before a head word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((HEAD_WORDS, ANCHORS), dtype=np.int64)
-        place = np.full(HEAD_WORDS + TAIL_CLASSES + 1, -1, dtype=np.int64)
+        places = head.value.places
+        table = np.zeros((places, ANCHORS), dtype=np.int64)
+        place = np.full(places + TAIL_CLASSES + 1, -1, dtype=np.int64)
         for word, anchor in anchors.items():
             place[word] = anchor
         for texts in _texts(batches):
@@ -313,7 +354,7 @@ def _follow(head, anchors: dict[int, int]):
                 own[: min(back, len(own))] = -1
                 own[np.roll(doc, back) != doc] = -1
                 last = np.where(own >= 0, own, last)
-            use = (last >= 0) & (ids < HEAD_WORDS)
+            use = (last >= 0) & (ids < places)
             table += np.bincount(ids[use] * ANCHORS + last[use], minlength=table.size).reshape(table.shape)
         word, anchor = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(anchor), pa.array(table[word, anchor])], names=["word", "anchor", "times"])
@@ -321,6 +362,31 @@ def _follow(head, anchors: dict[int, int]):
     return run
 
 
+def _seen(head, shape: Shape):
+    """(table, history, times): occurrences of the SEEN_PART-th of all histories by hash, alone for the outer table, with the
+    class that follows for the inner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(Shape(shape.classes, shape.class_words, 1, 1))
+        for texts in _texts(batches):
+            ids, lengths, _ = head.value.encode(texts)
+            histories = _histories(*_before(ids, lengths, shape.places))
+            known, outcome = weights.outcomes(ids)
+            for which, found in enumerate((histories, [_in_class(h[known], outcome[known]) for h in histories])):
+                every = np.concatenate(found)
+                keys, times = np.unique(every[every % np.uint64(SEEN_PART) == 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), which, np.int32)), pa.array(keys.view(np.int64)), pa.array(times)], names=["which", "history", "times"])
+
+    return run
+
+
+def _grown(training: DataFrame, head, shape: Shape) -> Shape:
+    """The shape with as many rows as there are histories of HISTORY_COUNT occurrences."""
+    seen = training.select("text").mapInArrow(_seen(head, shape), "which int, history long, times long").groupBy("which", "history").agg(F.sum("times").alias("times"))
+    found = {r["which"]: r["n"] * SEEN_PART for r in seen.where(F.col("times") >= HISTORY_COUNT).groupBy("which").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return Shape(shape.classes, shape.class_words, *(max(FEATURE_ROWS, found.get(which, 0)) for which in (0, 1)))
+
+
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_near long, near_base double, model double, rare array<struct<word: binary, n: int>>"
 
 
@@ -368,7 +434,8 @@ def _score(head, shared, counts, sent, base_log: float, rooms: np.ndarray):
                 ids, lengths, split = head.value.encode(texts)
                 logs = log_probabilities(shared.value, ids, lengths) / math.log(10)
                 starts = np.cumsum(lengths) - lengths
-                tail = np.nonzero(ids >= HEAD_WORDS)[0]
+                places = head.value.places
+                tail = np.nonzero(ids >= places)[0]
                 flat = [w for own in split for w in own]
                 words_there = list(map(flat.__getitem__, tail.tolist()))
                 found = sent.value(words_there)
@@ -378,12 +445,12 @@ def _score(head, shared, counts, sent, base_log: float, rooms: np.ndarray):
                 near[tail] = found >= 0
                 share = np.log10(number + 1.0)
                 base = np.where(near, share + base_log, 0.0)
-                logs[tail] += np.where(found >= 0, share[tail] - rooms[ids[tail] - HEAD_WORDS], 0.0)
+                logs[tail] += np.where(found >= 0, share[tail] - rooms[ids[tail] - places], 0.0)
                 sums = [np.add.reduceat(x, starts) for x in ((near & (number > 0)).astype(np.int64), base, logs)]
                 far = tail[found < 0]
-                places = np.searchsorted(far, np.append(starts, len(ids))).tolist()
+                cuts = np.searchsorted(far, np.append(starts, len(ids))).tolist()
                 far = far.tolist()
-                rows = [[{"word": w, "n": n} for w, n in Counter(map(flat.__getitem__, far[a:z])).items()] for a, z in zip(places, places[1:], strict=False)]
+                rows = [[{"word": w, "n": n} for w, n in Counter(map(flat.__getitem__, far[a:z])).items()] for a, z in zip(cuts, cuts[1:], strict=False)]
                 own = batch.slice(done, len(texts))
                 done += len(texts)
                 yield pa.RecordBatch.from_arrays(
@@ -405,48 +472,55 @@ def score_documents(df: DataFrame, held_out: str, key: str = "doc_id", column: s
     train_tokens, distinct = int(total["n"]), int(total["v"])
     base_log = -math.log10(train_tokens + distinct + 1)
 
-    # the head: at most HEAD_WORDS words, the end among them
-    top = counts.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("n"), "word").limit(HEAD_WORDS).collect()
-    plain = sc.broadcast(Head({bytes(r["word"]): i for i, r in enumerate(top)}, len(top)))
+    # the head: all words of HEAD_COUNT occurrences, or HEAD_WORDS words where those are fewer; the end among them
+    often = (F.col("word") == F.lit(END)) | (F.col("n") >= HEAD_COUNT)
+    many = counts.where(often).count()
+    top = counts.where(often).toArrow() if many >= HEAD_WORDS else counts.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("n"), "word").limit(HEAD_WORDS).toArrow()
+    top = sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda r: (r[0] != END, -r[1], r[0]))
+    size = max(HEAD_WORDS, many)
+    classes = math.isqrt(size - 1) + 1
+    shape = Shape(classes, -(-size // classes))
+    places = shape.places
+    plain = sc.broadcast(Head({w: i for i, (w, _) in enumerate(top)}, places))
     anchors = {i: k for k, i in enumerate(range(1, min(len(top), ANCHORS + 1)))}
-    times = np.zeros((HEAD_WORDS, ANCHORS))
-    follow = training.select("text").mapInArrow(_follow(plain, anchors), "word long, anchor long, times long").groupBy("word", "anchor").agg(F.sum("times").alias("times"))
-    for r in follow.collect():  # at most HEAD_WORDS * ANCHORS numbers
-        times[r["word"], r["anchor"]] = r["times"]
-    frequent = np.array([r["n"] for r in top] + [0] * (HEAD_WORDS - len(top)), dtype=np.float64)
+    times = np.zeros((places, ANCHORS))
+    follow = training.select("text").mapInArrow(_follow(plain, anchors), "word long, anchor long, times long").groupBy("word", "anchor").agg(F.sum("times").alias("times")).toArrow()
+    times[follow["word"].to_numpy(), follow["anchor"].to_numpy()] = follow["times"].to_numpy()  # ANCHORS numbers a head word
+    frequent = np.array([n for _, n in top] + [0] * (places - len(top)), dtype=np.float64)
     pull = (times + 0.1) / (times.sum(axis=1, keepdims=True) + 3.2) / ((times.sum(axis=0) + 1) / (times.sum() + ANCHORS))
     best = pull.argmax(axis=1)
     order = np.lexsort((-frequent, best))
-    ids = np.empty(HEAD_WORDS, dtype=np.int64)
-    ids[order] = np.arange(HEAD_WORDS)
-    head = sc.broadcast(Head({bytes(r["word"]): int(ids[i]) for i, r in enumerate(top)}, len(top)))
-    numbers = np.zeros(HEAD_WORDS, dtype=np.int64)
+    ids = np.empty(places, dtype=np.int64)
+    ids[order] = np.arange(places)
+    head = sc.broadcast(Head({w: int(ids[i]) for i, (w, _) in enumerate(top)}, places))
+    numbers = np.zeros(places, dtype=np.int64)
     numbers[ids] = frequent.astype(np.int64)
 
     # tail classes: their training tokens and words; a word's class follows from its last two bytes
-    tails = counts.join(F.broadcast(_words_frame(df, [bytes(r["word"]) for r in top])), "word", "left_anti").withColumn("class", F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(TAIL_CLASSES)).cast("int"))
+    rest = counts.where(~often) if many >= HEAD_WORDS else counts.join(F.broadcast(_words_frame(df, [w for w, _ in top])), "word", "left_anti")
+    tails = rest.withColumn("class", F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(TAIL_CLASSES)).cast("int"))
     mass, kinds = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     for r in tails.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         mass[r["class"]], kinds[r["class"]] = r["n"], r["v"]
 
-    weights = Weights()
+    shape = _grown(training, head, shape)
+    weights = Weights(shape)
     # the biases begin at the unigram shares, places of the head that no word has at next to nothing
-    shares = np.append(numbers.reshape(CLASSES, CLASS_WORDS).sum(axis=1), mass)
-    weights.outer[-1] = np.log(shares + 0.5) - np.log(shares.sum() + 0.5 * OUTCOMES)
-    weights.inner[FEATURE_ROWS:] = np.log(numbers.reshape(CLASSES, CLASS_WORDS) + 1e-3) - np.log(numbers.reshape(CLASSES, CLASS_WORDS).sum(axis=1, keepdims=True) + 1)
+    by_class = numbers.reshape(shape.classes, shape.class_words)
+    shares = np.append(by_class.sum(axis=1), mass)
+    weights.outer[-1] = np.log(shares + 0.5) - np.log(shares.sum() + 0.5 * shape.outcomes)
+    weights.inner[shape.inner_rows :] = np.log(by_class + 1e-3) - np.log(by_class.sum(axis=1, keepdims=True) + 1)
     shared = sc.broadcast(weights)
     workers = max(2, sc.defaultParallelism)
     for number in range(rounds if train_tokens else 0):
         part = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == number).select("text").coalesce(workers)
         changes = part.mapInArrow(_train(head, shared, RATE / (1 + number)), "which int, start int, changes binary")
-        merged = changes.repartition(workers, "which", "start").mapInArrow(_merge, "which int, start int, changes binary")
-        grown = Weights()
-        grown.outer[:], grown.inner[:] = shared.value.outer, shared.value.inner
-        for r in merged.collect():  # a change for each weight: a fixed size
-            table = (grown.outer, grown.inner)[r["which"]]
+        merged = changes.repartition(workers, "which", "start").mapInArrow(_merge(shape), "which int, start int, changes binary")
+        for r in merged.toLocalIterator():  # a change for each weight, a part at a time
+            table = (weights.outer, weights.inner)[r["which"]]
             change = np.frombuffer(r["changes"], np.float32).reshape(-1, table.shape[1])
             table[r["start"] : r["start"] + len(change)] += change
-        shared = sc.broadcast(grown)
+        shared = sc.broadcast(weights)
 
     rooms = np.log10(mass + kinds + 1)
     sent = sc.broadcast(_sent(tails))

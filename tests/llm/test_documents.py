@@ -280,3 +280,21 @@ def test_probabilities_sum_to_one():
     flat = np.stack((np.full(len(every), 5), every), axis=1).ravel()
     logs = lm.log_probabilities(w, flat, np.full(len(every), 2))[1::2]
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_words_of_a_class_are_chosen_by_both_words_before():
+    w = lm.Weights()
+    w.inner[:] = np.random.default_rng(15).normal(size=w.inner.shape)
+    logs = lm.log_probabilities(w, np.array([3, 5, 7, 4, 5, 7]), np.array([3, 3]))
+    assert abs(logs[2] - logs[5]) > 1e-3
+
+
+def test_model_grows_with_the_counts(spark, monkeypatch):
+    shapes, grown = [], lm._grown
+    monkeypatch.setattr(lm, "_grown", lambda *a: shapes.append(grown(*a)) or shapes[-1])
+    monkeypatch.setattr(lm, "HISTORY_COUNT", 40)
+    monkeypatch.setattr(lm, "FEATURE_ROWS", 16)
+    text = " ".join(f"w{k}" for k in range(5000))
+    got = lm.score_documents(frame(spark, [(i, text, "s") for i in range(40)]), "false").collect()
+    assert len(got) == 40 and shapes[0].places > 5000
+    assert shapes[0].outer_rows == pytest.approx(15_000, rel=0.2) and shapes[0].inner_rows == pytest.approx(15_000, rel=0.2)
