@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import replace
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,11 +179,36 @@ def _load_frame(table: Table, rows: DataFrame, o: Mapping) -> Table:
             fresh = []
     schema = replace(table.schema, columns=(*table.schema.columns, *fresh))
     own = {schema[c].name: c for c in frame.columns if schema.find(c)}
-    cast = (lambda c, k: F.col(f"`{c}`").cast(k)) if o["strict"] else (lambda c, k: F.col(f"`{c}`").try_cast(k))
+    widened = set() if o["strict"] else _unfit(frame, schema, own)
+    schema = replace(schema, columns=tuple(replace(c, data_type=T.StringType(), tag="any") if c.name in widened else c for c in schema.columns))
+    kinds = {f.name: f.dataType for f in frame.schema.fields}
+
+    def cast(c: str, k: T.DataType) -> Column:
+        if schema[c].name in widened and isinstance(kinds[c], (T.StructType, T.ArrayType, T.MapType)):
+            return F.to_json(F.col(f"`{c}`"))
+        return F.col(f"`{c}`").cast(k) if o["strict"] else F.col(f"`{c}`").try_cast(k)
+
     new = frame.select(*[(cast(own[c.name], c.data_type) if c.name in own else F.lit(c.default_value()).cast(c.data_type)).alias(c.name) for c in schema.stored]).withColumn(RID, F.monotonically_increasing_id())
     if o["primary_key"]:
         schema = schema.with_primary_key(o["primary_key"])
-    return _placed(table, new, schema, set(), o)
+    return _placed(table, new, schema, widened, o)
+
+
+def _unfit(frame: DataFrame, schema: TableSchema, own: Mapping[str, str]) -> set[str]:
+    """The columns with a value that their type cannot hold: its cast is null, or an integer without the value's fraction."""
+    kinds = {f.name: f.dataType for f in frame.schema.fields}
+    checks = []
+    for name, c in own.items():
+        kind, source = schema[name].data_type, kinds[c]
+        if schema[name].computed or kind == source or isinstance(kind, T.StringType):
+            continue
+        value = F.col(f"`{c}`")
+        lost = value.try_cast(kind).isNull()
+        if isinstance(source, T.FractionalType) and (isinstance(kind, T.IntegralType) or isinstance(kind, T.DecimalType) and kind.scale == 0):
+            lost = lost | (value != F.floor(value))
+        checks.append(F.coalesce(F.bool_or(value.isNotNull() & lost), F.lit(False)).alias(name))
+    found = frame.agg(*checks).first() if checks else None
+    return {n for n, unfit in found.asDict().items() if unfit} if found else set()
 
 
 def _placed(table: Table, new: DataFrame, schema: TableSchema, widened: set[str], o: Mapping) -> Table:

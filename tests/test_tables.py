@@ -323,6 +323,19 @@ def test_load_options(spark):
     assert base.load_from_query([]).count() == 1 and base.load_from_query(lambda: [{"id": 9}]).rows(0)["id"] == 9
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_values_that_do_not_fit_widen_their_column(spark, local):
+    base = Table.from_objects(spark, [{"id": 1, "n": 5, "m": 7, "at": dt.datetime(2024, 1, 2, tzinfo=dt.UTC)}], table_name="t")
+    for n, m, kind in (("x", 1, "n string, m long"), ("2", 1.5, "n string, m double"), ("2", 4.0, "n string, m double")):
+        rows = [{"id": 2, "n": n, "m": m}, {"id": 3, "n": None, "m": None}]
+        found = base.load_rows(rows if local else spark.createDataFrame([tuple(r.values()) for r in rows], f"id long, {kind}"))
+        wide = ("any" if n == "x" else "integer", "any" if m == 1.5 else "integer")
+        assert (found.column("n").tag, found.column("m").tag) == wide and found.column("at").tag == "date"
+        want = [("5", "7"), (n, str(m)), (None, None)]
+        got = [(r["n"], r["m"]) for r in found.frame().orderBy("id").collect()]
+        assert got == [tuple(v if v is None or w == "any" else int(float(v)) for v, w in zip(r, wide, strict=True)) for r in want]
+
+
 def test_inference(spark):
     t = Table.from_objects(spark, [{"i": 1, "n": 1, "b": True, "m": 1, "o": {"a": 1}, "l": [1, 2]}, {"i": 2.0, "n": 1.5, "b": None, "m": "x", "o": {}, "l": []}])
     assert {c: t.column(c).tag for c in t.columns} == {"i": "integer", "n": "number", "b": "boolean", "m": "any", "o": "object", "l": "array"}
