@@ -14,6 +14,8 @@ from tabulon.operators.tracking import DELETED, STATE, ChangeSet, track
 from tabulon.table import Table, snake
 
 RULES = ("restrict", "cascade", "setnull")
+#: Levels of a cascade after which the plan is cut.
+LEVELS = 3
 
 
 @dataclass(frozen=True)
@@ -154,8 +156,8 @@ class DataSet:
         return self
 
     def _deleted(self, gone: dict[str, Table], now: dict[str, Table]) -> None:
-        level = gone
-        for _ in range(1 + len(self.tables) ** 2):
+        level, depth = gone, 0
+        while True:  # each level deletes rows that were not deleted before, so there is a last one
             following: dict[str, Table] = {}
             for key in self.foreign_keys if self.enforce_constraints else ():
                 r = self.get_relation(key.relation)
@@ -173,13 +175,16 @@ class DataSet:
                 own = F.coalesce(F.col("__hit"), F.lit(False)) & (F.col(STATE) != DELETED)
                 if key.delete_rule == "cascade":
                     changed = _hidden(flagged, flagged.delete(own))
-                    following[r.child_table] = met
+                    earlier = following.get(r.child_table)
+                    following[r.child_table] = met if earlier is None else earlier.over(earlier.df.unionByName(met.df))
                 else:
                     changed = _hidden(flagged, flagged.update(own, {r.child_column: None}, validate=False))
                 now[r.child_table] = child.over(changed)
             if not following:
                 break
-            level = following
+            level, depth = following, depth + 1
+            if depth % LEVELS == 0:
+                level, now = {n: _cut(t) for n, t in level.items()}, {n: _cut(t) for n, t in now.items()}
         for name, t in now.items():
             self.tables[name] = t
 
@@ -327,6 +332,11 @@ class DataSet:
         raise AttributeError(f"DataSet has no attribute {name!r}")
 
 
+def _cut(t: Table) -> Table:
+    """The same rows without the plan that led to them: in spark.checkpoint.dir where that is set, else in the executors' storage."""
+    return t.over(t.df.checkpoint() if t.spark.sparkContext.getCheckpointDir() else t.df.localCheckpoint())
+
+
 def _hidden(flagged: Table, changed: Table) -> DataFrame:
     """Without the helper columns that a rule needed."""
     return changed.df.drop("__hit", "__p", "__old", "__new")

@@ -269,6 +269,24 @@ def test_foreign_keys(spark):
     assert family(spark, "cascade").get_parent_row({"p": 2}, "pc")["id"] == 2
 
 
+def test_cascade_follows_a_table_to_its_depth(spark):
+    def staff(rule):
+        d = DataSet("d")
+        d.add_table(Table.from_objects(spark, [{"id": i, "boss": i - 1 if i > 1 else None} for i in range(1, 9)] + [{"id": 20, "boss": None}], table_name="E", primary_key="id"))
+        d.add_table(Table.from_objects(spark, [{"id": 1, "e": 8}], table_name="T", primary_key="id"))
+        d.add_relation("ee", "E", "E", "id", "boss")
+        d.add_relation("et", "E", "T", "id", "e")
+        d.add_foreign_key_constraint("ee", "cascade")
+        d.add_foreign_key_constraint("et", rule)
+        return d
+
+    d = staff("setnull").delete("E", "id = 1")
+    assert states(d.table("E")) == dict.fromkeys(range(1, 9), "DELETED") | {20: "UNCHANGED"}
+    assert values(d.table("T"), "id", "e") == [(1, None)]
+    with pytest.raises(ConstraintViolationError):
+        staff("restrict").delete("E", "id = 1")
+
+
 def test_data_set_round_trip(spark):
     d = family(spark, "cascade").delete("P", "id = 1")
     again = DataSet.deserialize(spark, d.serialize())
