@@ -35,16 +35,17 @@ from pyspark.sql import types as T
 from tabulon.llm import common
 
 NONE = np.int32(2**31 - 1)
-#: Chunks remembered by a worker; then new ones are kept for one part only.
-CACHE_ENTRIES = 300_000
+#: Chunks remembered by a worker, and their characters in all; then new ones are kept for one part only, as longer ones are.
+CACHE_ENTRIES = 200_000
+CACHE_CHARS = 3_000_000
+LONGEST_REMEMBERED = 200
 #: Words up to this many bytes are merged in lockstep, longer ones alone.
 LOCKSTEP_BYTES = 32
 #: Texts of a batch are taken in parts of about so many characters.
-PART_CHARS = 8_000_000
+PART_CHARS = 2_000_000
 
-#: The published split pattern of this byte-level vocabulary, its branches reordered: no two of them can start at the
-#: same character except the contractions and the symbol runs, whose order is kept.
-SPLIT = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The published split pattern of this byte-level vocabulary (a fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_symbols() -> list[str]:
@@ -313,7 +314,7 @@ class ByteBPE:
 MARKS = frozenset(",.;:!?\n")
 
 #: White space, a space, and white space or the end: only there does a run of white space reach over chunk borders.
-_CROSSING = re.compile(r"\s (?:\s|\Z)").search
+crosses = re.compile(r"\s (?:\s|\Z)").search
 
 
 class ChunkMemory:
@@ -327,6 +328,7 @@ class ChunkMemory:
         self.model, self.values, self.join = model, values, join
         self.first: dict[str, object] = {}
         self.led: dict[str, object] = {}
+        self.chars = 0
 
     def _learn(self, memory: dict[str, object], lead: str, chunks: set[str]) -> None:
         if not chunks:
@@ -359,7 +361,7 @@ class ChunkMemory:
     def _segments_plain(self, text: str) -> list:
         if not text:
             return []
-        if _CROSSING(text):
+        if crosses(text):
             return [("pieces", self.model.pretokens(text))]
         return [("chunks", text.split(" "))]
 
@@ -386,7 +388,7 @@ class ChunkMemory:
         first.discard("")
         first.difference_update(self.first)
         led.difference_update(self.led)
-        full = len(self.first) + len(self.led) > CACHE_ENTRIES
+        full = len(self.first) + len(self.led) > CACHE_ENTRIES or self.chars > CACHE_CHARS
         self._learn(self.first, "", first)
         self._learn(self.led, " ", led)
         self.first[""] = self.join([])
@@ -405,11 +407,13 @@ class ChunkMemory:
                 else:
                     parts.append(special(x))
             out.append(self.join(parts))
-        if full:  # the chunks met first are the frequent ones; later ones are forgotten again
-            for chunk in first:
-                del self.first[chunk]
-            for chunk in led:
-                del self.led[chunk]
+        # the chunks met first are the frequent ones; when the memory is full, later ones are forgotten again
+        for memory, new in ((self.first, first), (self.led, led)):
+            for chunk in new:
+                if full or len(chunk) > LONGEST_REMEMBERED:
+                    del memory[chunk]
+                else:
+                    self.chars += len(chunk)
         return out
 
 
@@ -426,22 +430,15 @@ class Encoder:
         return [np.frombuffer(x, dtype=kind) for x in packed]
 
 
-@functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One for each worker and file: its memory lasts over tasks."""
-    return Encoder(path)
+_encoders: dict[str, Encoder] = {}
 
 
-def parts(texts: list[str], chars: int = PART_CHARS) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of about so many characters."""
-    start, total = 0, 0
-    for at, text in enumerate(texts):
-        if total and total + len(text) > chars:
-            yield start, at
-            start, total = at, 0
-        total += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+def encoder(path: str) -> Encoder:
+    """One for each worker and file: its memory lasts over tasks."""
+    common.claim("bpe", _encoders.clear)
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -454,13 +451,12 @@ def encode(df: DataFrame, path: str, column: str = "text", output: str = "ids")
     """``df`` with the ids of ``column`` as array<int>; no shuffle, one pass."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = common.texts_of(batch.column(batch.schema.names.index(column)))
-        for a, b in parts(texts):
-            rows = encoder(path)(texts[a:b])
+        for first, texts in common.text_slices(batch.column(batch.schema.names.index(column)), PART_CHARS):
+            rows = encoder(path)(texts)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
             flat = np.concatenate(rows).astype(np.int32) if rows else np.array([], np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            own = batch.slice(a, b - a)
+            own = batch.slice(first, len(texts))
             yield pa.RecordBatch.from_arrays([*own.columns, ids], names=[*batch.schema.names, output])
 
     return common.map_batches(df, run, _with(df, output, T.ArrayType(T.IntegerType())))
@@ -484,11 +480,10 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", column: str = "tex
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        texts = common.texts_of(batch.column(1))
         counts, ids_digest, text_digest = [], [], []
         id_text, id_bytes = coder.model.id_texts.__getitem__, coder.model.token_bytes.__getitem__
-        for a, b in parts(texts):
-            for row in coder(texts[a:b]):
+        for _, texts in common.text_slices(batch.column(1), PART_CHARS):
+            for row in coder(texts):
                 ids = row.tolist()
                 counts.append(len(ids))
                 ids_digest.append(hashlib.sha256(",".join(map(id_text, ids)).encode()).hexdigest())

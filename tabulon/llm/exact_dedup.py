@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut
+from tabulon.llm.common import by_row, cut
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of content that a folding task holds before it hands its records on.
@@ -243,6 +243,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", column: str = "text", bucke
 
 
 def drop_copies(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay; ``key`` is taken to be unique."""
-    kept = exact_groups(df, key, column).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return df.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of ``df`` that stay, one of each text; of rows with the same key and text any one stays."""
+    rows, name = by_row(df, key)
+    kept = exact_groups(rows, name, column).where("kept").select(F.col("doc_id").alias("__kept_id"))
+    return rows.join(kept, F.col(name).cast("long") == F.col("__kept_id"), "left_semi").select(*df.columns)

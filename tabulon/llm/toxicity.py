@@ -31,13 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.llm.common import claim, text_slices
+
 #: Labelled rows of each label that are collected for learning, at most.
 SAMPLE = 1000
 FEATURE_BITS = 18
 #: Sequences are learned in pieces of so many tokens (scoring knows no pieces).
 PIECE = 256
 EPOCHS = 40
-WORDS_REMEMBERED = 300_000
+#: A worker remembers words up to so many, and up to so many characters in all.
+WORDS_REMEMBERED = 100_000
+CHARS_REMEMBERED = 4_000_000
+#: Characters that are tokenised at once.
+SLICE_CHARS = 1_500_000
+#: Labelled texts that are learned from have so many characters in all, at most; the rows drawn last are left out first.
+SAMPLE_CHARS = 40_000_000
 #: A stem or form is toxic evidence if it stands in so many contexts and in this share of the toxic sample, and from these
 #: log-odds against the clean one on.
 MIN_CONTEXTS = 4
@@ -137,26 +145,27 @@ def toxic_forms(documents: list[list[str]], labels: np.ndarray) -> set[str]:
     least = max(MIN_CONTEXTS, math.ceil(MIN_SHARE * int((labels == 1).sum())))
     candidates = {name for name, n in often.items() if n >= least}
     del often
-    contexts: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
+    number = {name: i for i, name in enumerate(sorted(candidates))}
+    of_word: dict[str, list[int]] = {}  # the candidates among each word's stems
+    found: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     for words, label in zip(documents, labels, strict=True):
-        own: dict[str, int] = {}
+        own: dict[int, int] = {}
         for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            found = candidates.intersection(stems(word))
-            if found:
+            mine = of_word.get(word)
+            if mine is None:
+                mine = of_word[word] = [number[x] for x in stems(word) if x in number]
+            if mine:
                 place = zlib.crc32(f"{before} {word} {after}".encode("utf-8", errors="replace"))
-                for name in found:
+                for name in mine:
                     if place < own.get(name, 1 << 32):
                         own[name] = place
-        for name, place in own.items():
-            contexts[label].setdefault(name, set()).add(place)
+        if own:
+            found[label].append(np.fromiter((name << 32 | place for name, place in own.items()), dtype=np.int64, count=len(own)))
+    # distinct contexts of each candidate, among clean and toxic documents
+    other, places = (np.bincount(np.unique(np.concatenate(x)) >> 32, minlength=len(number)) if x else np.zeros(len(number), np.int64) for x in found)
     clean, toxic = (max(1, int((labels == k).sum())) for k in (0, 1))
-    out = set()
-    for name, places in contexts[1].items():
-        if len(places) >= least:
-            other = len(contexts[0].get(name, ()))
-            if math.log((len(places) + 0.5) / toxic) - math.log((other + 0.5) / clean) >= MIN_LOG_ODDS:
-                out.add(name)
-    return out
+    odds = np.log((places + 0.5) / toxic) - np.log((other + 0.5) / clean)
+    return {name for name, i in number.items() if places[i] >= least and odds[i] >= MIN_LOG_ODDS}
 
 
 def train(texts: list[str], labels: list[int], totals: tuple[int, int]) -> Model:
@@ -168,13 +177,16 @@ def train(texts: list[str], labels: list[int], totals: tuple[int, int]) -> Model
         model.share = totals[1] / sum(totals) if sum(totals) else 0.0
         return model
     shared: dict[str, str] = {}  # one object for each form
-    documents = [[shared.setdefault(w, w) for w in tokens(t)] for t in texts]
+    documents = []
+    while texts:  # the list is emptied as it is read
+        documents.append([shared.setdefault(w, w) for w in tokens(texts.pop())])
+    documents.reverse()
     marks = toxic_forms(documents, y)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in documents for w in d))}
     slots = _slots(list(vocabulary))
     toxic_word = np.array([not marks.isdisjoint(stems(w)) for w in vocabulary], dtype=bool)
     lengths = np.array([len(d) for d in documents])
-    ids = np.fromiter((vocabulary[w] for d in documents for w in d), dtype=np.int64, count=int(lengths.sum()))
+    ids = np.fromiter((vocabulary[w] for d in documents for w in d), dtype=np.int32, count=int(lengths.sum()))
     truth = toxic_word[ids] & np.repeat(y == 1, lengths)
     del documents, shared
     ends = np.cumsum(lengths)
@@ -196,17 +208,21 @@ def train(texts: list[str], labels: list[int], totals: tuple[int, int]) -> Model
     padded = np.concatenate((slots, np.full((1, FEATURES), size - 1, np.int32)))
     seen = [np.where(x < 0, none, x) for x in (ids, before, after)]
     scale = 1.0 / max(1, truth.sum())
+    moving = np.nonzero(inner)[0]
+    told = np.bincount(2 * truth[moving] + truth[moving + 1], minlength=4)
     for epoch in range(EPOCHS):
         emissions = sum(w[padded].sum(axis=1)[s] for w, s in zip(weights, seen, strict=True))
         logits, ahead, behind = forward_backward(emissions, pieces, plain[:4], plain[4])
         error = sigmoid(logits) - truth
         # expected moves between the tokens of a piece, against the labelled ones
-        at = np.nonzero(inner)[0]
-        joint = np.stack([np.zeros(len(at)), emissions[at + 1] + behind[at + 1], ahead[at], ahead[at] + emissions[at + 1] + behind[at + 1]], axis=1) + plain[:4]
-        joint = np.exp(joint - joint.max(axis=1, keepdims=True))
-        joint /= joint.sum(axis=1, keepdims=True)
-        told = np.bincount(2 * truth[at] + truth[at + 1], minlength=4)
-        steps = np.append((joint.sum(axis=0) - told), error[piece_ends - pieces].sum()) * scale
+        expected = np.zeros(4)
+        for start in range(0, len(moving), 100_000):
+            at = moving[start : start + 100_000]
+            later = emissions[at + 1] + behind[at + 1]
+            joint = np.stack([np.zeros(len(at)), later, ahead[at], ahead[at] + later], axis=1) + plain[:4]
+            joint = np.exp(joint - joint.max(axis=1, keepdims=True))
+            expected += (joint / joint.sum(axis=1, keepdims=True)).sum(axis=0)
+        steps = np.append(expected - told, error[piece_ends - pieces].sum()) * scale
         own_squares += steps * steps
         rate = 0.5 / (1 + epoch / 20)
         plain -= rate * steps / np.sqrt(own_squares)
@@ -239,13 +255,15 @@ class Tagger:
     def __init__(self, model: Model):
         self.model = model
         self.weights: dict[str, int] = {}
-        self.table = np.zeros((1 << 16, 3))
+        self.chars = 0
+        self.table = np.zeros((1 << 12, 3))
 
     def _ids(self, documents: list[list[str]]) -> np.ndarray:
         words = {w for d in documents for w in d}
-        if len(self.weights) + len(words) > WORDS_REMEMBERED:
-            self.weights = {}
+        if len(self.weights) + len(words) > WORDS_REMEMBERED or self.chars > CHARS_REMEMBERED:
+            self.weights, self.chars = {}, 0
         new = [w for w in words if w not in self.weights]
+        self.chars += sum(map(len, new))
         first = len(self.weights)
         if first + len(new) > len(self.table):
             grown = np.zeros((2 * (first + len(new)), 3))
@@ -289,6 +307,7 @@ _taggers: dict[int, Tagger] = {}
 
 def _tagger(shared) -> Tagger:
     """One for each model and worker."""
+    claim("toxicity", _taggers.clear)
     if shared.id not in _taggers:
         _taggers.clear()
         _taggers[shared.id] = Tagger(shared.value)
@@ -321,19 +340,21 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str =
         part = known.where(F.col("label") == value).orderBy(F.md5(F.col("__key").cast("string")), "__key").limit(sample)
         drawn = part if drawn is None else drawn.union(part)
     # at most 2 * sample rows of two numbers: small by construction
-    rows = docs.select(F.col(key).alias("__key"), F.col(column).alias("text")).join(F.broadcast(drawn), "__key").orderBy("__key").collect()
-    return train([r["text"] or "" for r in rows], [r["label"] for r in rows], (totals.get(0, 0), totals.get(1, 0)))
-
-
-def _parts(texts: list[str | None], most: int = 3_000_000) -> Iterator[tuple[int, int]]:
-    start, total = 0, 0
-    for at, text in enumerate(texts):
-        if total and total + len(text or "") > most:
-            yield start, at
-            start, total = at, 0
-        total += len(text or "")
-    if start < len(texts):
-        yield start, len(texts)
+    own = docs.select(F.col(key).alias("__key"), F.col(column).alias("text")).join(F.broadcast(drawn), "__key")
+    # of rows that repeat a key the longest text counts, and the sample is bounded in characters too
+    sizes = own.groupBy("__key", "label").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("size"))
+    order = {r["__key"]: r["size"] for r in sizes.orderBy(F.md5(F.col("__key").cast("string")), "__key").collect()}
+    kept, total = [], 0
+    for name, size in order.items():
+        total += size
+        if total <= SAMPLE_CHARS:
+            kept.append(name)
+    whole = len(kept) == len(order)
+    picked = own if whole else own.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in kept], own.select("__key").schema)), "__key")
+    rows = picked.groupBy("__key", "label").agg(F.max_by(F.coalesce("text", F.lit("")), F.struct(F.coalesce(F.length("text"), F.lit(0)), "text")).alias("text")).orderBy("__key").collect()
+    texts, marks = [r["text"] for r in rows], [r["label"] for r in rows]
+    del rows
+    return train(texts, marks, (totals.get(0, 0), totals.get(1, 0)))
 
 
 def score(df: DataFrame, model: Model, column: str = "text", output: str = "score") -> DataFrame:
@@ -345,9 +366,9 @@ def score(df: DataFrame, model: Model, column: str = "text", output: str = "scor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(shared)
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(column)).to_pylist()
-            own = [tagger.scores(texts[a:b]) for a, b in _parts(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(own) if own else [], pa.float64())], names=[*batch.schema.names, output])
+            for first, texts in text_slices(batch.column(batch.schema.names.index(column)), SLICE_CHARS):
+                own = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(tagger.scores(texts), pa.float64())], names=[*batch.schema.names, output])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.DoubleType())]))
 
@@ -377,7 +398,8 @@ def tag(df: DataFrame, model: Model, column: str = "text", output: str = "toxic_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(shared)
         for batch in batches:
-            rows = [spans(tagger, t or "") for t in batch.column(batch.schema.names.index(column)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, arrow)], names=[*batch.schema.names, output])
+            for first, texts in text_slices(batch.column(batch.schema.names.index(column)), SLICE_CHARS):
+                own = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([spans(tagger, t) for t in texts], arrow)], names=[*batch.schema.names, output])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, kind)]))
