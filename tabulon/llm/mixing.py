@@ -5,16 +5,17 @@ others (closed form: sources in order of cap by weight, running sums give the wa
 
 Schedule: slot i of the mix stands at the golden-ratio point (i * g) mod 2**32, mapped through the cumulative targets to a
 source, and is ranked among that source's slots. A source's documents, in the order of a seeded digest, form a tape of its
-tokens, repeated as often as its target asks and cut into blocks of equal tokens; its k-th slot takes its k-th block, the
-last one cut where the target ends. The points leave a source a few slots over or short; slots over are dropped, blocks
-short are appended at the end of the mix. The taken words of a document are what the scheduled blocks cover of it.
+tokens, repeated as often as its target asks and cut into blocks of BLOCK_TOKENS; its k-th slot takes its k-th block, the
+last one cut where the target ends. The points leave a source a few slots over or short; slots over are dropped, the few
+blocks short follow in closing slots, spread evenly over them. The taken words of a document are what the scheduled blocks
+cover of it, its first slot is that of its first block, and the mix of documents is in slot order.
 
 Nothing is ranked in one task: slots and tapes are ranked within buckets, and only bucket sums (a bounded number for each
-source) are summed up in order. The windows over sources see one row for each source.
+source) are summed up in order. The windows over sources see one row, or a few, for each source.
 
 Defined results: a null or blank text has size 0 and is taken 0 times. A null source is a source of its own, the last in
 order. Without any words all targets are 0. Ties in the digest are ordered by key, so reruns agree; repeated rows each have
-a place on the tape.
+a place on the tape, and rows with null keys too. Extra columns are ignored by ``mix`` and kept by ``repeat_documents``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import WORD_PATTERN, cut
+from tabulon.llm.common import WORD_PATTERN, by_row, cut
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -32,8 +33,8 @@ CAP_TIMES = 2
 #: The golden-ratio step on a ring of 2**32 points.
 GOLDEN_STEP = 2654435769
 RING = 2**32
-#: Slots of a mix for each of its sources, on average; a slot takes one block, so this sets a block's tokens.
-SLOTS_PER_SOURCE = 4096
+#: Tokens of a block, of which a slot takes one.
+BLOCK_TOKENS = 1024
 #: Parts of a tape and of the slots within which ranks are counted.
 TAPE_BUCKETS = 4096
 SLOT_CHUNK = 65_536
@@ -78,12 +79,6 @@ def tape(sizes: DataFrame) -> DataFrame:
     return inner.join(sums, inner["source"].eqNullSafe(sums["s"]) & (inner["bucket"] == sums["b"])).select("row", "doc_id", "source", "size", (F.col("base") + F.col("inner")).alias("start"))
 
 
-def block_tokens(plan: DataFrame) -> int:
-    """Tokens of a block: one number from one row for each source."""
-    found = plan.agg((F.sum("target") / F.count(F.lit(1)) / SLOTS_PER_SOURCE).alias("tokens")).first()["tokens"]
-    return max(1, int(found or 1))
-
-
 def schedule(plan: DataFrame, block: int) -> DataFrame:
     """(slot, source, block): the mix in order; every block of every source's repeated tape once."""
     run = Window.orderBy(F.col("source").asc_nulls_last())
@@ -114,36 +109,55 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     regular = ranked.where("block < blocks").select("slot", "source", "block")
     held = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("held")).withColumnRenamed("source", "s")
     short = cuts.join(held, cuts["source"].eqNullSafe(held["s"]), "left").withColumn("held", F.coalesce("held", F.lit(0))).where("held < blocks")
-    closing = short.select("source", F.explode(F.sequence(F.col("held"), F.col("blocks") - 1)).alias("block")).select((F.lit(slots) + F.col("block")).alias("slot"), "source", "block")
-    return regular.union(closing)
+    closing = short.select("source", "place", "held", "blocks", F.explode(F.sequence(F.col("held"), F.col("blocks") - 1)).alias("block"))
+    shift = F.pmod(F.col("place") * GOLDEN_STEP, F.lit(RING)) / F.lit(float(RING))
+    closing = closing.withColumn("position", (F.col("block") - F.col("held") + shift) / (F.col("blocks") - F.col("held")))
+    order = Window.orderBy("position", F.col("source").asc_nulls_last())  # a few rows for each source
+    return regular.union(closing.select((F.lit(slots) + F.row_number().over(order) - 1).alias("slot"), "source", "block"))
 
 
-def mix(df: DataFrame, key: str = "doc_id", column: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, cap_times: int = CAP_TIMES) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, whole_times, source) of every row; taken counts repeats, whole_times is
-    how often at least half of the row is taken."""
+def placements(df: DataFrame, key: str, column: str, source: str, weights: tuple[int, ...], share_percent: int, cap_times: int, block: int) -> DataFrame:
+    """Each time a row comes by on its source's repeated tape, in parts by block: (row, doc_id, source, size, source_size,
+    target, turn, left: words taken this time, opens: is it the first part, words, slot); without a block where none is taken."""
     sizes = cut(sizes_of(df, key, column, source), "sizes")
     plan = cut(targets(sizes, weights, share_percent, cap_times), "targets")
-    block = block_tokens(plan)
     slots = schedule(plan, block)
     mine = plan.withColumnRenamed("source", "s").select("s", "source_size", "target", F.floor("target").cast("long").alias("wanted"))
     rows = tape(sizes)
     rows = rows.join(mine, rows["source"].eqNullSafe(mine["s"])).drop("s")
-    # each time a row comes by on the repeated tape, the part before the target's end, cut at block borders
+    # the part before the target's end, cut at block borders
     turns = F.sequence(F.lit(0), F.lit(cap_times - 1))
     came = rows.withColumn("turn", F.explode(turns)).withColumn("a", F.col("turn") * F.col("source_size") + F.col("start"))
     came = came.withColumn("z", F.least(F.col("a") + F.col("size"), F.col("wanted"))).withColumn("left", F.greatest(F.col("z") - F.col("a"), F.lit(0)))
     spans = F.when(F.col("left") > 0, F.sequence(F.expr(f"a DIV {block}"), F.expr(f"(z - 1) DIV {block}")))
     parts = came.withColumn("block", F.explode_outer(spans))
-    own = slots.select(F.col("source").alias("s"), F.col("block").alias("b"))
+    own = slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "slot")
     met = parts.join(own, parts["source"].eqNullSafe(own["s"]) & (parts["block"] == own["b"]), "left")
     words = F.when(F.col("b").isNotNull(), F.least("z", (F.col("block") + 1) * block) - F.greatest("a", F.col("block") * block)).otherwise(0)
-    half = F.when((F.col("size") > 0) & (2 * F.col("left") >= F.col("size")) & (F.coalesce(F.col("block"), F.lit(0)) == F.coalesce(F.expr(f"a DIV {block}"), F.lit(0))), 1).otherwise(0)
-    return met.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"), F.sum(half).cast("long").alias("whole_times")).select(
-        "doc_id", "size", "source_size", "target", "taken", "whole_times", "source"
+    opens = F.coalesce(F.col("b") == F.expr(f"a DIV {block}"), F.lit(False))
+    return met.select("row", "doc_id", "source", "size", "source_size", "target", "turn", "left", opens.alias("opens"), words.cast("long").alias("words"), "slot")
+
+
+def mix(
+    df: DataFrame, key: str = "doc_id", column: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT,
+    cap_times: int = CAP_TIMES, block: int = BLOCK_TOKENS,
+) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, first_slot, source) of every row; taken counts repeats, first_slot is null
+    where nothing is taken."""
+    placed = placements(df, key, column, source, weights, share_percent, cap_times, block)
+    return placed.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"), F.min("slot").alias("first_slot")).select(
+        "doc_id", "size", "source_size", "target", "taken", "first_slot", "source"
     )
 
 
-def repeat_documents(df: DataFrame, key: str = "doc_id", column: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``df`` as the mix takes them: each as often as at least half of it is taken; ``key`` is taken to be unique."""
-    times = mix(df, key, column, source).where("whole_times > 0").select(F.col("doc_id").alias("__key"), "whole_times")
-    return df.join(times, F.col(key) == F.col("__key")).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("whole_times")))).select(*[df[c] for c in df.columns])
+def repeat_documents(
+    df: DataFrame, key: str = "doc_id", column: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT,
+    cap_times: int = CAP_TIMES, block: int = BLOCK_TOKENS,
+) -> DataFrame:
+    """The mix as rows of ``df``, in slot order: each row once for every time that any of it is taken (the last one of a
+    source may be cut by its target, and comes whole)."""
+    rows, name = by_row(df, key)
+    placed = placements(rows, name, column, source, weights, share_percent, cap_times, block).where("opens")
+    times = placed.select(F.col("doc_id").alias("__key"), F.col("slot").alias("__slot"))
+    mixed = rows.join(times, F.col(f"`{name}`") == F.col("__key"))
+    return mixed.orderBy("__slot", "__key").select(*[rows[c] for c in df.columns])

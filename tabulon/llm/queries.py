@@ -29,7 +29,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "source")
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,10 +123,37 @@ ORACLE_SQL: dict[str, str] = {
             FROM leveled),
         tape AS (
             SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix' || doc_id), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-            FROM sizes)
-        SELECT doc_id, size, source_size, target,
-            (greatest(least(a + size, floor(target)) - a, 0) + greatest(least(a + size + source_size, floor(target)) - a - source_size, 0))::BIGINT AS taken, source
-        FROM tape JOIN plan USING (source)""",
+            FROM sizes),
+        cuts AS (
+            SELECT source, ceil(floor(target) / 1024)::BIGINT AS blocks, row_number() OVER r AS place, count(*) OVER () AS places,
+                floor(sum(target) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / (sum(target) OVER ()) * 4294967296)::BIGINT AS edge,
+                floor((sum(target) OVER ()) / 1024)::BIGINT AS slots
+            FROM plan WHERE target >= 1 WINDOW r AS (ORDER BY source NULLS LAST)),
+        owners AS (
+            SELECT source, blocks, place, slots, coalesce(lag(edge) OVER (ORDER BY place), 0) AS lower_, CASE WHEN place = places THEN 4294967296 ELSE edge END AS upper_ FROM cuts),
+        points AS (SELECT i AS slot, (i * 2654435769) % 4294967296 AS point FROM range((SELECT max(slots) FROM cuts)) t(i)),
+        ranked AS (
+            SELECT slot, place, blocks, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS block FROM points JOIN owners ON point >= lower_ AND point < upper_),
+        short AS (
+            SELECT place, blocks, slots, coalesce(held, 0) AS held FROM owners LEFT JOIN (SELECT place, count(*) AS held FROM ranked GROUP BY place) USING (place)
+            WHERE coalesce(held, 0) < blocks),
+        closing AS (
+            SELECT place, slots, held + j AS block, (j + ((place * 2654435769) % 4294967296) / 4294967296.0::DOUBLE) / (blocks - held) AS position
+            FROM (SELECT *, unnest(range(blocks - held)) AS j FROM short)),
+        schedule AS (
+            SELECT source, block, slot FROM (
+                SELECT place, block, slot FROM ranked WHERE block < blocks
+                UNION ALL SELECT place, block, slots + row_number() OVER (ORDER BY position, place) - 1 FROM closing) JOIN cuts USING (place)),
+        turns AS (
+            SELECT t.doc_id, t.source, t.size, source_size, target, a + k * source_size AS a, least(a + k * source_size + size, floor(target)::BIGINT) AS z
+            FROM tape t JOIN plan p ON t.source IS NOT DISTINCT FROM p.source, range(2) r(k)),
+        parts AS (
+            SELECT turns.*, b.block, s.slot, least(z, (b.block + 1) * 1024) - greatest(a, b.block * 1024) AS words
+            FROM turns, LATERAL (SELECT unnest(CASE WHEN z > a THEN range((a // 1024)::BIGINT, ((z - 1) // 1024 + 1)::BIGINT) ELSE [] END) AS block) b
+            JOIN schedule s ON s.source IS NOT DISTINCT FROM turns.source AND s.block = b.block)
+        SELECT t.doc_id, t.size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, t.source
+        FROM tape t JOIN plan p ON t.source IS NOT DISTINCT FROM p.source
+        LEFT JOIN (SELECT doc_id, sum(words) AS taken, min(slot) AS first_slot FROM parts GROUP BY doc_id) USING (doc_id)""",
     "op6_exact_dedup": r"""
         WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x09-\x0D\x20]', '', 'g') AS content FROM documents)
         SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
