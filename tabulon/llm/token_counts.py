@@ -6,6 +6,10 @@ vocabulary entry ``piece[i:j]`` that may follow the last token at ``i`` (two tok
 joined bytes encode as these two), and count[j] = count[i] + 1. Nothing is encoded again for another prefix: truncation and
 budget questions read the stored counts.
 
+A text's table is put together from the tables of its space-led chunks, which a worker remembers within bounds: an entry is
+what the chunks before have in all, and the chunk's own count there. Texts where white space runs over a chunk's border, or
+with special strings, are done piece by piece.
+
 Defined results: null and empty texts have 0 tokens and the prefix table [0]. Special strings inside a text count one, as the
 library reads them by default. Texts are never cut; prefixes are counted in code points. Extra columns of the input are kept.
 """
@@ -29,13 +33,19 @@ NEIGHBOURS = 1_000_000
 _SPACE = regex.compile(r"\s+").fullmatch
 
 
+#: Letters that make a contraction only with the one that follows.
+_OPEN = ("'re", "'ve", "'ll")
+
+
 class PrefixCounter:
     def __init__(self, path: str):
         self.model = bpe.ByteBPE(path)
         self.neighbours: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.known_pairs = bpe.IntTable(20, -1)
-        self.memory = bpe.ChunkMemory(self.model, self.piece_totals, sum)
+        self.known: dict[str, list[int]] = {}  # of the pieces at hand: the count of each prefix by code points
+        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # first chunks of a text and space-led ones
+        self.chars = 0
 
     def _may_follow(self, left: int, right: int) -> bool:
         key = left << 32 | right
@@ -53,15 +63,34 @@ class PrefixCounter:
             known = self.alone[token] = self.model.merge_word(self.model.token_bytes[token]) == [token]
         return known
 
+    @functools.cached_property
+    def _endings(self) -> tuple[dict[int, int], list[int]]:
+        """Transitions over the vocabulary's entries read backwards, and the token that is whole at each node or -1."""
+        nodes: dict[int, int] = {}
+        tokens = [-1]
+        for token, token_id in self.model.vocab.items():
+            node = 0
+            for byte in reversed(token):
+                node = nodes.setdefault(node << 8 | byte, len(nodes) + 1)
+                if node == len(tokens):
+                    tokens.append(-1)
+            tokens[node] = token_id
+        return nodes, tokens
+
     def piece(self, piece: bytes) -> list[int]:
         """The token count of each byte prefix of a piece, the empty one first."""
-        vocab, neighbours = self.model.vocab.get, self.neighbours.get
-        longest = self.model.max_token_bytes
+        step, token_of = self._endings[0].get, self._endings[1]
+        neighbours = self.neighbours.get
         counts, last = [0], [-1]
         for j in range(1, len(piece) + 1):
-            for i in range(j - longest if j > longest else 0, j):
-                token = vocab(piece[i:j])
-                if token is None:
+            node = 0
+            for i in range(j - 1, -1, -1):
+                node = step(node << 8 | piece[i], -1)
+                if node < 0:
+                    i = -1  # noqa: PLW2901
+                    break
+                token = token_of[node]
+                if token < 0:
                     continue
                 if i == 0:
                     fits = self._stands_alone(token)
@@ -73,7 +102,7 @@ class PrefixCounter:
                     counts.append(counts[i] + 1)
                     last.append(token)
                     break
-            else:
+            if len(counts) == j:
                 raise ValueError("no token ends here: the vocabulary is not byte-complete")
         return counts
 
@@ -116,20 +145,26 @@ class PrefixCounter:
             known = self.known_pairs(keys)
         return known == 1
 
-    def piece_totals(self, pieces: list[bytes]) -> list[int]:
-        out = [0] * len(pieces)
-        groups: dict[int, list[int]] = {}
-        for at, piece in enumerate(pieces):
-            if len(piece) > bpe.LOCKSTEP_BYTES:
-                out[at] = self.piece(piece)[-1]
-            elif piece:
-                groups.setdefault(-(-len(piece) // 4) * 4, []).append(at)
+    def learn(self, pieces: set[str]) -> None:
+        """Puts the tables of pieces among the known ones; short pieces advance together."""
+        groups: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in pieces:
+            raw = piece.encode("utf-8", errors="replace")
+            if len(raw) > bpe.LOCKSTEP_BYTES:
+                self.known[piece] = _by_char(piece, self.piece(raw))
+            else:
+                groups.setdefault(-(-len(raw) // 4) * 4, []).append((piece, raw))
         for width, group in groups.items():
-            for start in range(0, len(group), 50_000):
-                own = group[start : start + 50_000]
-                for at, n in zip(own, self._lockstep([pieces[at] for at in own], width).tolist(), strict=True):
-                    out[at] = n
-        return out
+            for start in range(0, len(group), 20_000):
+                own = group[start : start + 20_000]
+                tables = self._lockstep([raw for _, raw in own], width).T
+                for (piece, raw), table in zip(own, tables.tolist(), strict=True):
+                    self.known[piece] = _by_char(piece, table[: len(raw) + 1])
+
+    def _table(self, piece: str) -> list[int]:
+        if piece not in self.known:
+            self.learn({piece})
+        return self.known[piece]
 
     def _lockstep(self, pieces: list[bytes], width: int) -> np.ndarray:
         step, token_of = self._trie
@@ -157,73 +192,141 @@ class PrefixCounter:
                 rows = rows[fits]
                 last[j][rows] = tokens[fits]
                 counts[j][rows] = counts[i][rows] + 1
-        return counts[lengths, np.arange(n)]
+        return counts
 
-    def totals(self, texts: list[str]) -> list[int]:
-        """The count of each whole text: the last entry of its prefix table, from its pieces' tables."""
-        return self.memory(texts, lambda _: 1)
-
-    def _ordinary(self, text: str, out: np.ndarray, at: int, base: int) -> tuple[int, int, int]:
-        """Fills out for a text without special strings. Returns the count at its end, and where its last piece (or
-        run of white space) begins with the count there: only that may change when more text follows."""
-        count, start, run, run_count, run_table = base, 0, None, base, [0]
-        for piece in self.model.pretokens(text):
-            table = self.piece(piece.encode("utf-8", errors="replace"))
-            ends = np.cumsum([0, *(len(c.encode("utf-8", errors="replace")) for c in piece)])
+    # -- texts -------------------------------------------------------------------------------------------------------
+
+    def _ordinary(self, pieces: list[str], text: str) -> tuple[list[int], int, int]:
+        """The count of each prefix of a text without special strings, cut into pieces; where its last piece (or run of white
+        space) begins, and the count of all before it: only that piece may change when more text follows."""
+        out, count, start, run, run_count, tail, before = [0], 0, 0, None, 0, 0, 0
+        for piece in pieces:
+            table = self._table(piece)
             spaces = len(piece) if _SPACE(piece) else int(piece[0] == " ")
             if spaces:
                 if run is None:  # the run of white space is one piece for any prefix that ends inside it
                     run, run_count = start, count
-                run_table = self.piece(text[run : start + spaces].encode())
-                sizes = np.cumsum([len(c.encode()) for c in text[run : start + spaces]])
-                for k in range(spaces):
-                    out[at + start + k + 1] = run_count + run_table[sizes[start - run + k]]
-            for k in range(spaces + 1, len(piece) + 1):
-                out[at + start + k] = count + table[ends[k]]
-            if len(piece) == 3 and piece in ("'re", "'ve", "'ll"):  # before its last letter it is no contraction yet
-                out[at + start + 2] = count + 2
+                out += [run_count + n for n in self._table(text[run : start + spaces])[start - run + 1 :]]
+            out += [count + n for n in table[spaces + 1 :]]
+            if piece in _OPEN:  # before its last letter it is no contraction yet
+                out[start + 2] = count + 2
             if spaces < len(piece):
                 run = None
-            last = (start, count) if run is None else (run, run_count)
+            tail, before = (start, count) if run is None else (run, run_count)
             start, count = start + len(piece), count + table[-1]
-        return (count, *last) if text else (base, 0, base)
+        return out, tail, before
 
     def table(self, text: str) -> np.ndarray:
         """Entry i is the token count of text[:i]."""
-        out = np.zeros(len(text) + 1, dtype=np.int32)
         split = self.model.special_split
-        at, count, before = 0, 0, ("", 0)
-        for part in split.split(text) if split is not None else [text]:
+        parts = split.split(text) if split is not None else [text]
+        out, before, held = [0], "", 0  # what a cut special string would be joined with, and the count of all before that
+        for part in parts:
+            base = out[-1]
             if part in self.model.special:
-                tail, base = before
-                for k in range(1, len(part)):
-                    out[at + k] = base + self.totals([tail + part[:k]])[0]
-                count += 1
-                out[at + len(part)] = count
-                before = ("", count)
+                joined = before + part[:-1]  # without its last letter it is ordinary text
+                own = self._ordinary(self.model.pretokens(joined), joined)[0]
+                out += [held + n for n in own[len(before) + 1 :]]
+                out.append(base + 1)
+                before, held = "", base + 1
             elif part:
-                count, tail_at, tail_count = self._ordinary(part, out, at, count)
-                before = (part[tail_at:], tail_count)
-            at += len(part)
-        return out
+                own, tail, held = self._ordinary(self.model.pretokens(part), part)
+                out += [base + n for n in own[1:]]
+                before, held = part[tail:], base + held
+        return np.array(out, dtype=np.int32)
+
+    def tables(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The table of each text."""
+        special = self.model.special
+        plain = [not bpe.crosses(t) and not any(s in t for s in special) for t in texts]
+        parsed = [t.split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
+        new: tuple[set[str], set[str]] = (set(), set())
+        for chunks in parsed:
+            if chunks is not None:
+                new[0].add(chunks[0])
+                new[1].update(chunks[1:])
+        cut_up: list[tuple[int, str, str, list[str]]] = []
+        pieces: set[str] = set()
+        for led in (0, 1):
+            new[led].difference_update(self.chunks[led])
+            for chunk in new[led]:
+                text = " " * led + chunk + " "  # the space that leads the next chunk belongs to this one's table
+                own = self.model.pretokens(text)
+                pieces.update(own)
+                cut_up.append((led, chunk, text, own))
+        self.learn(pieces)
+        for led, chunk, text, own in cut_up:
+            table = self._ordinary(own, text)[0]
+            self.chunks[led][chunk] = np.array([table[led + len(chunk)], *table[led + 1 :]], np.int32).tobytes()
+        del cut_up
+        first, rest = self.chunks[0].__getitem__, self.chunks[1].__getitem__
+        for text, chunks in zip(texts, parsed, strict=True):
+            if chunks is None:
+                yield self.table(text)
+                continue
+            packed = [first(chunks[0]), *map(rest, chunks[1:])]
+            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+            joined = np.frombuffer(b"".join(packed), np.int32)
+            starts = np.cumsum(sizes) - sizes
+            totals = joined[starts]
+            out = np.repeat(np.cumsum(totals) - totals, sizes) + joined
+            keep = np.ones(len(out), dtype=bool)
+            keep[starts[1:]] = False  # there stood the totals; the first one's place is that of the empty prefix
+            keep[-1] = False
+            out[0] = 0
+            yield out[keep].astype(np.int32)
+        self.known.clear()
+        full = sum(map(len, self.chunks)) > bpe.CACHE_ENTRIES or self.chars > bpe.CACHE_CHARS
+        for led in (0, 1):  # the chunks met first are the frequent ones; when the memory is full, later ones are forgotten
+            for chunk in new[led]:
+                if full or len(chunk) > bpe.LONGEST_REMEMBERED:
+                    del self.chunks[led][chunk]
+                else:
+                    self.chars += len(chunk)
+
+    def totals(self, texts: list[str]) -> list[int]:
+        """The count of each whole text: the last entry of its table."""
+        return [int(t[-1]) for t in self.tables(texts)]
+
+
+def _by_char(piece: str, table: list[int]) -> list[int]:
+    """From a table by bytes to one by code points."""
+    if len(table) == len(piece) + 1:
+        return table
+    out, at = [0], 0
+    for c in piece:
+        at += len(c.encode("utf-8", errors="replace"))
+        out.append(table[at])
+    return out
+
+
+_counters: dict[str, PrefixCounter] = {}
 
 
-@functools.lru_cache(maxsize=4)
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    """One for each worker and file: its memory lasts over tasks."""
+    common.claim("token counts", _counters.clear)
+    if path not in _counters:
+        _counters[path] = PrefixCounter(path)
+    return _counters[path]
 
 
 def count_tokens(df: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, n_bytes, n_tokens, over_limit) of every row; one pass, no shuffle."""
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
+    """(key, n_bytes, n_tokens, over_limit, fitting_chars) of every row, read from each text's prefix counts; fitting_chars is
+    the length of the longest prefix of at most ``limit`` tokens. One pass, no shuffle."""
+    kinds = (("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType()), ("fitting_chars", T.LongType()))
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(n, k) for n, k in kinds)])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = common.texts_of(batch.column(1))
-        sizes = [len(t.encode()) for t in texts]
-        counts: list[int] = []
-        for a, b in bpe.parts(texts):
-            counts += counter(path).totals(texts[a:b])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=schema.names)
+        for start, texts in common.text_slices(batch.column(1), bpe.PART_CHARS):
+            counts, fitting = [], []
+            for table in counter(path).tables(texts):
+                counts.append(int(table[-1]))
+                fitting.append(len(table) - 1 if counts[-1] <= limit else int(np.flatnonzero(table <= limit)[-1]))
+            sizes = [len(t.encode()) for t in texts]
+            own = batch.slice(start, len(texts))
+            columns = [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(fitting, pa.int64())]
+            yield pa.RecordBatch.from_arrays([own.column(0), *columns], names=schema.names)
 
     return common.map_batches(df.select(key, column), run, schema)
 
@@ -237,7 +340,7 @@ def prefix_tables(df: DataFrame, path: str, column: str = "text", output: str =
         for at in range(batch.num_rows):  # a table is as long as its text, so rows go out one by one
             own = batch.slice(at, 1)
             text = own.column(own.schema.names.index(column))[0].as_py() or ""
-            table = pa.array([counter(path).table(text)], pa.list_(pa.int32()))
+            table = pa.array(list(counter(path).tables([text])), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*own.columns, table], names=[*own.schema.names, output])
 
     return common.map_batches(df, run, T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.IntegerType()))]))

@@ -53,7 +53,22 @@ def test_every_prefix_has_its_exact_count():
     lib, counter = library(), token_counts.counter(tokenizer_path())
     for text in texts(250, 5, 10):
         assert counter.table(text).tolist() == [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
-    assert counter.piece_totals([b"", b"hello", b"ab" * 100]) == [0, counter.piece(b"hello")[-1], counter.piece(b"ab" * 100)[-1]]
+    found = texts(200, 6, 12)
+    for text, table in zip(found, counter.tables(found), strict=True):
+        assert table.tolist() == [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+    assert counter.totals(["", "hello", "ab" * 100]) == [0, counter.piece(b"hello")[-1], counter.piece(b"ab" * 100)[-1]]
+
+
+def test_memories_stay_within_their_bounds(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 200)
+    lib, counter, encoder = library(), token_counts.PrefixCounter(tokenizer_path()), bpe.Encoder(tokenizer_path())
+    long = ["漢字仮名" * 80_000, "QmFzZTY0" * 120_000, "x" * 300]
+    for _ in range(2):
+        found = [*texts(40, 7), *long]
+        want = [e.ids for e in lib.encode_batch(found, add_special_tokens=False)]
+        assert counter.totals(found) == [len(x) for x in want] and [x.tolist() for x in encoder(found)] == want
+    held = [c for memory in (*counter.chunks, encoder.memory.first, encoder.memory.led) for c in memory]
+    assert max(map(len, held)) <= bpe.LONGEST_REMEMBERED and sum(map(len, held)) < 20_000
 
 
 @pytest.fixture(scope="module")
@@ -84,10 +99,16 @@ def test_token_count_query_and_budget(rows):
     lib = library()
     got = token_counts.count_tokens(rows, tokenizer_path(), limit=5).collect()
     assert len(got) == 6
+    given = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
     for r in got:
-        text = {1: "hello world", 3: "", 5: "tail <|endoftext|>", None: ""}.get(r["doc_id"])
-        if text is not None:
-            assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (len(lib.encode(text).ids), len(text), len(lib.encode(text).ids) > 5)
+        text = given[r["doc_id"]]
+        ids = lib.encode(text, add_special_tokens=False).ids
+        assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (len(ids), len(text.encode()), len(ids) > 5)
+        fitting = [i for i in range(min(len(text), 200) + 1) if len(lib.encode(text[:i], add_special_tokens=False).ids) <= 5]
+        assert r["fitting_chars"] == max(fitting)
+    clashing = rows.withColumn("n_bytes", rows.doc_id).withColumn("over_limit", rows.doc_id)
+    assert sorted(map(tuple, token_counts.count_tokens(clashing, tokenizer_path(), limit=5).collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert token_counts.count_tokens(rows.limit(0), tokenizer_path()).count() == 0
     some = token_counts.prefix_tables(rows.where("doc_id = 1 or doc_id is null"), tokenizer_path())
     cut = some.select(token_counts.longest_prefix("prefix_tokens", 1).alias("n"), token_counts.tokens_of_prefix("prefix_tokens", 99).alias("t")).collect()
     assert sorted(map(tuple, cut)) == [(0, 0), (5, 2), (5, 2)]
