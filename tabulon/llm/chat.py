@@ -12,8 +12,9 @@ each segment: the assistant's text, without marks.
 
 Defined results: null text or role is empty. Turns with equal numbers are ordered by role, then text; repeated rows are turns
 each. A null conversation id is one conversation. Unknown layouts are returned by ``json_turns`` with the fingerprint and no
-turns (status ``unknown``), and raise ValueError for DataFrames. Extra columns with other names are ignored when turns are
-rendered.
+turns (status ``unknown``), and raise ValueError for DataFrames; a record whose turns lack a field or hold something else
+than text is ``broken``. Columns of a DataFrame that no layout names are ignored, also when turns are rendered; a column that
+another layout names makes the layout unknown. Roles of turn rows stay as they are, those of other layouts get common names.
 """
 
 from __future__ import annotations
@@ -122,13 +123,14 @@ def _named(role):
 
 def to_turns(df: DataFrame) -> DataFrame:
     """Canonical turns of a table whose schema has a known fingerprint; DataFrame operations only."""
-    layout = BY_FINGERPRINT.get(fingerprint(paths_of_type(df.schema)))
+    known = {p.split("[")[0] for x in LAYOUTS for p in x["paths"]}
+    layout = BY_FINGERPRINT.get(fingerprint(paths_of_type(T.StructType([f for f in df.schema.fields if f.name in known]))))
     if layout is None:
         raise ValueError(f"no mapping for a layout with the fields {sorted(paths_of_type(df.schema))}")
     key = F.col("conv_id").cast("long").alias("conv_id")
     if "rows" in layout:
         turn, role, text = layout["rows"]
-        return df.select(key, F.col(turn).cast("long").alias("turn"), _named(F.col(role)).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+        return df.select(key, F.col(turn).cast("long").alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     if "each" in layout:
         items, role, text = layout["each"]
         each = df.select(key, F.posexplode(items).alias("turn", "item"))
@@ -141,14 +143,24 @@ def to_turns(df: DataFrame) -> DataFrame:
 
 
 def turns_of_record(record: dict) -> list[tuple[str, str]] | None:
-    """(role, text) of each turn of one decoded record; None without a mapping."""
+    """(role, text) of each turn of one decoded record; None without a mapping. Raises ValueError if a turn lacks its role or
+    text, or they are no text."""
     layout = BY_FINGERPRINT.get(fingerprint([*paths_of_value({k: v for k, v in record.items() if k != "conv_id"}), "conv_id"]))
     if layout is None or "rows" in layout:
         return None
     if "each" in layout:
         items, role, text = layout["each"]
-        return [(ROLE_NAMES.get(x[role], x[role] or ""), x[text] or "") for x in record[items]]
-    return [(role, "\n\n".join(record[f] for f in fields if record[f])) for role, fields in layout["fields"]]
+        return [(ROLE_NAMES.get(_text_of(x, role), _text_of(x, role)), _text_of(x, text)) for x in record[items]]
+    return [(role, "\n\n".join(filter(None, (_text_of(record, f) for f in fields)))) for role, fields in layout["fields"]]
+
+
+def _text_of(record: object, name: str) -> str:
+    if not isinstance(record, dict) or name not in record:
+        raise ValueError(f"no field {name!r}")
+    value = record[name]
+    if value is not None and not isinstance(value, str):
+        raise ValueError(f"{name!r} is no text")
+    return value or ""
 
 
 def json_turns(df: DataFrame, key: str = "conv_id", column: str = "record") -> DataFrame:
@@ -168,10 +180,14 @@ def json_turns(df: DataFrame, key: str = "conv_id", column: str = "record") -> D
                     rows.append((conv, None, None, None, None, "broken"))
                     continue
                 mark = fingerprint([*paths_of_value({k: v for k, v in record.items() if k != "conv_id"}), "conv_id"])
-                turns = turns_of_record(record)
+                try:
+                    turns = turns_of_record(record)
+                except ValueError:
+                    rows.append((conv, None, None, None, mark, "broken"))
+                    continue
                 if turns is None:
                     rows.append((conv, None, None, None, mark, "unknown"))
-                rows += [(conv, i, str(role), str(said), mark, "ok") for i, (role, said) in enumerate(turns or ())]
+                rows += [(conv, i, role, said, mark, "ok") for i, (role, said) in enumerate(turns or ())]
             kinds = (pa.int64(), pa.int64(), *[pa.string()] * 4)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)

@@ -11,8 +11,8 @@ Identical vectors are one class with a multiplicity; their copies are never expa
 
 The search is approximate: a pair may be parted in all trees. Tests measure the recall against brute force; no pair below
 the threshold is ever linked. Defined results: a vector that is null, empty, zero, or holds null or non-finite components
-links with nothing and is its own component; vectors of different lengths never link. Extra columns are ignored. Repeated
-ids are taken as copies with that id; rows with a null id are left out.
+links with nothing and is its own component; vectors of different lengths never link. Extra columns are ignored. Rows that
+repeat an id are vectors each. A row with a null id links with nothing, has no component and is not kept.
 """
 
 from __future__ import annotations
@@ -26,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Cut, cut
+from tabulon.llm.common import Cut, tidy
 from tabulon.llm.components import components, forest
 
 TREES = 8
-#: Leaves up to this size are split on within one task, larger ones over the whole table.
-TASK_VECTORS = 16_384
-LEAF_VECTORS = 1_024
+#: Leaves up to this size are split on within one task, larger ones over the whole table; vectors, and bytes of them.
+TASK_VECTORS, TASK_BYTES = 16_384, 32 << 20
+#: All vectors of a leaf are compared; long vectors have smaller leaves.
+LEAF_VECTORS, LEAF_BYTES = 1_024, 4 << 20
 #: A leaf of more vectors than this is compared in blocks, each pair of blocks by itself.
-BLOCK_VECTORS = 4_096
+BLOCK_VECTORS, BLOCK_BYTES = 4_096, 16 << 20
 #: A child with more than this share of its parent means the parent is dense and stays whole.
 DENSE = 0.9
 #: Margin of a split, in standard deviations of a random projection of a pair just at the threshold.
@@ -72,24 +73,30 @@ def _valid(vector: list | None) -> np.ndarray | None:
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        units, digests, keep = [], [], []
-        raw = batch.column(1)
-        for value in raw:
+        units, digests = [], []
+        for key, value in zip(batch.column(0), batch.column(1), strict=True):
             vector = value.as_py()
-            unit = _valid(vector)
-            keep.append(unit is not None)
-            if unit is not None:
-                units.append(unit.tobytes())
-                digests.append(hashlib.blake2b((np.array(vector, np.float64) + 0.0).tobytes(), digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), pa.array(digests, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "digest", "unit"])
+            unit = _valid(vector) if key.is_valid else None
+            units.append(None if unit is None else unit.tobytes())
+            digests.append(None if unit is None else hashlib.blake2b((np.array(vector, np.float64) + 0.0).tobytes(), digest_size=16).digest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "digest", "unit"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), dtype=np.float64).reshape(len(column), -1)
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units in single precision, which is enough to find leaves."""
+    for batch in batches:
+        small = [np.frombuffer(x.as_py(), np.float64).astype(np.float32).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary()), batch.column(2)], names=["cid", "small", "leaves"])
+
+
+def _matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), dtype=kind).reshape(len(column), -1)
 
 
-def _root(tree: int, size: int) -> int:
-    return _seed(tree, size)
+def _roots(trees: int):
+    """A leaf for each tree, by the vectors' length alone."""
+    length = F.length("unit")
+    return F.array(*[F.xxhash64(F.lit(t), length).bitwiseAND(F.lit(2**63 - 1)) for t in range(trees)])
 
 
 def _child(leaf: int, side: int) -> int:
@@ -97,26 +104,27 @@ def _child(leaf: int, side: int) -> int:
 
 
 def _by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    lengths = np.array([len(x.as_py()) // 8 for x in batch.column(column)])
+    lengths = np.array([len(x.as_py()) // 4 for x in batch.column(column)])
     for size in np.unique(lengths):
         yield int(size), batch.filter(pa.array(lengths == size))
 
 
 def _leaf_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leaf, vectors, sum of projections) of a task."""
+    """(leaf, vectors, sum of projections, numbers in a vector) of a task."""
     sums: dict[int, list[float]] = {}
     for whole in batches:
         for size, batch in _by_length(whole, 0):
-            x, leaves = _matrix(batch.column(0)), batch.column(1)
+            x, leaves = _matrix(batch.column(0), np.float32), batch.column(1)
             ends = np.asarray(leaves.offsets)
             rows, flat = np.repeat(np.arange(len(x)), np.diff(ends)), leaves.flatten().to_numpy(zero_copy_only=False)
             for leaf in np.unique(flat):
                 own = x[rows[flat == leaf]] @ _direction(int(leaf), size)
-                held = sums.setdefault(int(leaf), [0, 0.0])
+                held = sums.setdefault(int(leaf), [0, 0.0, size])
                 held[0] += len(own)
                 held[1] += float(own.sum())
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([int(v[0]) for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.float64())], names=["leaf", "n", "total"])
+        columns = [pa.array(list(sums), pa.int64()), *(pa.array([v[i] for v in sums.values()], k) for i, k in enumerate((pa.int64(), pa.float64(), pa.int64())))]
+        yield pa.RecordBatch.from_arrays(columns, names=["leaf", "n", "total", "size"])
 
 
 def _split(threshold: float, splits):
@@ -124,7 +132,7 @@ def _split(threshold: float, splits):
         means = splits.value
         for whole in batches:
             for size, batch in _by_length(whole, 1):
-                x, leaves, width = _matrix(batch.column(1)), batch.column(3).to_pylist(), margin(threshold, size)
+                x, leaves, width = _matrix(batch.column(1), np.float32), batch.column(2).to_pylist(), margin(threshold, size)
                 out = []
                 for row, own in zip(x, leaves, strict=True):
                     new = []
@@ -138,7 +146,7 @@ def _split(threshold: float, splits):
                         if at >= -width:
                             new.append(_child(leaf, 1))
                     out.append(new)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], names=["cid", "unit", "copies", "leaves"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.int64()))], names=["cid", "small", "leaves"])
 
     return run
 
@@ -157,12 +165,13 @@ def _cached_direction(leaf: int, size: int) -> np.ndarray:
 def _leaves_within(x: np.ndarray, leaf: int, width: float) -> Iterator[tuple[int, np.ndarray]]:
     """(leaf, rows) of the leaves below, by the same recursive splits."""
     todo = [(leaf, np.arange(len(x)), 0)]
+    most = max(32, min(LEAF_VECTORS, LEAF_BYTES // (8 * x.shape[1])))
     while todo:
         leaf, rows, misses = todo.pop()
-        if len(rows) <= LEAF_VECTORS or misses > 2:
+        if len(rows) <= most or misses > 2:
             yield leaf, rows
             continue
-        at = x[rows] @ _direction(leaf, x.shape[1])
+        at = x[rows] @ _direction(leaf, x.shape[1]).astype(x.dtype)
         at -= at.mean()
         sides = rows[at <= width], rows[at >= -width]
         if max(map(len, sides)) > DENSE * len(rows):  # another direction may part it; a few tries, then it stays whole
@@ -173,7 +182,7 @@ def _leaves_within(x: np.ndarray, leaf: int, width: float) -> Iterator[tuple[int
 
 def _assign(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        x = _matrix(table["unit"].combine_chunks())
+        x = _matrix(table["small"].combine_chunks(), np.float32)
         cids = table["cid"].to_numpy()
         out = [(np.full(len(rows), leaf, np.int64), cids[rows]) for leaf, rows in _leaves_within(x, table["leaf"][0].as_py(), margin(threshold, x.shape[1]))]
         return pa.table({"cid": pa.array(np.concatenate([c for _, c in out])), "leaf": pa.array(np.concatenate([v for v, _ in out]))})
@@ -232,49 +241,58 @@ def _compare(threshold: float):
     return run
 
 
+FOREST = "cid long, small binary, leaves array<long>"
+
+
 def near_vectors(df: DataFrame, threshold: float = 0.95, key: str = "vec_id", column: str = "embedding", trees: int = TREES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; links are pairs with cosine >= threshold."""
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(column).alias("vector")).where("vec_id IS NOT NULL")
-    valid = cut(rows.mapInArrow(_prepare, "vec_id long, digest binary, unit binary"), "units")
-    classes = valid.groupBy("digest").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("copies"))
-    members = cut(valid.select("vec_id", "digest").join(classes, "digest").select("vec_id", "cid", "copies"), "members")
-    units = valid.join(classes.select("digest", "copies", F.col("cid").alias("vec_id")), ["digest", "vec_id"]).dropDuplicates(["vec_id"])
-    lengths = F.expr("CAST(length(unit) DIV 8 AS INT)")
-    sizes = [r[0] for r in units.select(lengths.alias("n")).distinct().limit(1000).collect()]
-    roots = F.element_at(F.create_map(*[x for s in sizes for x in (F.lit(s), F.array(*[F.lit(_root(t, s)) for t in range(trees)]))]), lengths) if sizes else F.array().cast("array<long>")
-    now = Cut(units.select(F.col("vec_id").alias("cid"), "unit", "copies", roots.alias("leaves")), "forest")
-
-    parents: dict[int, int] = {}  # of leaves made in the last round: the vectors of their parent
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(column).alias("vector"))
+    prepared = Cut(rows.mapInArrow(_prepare, "vec_id long, digest binary, unit binary"), "units")
+    valid = prepared.df.where("digest IS NOT NULL")
+    # equal vectors are one class: a number, its smallest id, how often it occurs, and one of its (equal) units
+    classes = valid.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
+    classes = Cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    now = Cut(classes.df.select("cid", "unit", _roots(trees).alias("leaves")).mapInArrow(_halved, FOREST), "forest")
+
+    parents: dict[int, int] = {}  # of leaves that a split made: the vectors of their parent
     dense: set[int] = set()
     while True:
-        sums = now.df.select("unit", "leaves").mapInArrow(_leaf_sums, "leaf long, n long, total double").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-        large = sums.where(F.col("n") > TASK_VECTORS).limit(MOST_SPLITS).collect()
-        dense |= {r["leaf"] for r in large if r["n"] > DENSE * parents.get(r["leaf"], math.inf)}
-        means = {r["leaf"]: r["total"] / r["n"] for r in large if r["leaf"] not in dense}
+        sums = now.df.select("small", "leaves").mapInArrow(_leaf_sums, "leaf long, n long, total double, size long")
+        sums = sums.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("size").alias("size"))
+        large = sums.where(f"n > {TASK_VECTORS} OR n * size * 8 > {TASK_BYTES}").orderBy(F.desc("n"), "leaf").limit(MOST_SPLITS)
+        with tidy(spark):
+            found = large.collect()
+        dense |= {r["leaf"] for r in found if r["n"] > DENSE * parents.get(r["leaf"], math.inf)}
+        means = {r["leaf"]: r["total"] / r["n"] for r in found if r["leaf"] not in dense}
         if not means:
             break
-        parents = {_child(r["leaf"], side): r["n"] for r in large for side in (0, 1)}
-        split = Cut(now.df.mapInArrow(_split(threshold, spark.sparkContext.broadcast(means)), "cid long, unit binary, copies long, leaves array<long>"), "forest")
+        parents |= {_child(r["leaf"], side): r["n"] for r in found if r["leaf"] in means for side in (0, 1)}
+        split = Cut(now.df.mapInArrow(_split(threshold, spark.sparkContext.broadcast(means)), FOREST), "forest")
         now.drop()
         now = split
 
-    placed = now.df.select("cid", "unit", F.explode("leaves").alias("leaf"))
-    stay = F.col("leaf").isin(*dense) if dense else F.lit(False)
-    within = placed.where(~stay).groupBy("leaf").applyInArrow(_assign(threshold), "cid long, leaf long")
-    lists = within.union(placed.where(stay).select("cid", "leaf")).groupBy("cid").agg(F.collect_set("leaf").alias("leaves"))
-    final = cut(now.df.select("cid", "unit", "copies").join(lists, "cid"), "placed")
+    placed = now.df.select("cid", "small", F.explode("leaves").alias("leaf"))
+    whole = F.broadcast(spark.createDataFrame([(x,) for x in dense], "leaf long"))  # of the leaves split over the whole table
+    within = placed.join(whole, "leaf", "left_anti").groupBy("leaf").applyInArrow(_assign(threshold), "cid long, leaf long")
+    kept = placed.select("cid", "leaf").join(whole, "leaf", "left_semi").select("cid", "leaf")
+    lists = Cut(within.union(kept).groupBy("cid").agg(F.collect_set("leaf").alias("leaves")), "leaves")
+    now.drop()
+    final = classes.df.select("cid", "unit", "copies").join(lists.df, "cid").select("cid", "unit", "copies", "leaves")
     spread = final.withColumn("leaf", F.explode("leaves"))
-    counts = spread.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias("blocks"))
+    counts = lists.df.join(classes.df.select("cid", F.length("unit").alias("size")), "cid").select(F.explode("leaves").alias("leaf"), "size")
+    counts = counts.groupBy("leaf").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_VECTORS, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     spread = spread.join(counts, "leaf").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     met = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "copies", "unit", "leaves"
     )
-    found = cut(met.groupBy("leaf", "low", "high").applyInArrow(_compare(threshold), "a long, b long, links long"), "compared")
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
-    parts = components(found.where("b IS NOT NULL").select("a", "b"))
-    known = members.join(counts, "cid", "left").join(parts.withColumnRenamed("id", "cid"), "cid", "left").select(
-        "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "cid").alias("component_id")
-    )
-    alone = rows.select("vec_id").join(valid.select("vec_id"), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return known.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    found = Cut(met.groupBy("leaf", "low", "high").applyInArrow(_compare(threshold), "a long, b long, links long"), "compared")
+    lists.drop()
+    numbers = found.df.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+    parts = components(found.df.where("b IS NOT NULL").select("a", "b"))
+    named = classes.df.select("cid", "digest", "rep", "copies").join(numbers, "cid", "left").join(parts.withColumnRenamed("id", "cid"), "cid", "left")
+    named = Cut(named.select("digest", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "cid").alias("part")), "named")
+    smallest = named.df.groupBy("part").agg(F.min("rep").alias("component_id"))
+    known = valid.select("vec_id", "digest").join(named.df.join(smallest, "part").select("digest", "n_links", "component_id"), "digest").select("vec_id", "n_links", "component_id")
+    alone = prepared.df.where("digest IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return known.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -48,6 +48,20 @@ def test_layouts(spark):
     assert [(r["conv_id"], r["role"], r["text"], r["status"]) for r in got] == [(0, "user", "p", "ok"), (0, "assistant", "r", "ok"), (1, "user", "m", "ok"), (2, None, None, "unknown"), (3, None, None, "broken"), (4, None, None, "broken")]
 
 
+def test_odd_records_are_broken_and_plain_roles_stay(spark):
+    records = [{"messages": [{"role": "user", "content": "a"}, {"role": "user"}]}, {"prompt": 5, "response": "x"}, {"messages": [{"role": "user", "content": "m"}, {"role": "gpt", "content": None}]}, {"messages": []}]
+    rows = [(i, json.dumps(x)) for i, x in enumerate(records)]
+    got = [(r["conv_id"], r["role"], r["text"], r["status"]) for r in chat.json_turns(spark.createDataFrame(rows, "conv_id long, record string")).collect()]
+    assert got == [(0, None, None, "broken"), (1, None, None, "broken"), (2, "user", "m", "ok"), (2, "assistant", "", "ok"), (3, None, None, "unknown")]
+    assert chat.json_turns(spark.createDataFrame([], "conv_id long, record string")).count() == 0
+    turns = chat.to_turns(spark.createDataFrame([(1, 0, "human", "q", "en")], "conv_id long, turn long, role string, text string, lang string"))
+    assert [tuple(r) for r in turns.collect()] == [(1, 0, "human", "q")]
+    with pytest.raises(ValueError):
+        chat.to_turns(spark.createDataFrame([(1, 0, "human", "q", "p")], "conv_id long, turn long, role string, text string, prompt string"))
+    formatted = chat.format_turns(turns.selectExpr("*", "1 AS segment", "2 AS loss_start"))
+    assert chat.read_back(formatted).first()["n_turns"] == 1
+
+
 # -- vectors -------------------------------------------------------------------------------------------------------------
 
 
@@ -76,12 +90,50 @@ def check(spark, x, monkeypatch=None, recall=0.98):
 def test_links_of_vectors(spark, monkeypatch):
     x = vectors(2, 1500)
     got, want = check(spark, x, recall=1.0)
-    i, j = np.nonzero(np.triu(np.ones((1, 1))))
     monkeypatch.setattr(embedding_join, "TASK_VECTORS", 300)
-    monkeypatch.setattr(embedding_join, "LEAF_VECTORS", 60)
     monkeypatch.setattr(embedding_join, "BLOCK_VECTORS", 40)
     check(spark, x)
-    del i, j
+
+
+def near_threshold(seed, n, size):
+    """Pairs whose cosine lies just above the threshold, the hardest ones for a tree."""
+    r = np.random.default_rng(seed)
+    a, b = r.normal(size=(2, n // 2, size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = r.uniform(0.951, 0.96, size=(n // 2, 1))
+    return np.concatenate((a, c * a + np.sqrt(1 - c * c) * b)).astype(np.float32)
+
+
+@pytest.mark.parametrize(("n", "size"), [(20_000, 64), (6_000, 256)])
+def test_recall_of_the_forest(spark, n, size):
+    """Many leaves under the shipped parameters."""
+    got, want = check(spark, near_threshold(17, n, size), recall=0.9)
+    assert n > 5 * embedding_join.LEAF_VECTORS and want.sum() >= n
+
+
+def test_leaves_split_in_a_task_keep_close_pairs_together():
+    x = near_threshold(18, 4000, 32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    together, width = set(), embedding_join.margin(0.95, 32)
+    for tree in range(embedding_join.TREES):
+        leaves = list(embedding_join._leaves_within(x, 1000 + tree, width))
+        assert len(leaves) > 3 and max(len(rows) for _, rows in leaves) <= embedding_join.LEAF_VECTORS
+        for _, rows in leaves:
+            held = set(rows.tolist())
+            together |= {i for i in held if i < 2000 and i + 2000 in held}
+    assert len(together) > 0.9 * 2000
+
+
+def test_many_lengths_and_keys_that_are_missing_or_repeated(spark):
+    rows = [(2 * k + j, [1.0 + j] * k) for k in range(1, 1101) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r["n_links"] for r in embedding_join.near_vectors(df).collect()} == {1}
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (2, None)]
+    clashing = spark.createDataFrame([(*r, 7, [1]) for r in rows], "vec_id long, embedding array<double>, links long, leaf array<int>")
+    got = sorted(map(tuple, embedding_join.near_vectors(clashing).collect()), key=str)
+    assert got == sorted([(None, 0, None, False), (1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 0, 2, True)], key=str)
 
 
 def test_odd_vectors(spark):
@@ -149,5 +201,5 @@ def test_pipeline_stages(spark, tmp_path):
     assert out.count() == mixed.count() and out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
     assert p.run(spark, str(tmp_path)).count() == out.count()
     empty = docs.limit(0)
-    for name, stage in p.STAGES[1:]:
+    for name, stage in p.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
