@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
@@ -12,14 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.errors import SchemaMismatchError
-from tabulon.functions.expressions import Typed, kind_of
+from tabulon.functions.expressions import Typed, kind_of, tokenize
 from tabulon.schema import TableSchema, column
 
 if TYPE_CHECKING:
     from tabulon.table import Table
 
 AGGREGATES = ("COUNT", "SUM", "AVG", "MIN", "MAX")
-_CALL = re.compile(r"\s*([A-Za-z_]\w*)\s*\(\s*(\*|[A-Za-z_][\w.$]*)\s*\)\s*").fullmatch
 
 
 def aggregate(name: str, value: Typed | None, empty_sum_is_zero: bool = False) -> Column:
@@ -44,12 +42,12 @@ def aggregate(name: str, value: Typed | None, empty_sum_is_zero: bool = False) -
 
 def compute(table: Table, expression: str, where: object = None) -> object:
     """One aggregate over the rows that are not deleted; a scalar."""
-    call = _CALL(expression)
-    if not call or call[1].upper() not in AGGREGATES:
+    kinds, parts = zip(*tokenize(expression), strict=True) if expression.strip() else ((), ())
+    if len(parts) != 4 or kinds[0] != "name" or parts[0].upper() not in AGGREGATES or (parts[1], parts[3]) != ("(", ")") or kinds[2] != "name" and parts[2] != "*":
         raise SchemaMismatchError(f"{expression!r} is no aggregate")
     rows = table.live().frame(where)
-    value = None if call[2] == "*" else table.resolve(call[2])
-    return rows.agg(aggregate(call[1], value).alias("value")).first()[0]
+    value = None if parts[2] == "*" else table.resolve(parts[2])
+    return rows.agg(aggregate(parts[0], value).alias("value")).first()[0]
 
 
 def group_by(table: Table, keys: object, aggregations: Mapping[str, Mapping | str] | None = None) -> DataFrame:
@@ -187,15 +185,4 @@ def parse_sort(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def typed(value: object, frame: DataFrame) -> Typed:
-    """A column of a frame with its kind."""
-    column_ = value if isinstance(value, Column) else F.lit(value)
-    return Typed(column_, kind_of(frame.select(column_.alias("x")).schema["x"].dataType))
-
-
-def first_rows(frame: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row a key, with a window; for keys of few rows."""
-    return frame.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
-
-
-__all__ = ["AGGREGATES", "aggregate", "column", "compute", "distinct", "first_rows", "group_by", "join", "parse_sort", "sort_key", "union"]
+__all__ = ["AGGREGATES", "aggregate", "column", "compute", "distinct", "group_by", "join", "parse_sort", "sort_key", "union"]

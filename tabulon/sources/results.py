@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from tabulon.errors import SchemaMismatchError
 
+# Members under which clients hand over their rows and fields.
 WRAPPERS = ("data", "result", "items", "records", "values", "documents", "docs")
 FIELD_NAMES = ("fields", "columns", "columnMetadata", "metaData")
 
@@ -90,6 +91,16 @@ def record(row: object, names: Sequence[str] = ()) -> dict:
     raise SchemaMismatchError(f"no record: {row!r}")
 
 
+def extract_rows(result: object, **options: object) -> list[dict]:
+    """The records of a query result."""
+    return map_result(result, **options).rows  # type: ignore[arg-type]
+
+
+def extract_recordsets(result: object, **options: object) -> list[list[dict]]:
+    """The records of every record set of a query result."""
+    return map_result(result, **options).recordsets  # type: ignore[arg-type]
+
+
 def map_result(result: object, rows_path: object = None, fields_path: object = None, fields: object = None, provider: str | None = None, recordset_index: int = 0) -> Mapped:
     """In this order: a given path, a MySQL pair, a list, ``rows``, ``recordset``, ``recordsets``, a wrapper."""
     own = fields if fields is not None else _at(result, fields_path) if fields_path else None

@@ -13,20 +13,19 @@ TAGS = ("string", "number", "integer", "bigint", "boolean", "date", "json", "obj
 
 # Names that drivers and people use for a tag.
 ALIASES = {
-    "int": "integer", "int2": "integer", "int4": "integer", "smallint": "integer", "tinyint": "integer",
-    "int8": "bigint", "long": "bigint",
-    "double": "number", "decimal": "number", "numeric": "number", "float": "number", "real": "number",
-    "datetime": "date", "timestamp": "date", "timestamptz": "date",
-    "varchar": "string", "nvarchar": "string", "text": "string", "char": "string",
-    "blob": "buffer", "bytea": "buffer", "binary": "buffer",
-    "bool": "boolean",
+    "bool": "boolean", "int": "integer", "int2": "integer", "int4": "integer", "int8": "bigint", "long": "bigint",
+    "double": "number", "decimal": "number", "numeric": "number", "float": "number", "datetime": "date",
+    "timestamp": "date", "timestamptz": "date", "varchar": "string", "nvarchar": "string", "text": "string",
+    "char": "string", "blob": "buffer", "bytea": "buffer",
 }
+# Own additions.
+MORE_ALIASES = {"smallint": "integer", "tinyint": "integer", "real": "number", "binary": "buffer"}
 
 # PostgreSQL type OIDs.
 POSTGRES = {
     16: "boolean", 17: "buffer", 18: "string", 20: "bigint", 21: "integer", 23: "integer", 25: "string",
-    114: "json", 700: "number", 701: "number", 1042: "string", 1043: "string", 1082: "date", 1114: "date",
-    1184: "date", 1700: "number", 2950: "string", 3802: "json",
+    700: "number", 701: "number", 1042: "string", 1043: "string", 1082: "date", 1114: "date", 1184: "date",
+    114: "json", 1700: "number", 2950: "string", 3802: "json",
 }
 
 # MySQL protocol column type codes.
@@ -51,13 +50,13 @@ SQL_SERVER = {
 SQLITE = (
     ("integer", "integer"), ("int", "integer"), ("real", "number"), ("double", "number"), ("float", "number"),
     ("numeric", "number"), ("decimal", "number"), ("text", "string"), ("varchar", "string"), ("char", "string"),
-    ("clob", "string"), ("blob", "buffer"), ("boolean", "boolean"), ("datetime", "date"), ("date", "date"), ("json", "json"),
+    ("clob", "string"), ("blob", "buffer"), ("boolean", "boolean"), ("date", "date"), ("datetime", "date"), ("json", "json"),
 )
 ORACLE = (
     ("bfile", "buffer"), ("binary_double", "number"), ("binary_float", "number"), ("blob", "buffer"), ("char", "string"),
     ("clob", "string"), ("date", "date"), ("float", "number"), ("integer", "integer"), ("json", "json"), ("long", "string"),
     ("nchar", "string"), ("nclob", "string"), ("number", "number"), ("nvarchar2", "string"), ("raw", "buffer"),
-    ("rowid", "string"), ("timestamp", "date"), ("varchar2", "string"), ("varchar", "string"),
+    ("rowid", "string"), ("timestamp", "date"), ("varchar", "string"), ("varchar2", "string"),
 )
 
 PROVIDERS = {
@@ -74,7 +73,7 @@ def normalize(tag: object) -> str:
     if tag is None:
         return "any"
     name = str(tag).strip().lower()
-    return ALIASES.get(name, name)
+    return ALIASES.get(name) or MORE_ALIASES.get(name, name)
 
 
 def of_value(value: object) -> str:
