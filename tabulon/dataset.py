@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -10,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.errors import ConstraintViolationError, SchemaMismatchError
-from tabulon.operators.tracking import DELETED, STATE, ChangeSet, track
+from tabulon.operators.tracking import DELETED, STATE, ChangeSet, track, value_column
+from tabulon.schema import TableSchema
 from tabulon.table import Table, snake
 
 RULES = ("restrict", "cascade", "setnull")
+#: The folder of a written set's manifest.
+MANIFEST = "manifest_table"
 #: Levels of a cascade after which the plan is cut.
 LEVELS = 3
 
@@ -48,7 +52,7 @@ class DataSet:
     # -- tables and relations ------------------------------------------------------------------------------------------
 
     def add_table(self, table: Table, register: bool = False) -> Table:
-        if table.name in self.tables:
+        if table.name in self.tables or table.name == MANIFEST:
             raise SchemaMismatchError(f"data set {self.name!r} has a table {table.name!r} already")
         self.tables[table.name] = table
         if register:
@@ -148,6 +152,42 @@ class DataSet:
                 raise ConstraintViolationError(f"foreign key {key.name!r}: a child has no parent")
         return self
 
+    def add_rows(self, table: str, rows: object, **options: object) -> DataSet:
+        """Adds rows to a table; a child whose key has no parent raises and leaves the set as it was."""
+        return self._checked(self.table(table).add_rows(rows, **options), None)  # type: ignore[arg-type]
+
+    def update(self, table: str, where: object, values: Mapping[str, object], validate: bool = True) -> DataSet:
+        """Sets columns of a table: keys of children are looked up, and changed keys of parents follow the update rules."""
+        t = self.table(table)
+        names = {t.schema[n].name for n in values}
+        if self.enforce_constraints and any(r.parent_table == table and r.parent_column in names for r in map(self.get_relation, {k.relation for k in self.foreign_keys})):
+            return self.update_key(table, where, values)
+        return self._checked(t.update(where, values, validate), names)
+
+    def _checked(self, changed: Table, names: set[str] | None) -> DataSet:
+        for key in self.foreign_keys if self.enforce_constraints else ():
+            r = self.get_relation(key.relation)
+            if r.child_table != changed.name or names is not None and r.child_column not in names:
+                continue
+            own = F.col(f"`{r.child_column}`")
+            parents = (changed if r.parent_table == changed.name else self.table(r.parent_table)).live().df.select(F.col(f"`{r.parent_column}`").alias("__p"))
+            fresh = changed.df.where(F.col(STATE).isin("ADDED", "MODIFIED") & own.isNotNull()).select(own.alias("__c")).distinct()
+            if fresh.join(parents, F.col("__c") == F.col("__p"), "left_anti").limit(1).take(1):
+                raise ConstraintViolationError(f"foreign key {key.name!r}: a row of {changed.name!r} has no parent")
+        self.tables[changed.name] = changed
+        return self
+
+    def begin_load_data(self) -> DataSet:
+        """Constraints of the set and its tables rest until ``end_load_data``, which checks them all once."""
+        self.enforce_constraints = False
+        self.tables = {n: t.begin_load_data() for n, t in self.tables.items()}
+        return self
+
+    def end_load_data(self) -> DataSet:
+        self.tables = {n: t.end_load_data() for n, t in self.tables.items()}
+        self.enforce_constraints = True
+        return self.validate()
+
     def delete(self, table: str, where: object) -> DataSet:
         """Deletes rows; delete rules act on their children, level by level until nothing new is deleted."""
         before = track(self.table(table))
@@ -197,8 +237,10 @@ class DataSet:
             r = self.get_relation(key.relation)
             if r.parent_table != table or not any(before.schema[n].name == r.parent_column for n in values):
                 continue
-            rid = "__rid"
-            moves = before.df.select(rid, F.col(f"`{r.parent_column}`").alias("__old")).join(after.df.select(rid, F.col(f"`{r.parent_column}`").alias("__new")), rid).where(~F.col("__old").eqNullSafe(F.col("__new"))).drop(rid)
+            given = next(v for n, v in values.items() if before.schema[n].name == r.parent_column)
+            hit = F.coalesce(before.condition(where), F.lit(False)) & (F.col(STATE) != DELETED)
+            moves = before.df.where(hit).select(F.col(f"`{r.parent_column}`").alias("__old"), value_column(before, r.parent_column, given).alias("__new"))
+            moves = moves.where(~F.col("__old").eqNullSafe(F.col("__new"))).distinct()
             child = track(now.get(r.child_table, self.table(r.child_table)))
             joined = child.df.join(moves.withColumn("__hit", F.lit(True)), F.col(f"`{r.child_column}`") == F.col("__old"), "left")
             flagged = child.over(joined)
@@ -242,7 +284,7 @@ class DataSet:
         out.relations, out.foreign_keys, out.enforce_constraints = list(self.relations), list(self.foreign_keys), self.enforce_constraints
         return out
 
-    def merge(self, source: DataSet | Table, preserve_changes: bool = False, missing_schema_action: str = "add") -> dict[str, DataFrame]:
+    def merge(self, source: DataSet | Table, preserve_changes: bool = False, missing_schema_action: str = "error") -> dict[str, DataFrame]:
         """Merges table by table; the outcomes of each."""
         action = missing_schema_action.lower()
         outcomes = {}
@@ -318,9 +360,21 @@ class DataSet:
         """One Parquet folder a table, hidden columns included; the manifest is a table too."""
         for n, t in self.tables.items():
             track(t).df.write.mode(mode).parquet(f"{path}/{n}")
-        manifest = json.dumps({"schemas": {n: t.schema.to_dict() for n, t in self.tables.items()}, "name": self.name, "relations": [vars(r) for r in self.relations], "foreignKeys": [vars(k) for k in self.foreign_keys]})
+        manifest = json.dumps({"schemas": {n: t.schema.to_dict() for n, t in self.tables.items()}, "name": self.name, "relations": [vars(r) for r in self.relations], "foreignKeys": [vars(k) for k in self.foreign_keys], "enforceConstraints": self.enforce_constraints}, default=str)
         spark = next(iter(self.tables.values())).spark
-        spark.createDataFrame([(manifest,)], "manifest string").coalesce(1).write.mode(mode).parquet(f"{path}/_manifest_table".replace("/_manifest", "/manifest"))
+        spark.createDataFrame([(manifest,)], "manifest string").coalesce(1).write.mode(mode).parquet(f"{path}/{MANIFEST}")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> DataSet:
+        """The set that ``write`` has written, states and versions included; nothing but the manifest is read before an action."""
+        found = json.loads(spark.read.parquet(f"{path}/{MANIFEST}").first()["manifest"])
+        out = DataSet(found["name"])
+        for name, schema in found["schemas"].items():
+            out.add_table(Table(spark.read.parquet(f"{path}/{name}"), TableSchema.from_dict(schema), tracked=True))
+        out.relations = [Relation(**r) for r in found["relations"]]
+        out.foreign_keys = [ForeignKey(**k) for k in found["foreignKeys"]]
+        out.enforce_constraints = found["enforceConstraints"]
+        return out
 
     def to_debug_view(self, rows: int = 10) -> dict:
         return {"type": "DataSet", "dataSetName": self.name, "tables": [t.to_debug_view(rows) for t in self.tables.values()], "relations": [vars(r) for r in self.relations]}
@@ -333,8 +387,15 @@ class DataSet:
 
 
 def _cut(t: Table) -> Table:
-    """The same rows without the plan that led to them: in spark.checkpoint.dir where that is set, else in the executors' storage."""
-    return t.over(t.df.checkpoint() if t.spark.sparkContext.getCheckpointDir() else t.df.localCheckpoint())
+    """The same rows without the plan that led to them, by a checkpoint in the folder that all executors share: that of
+    spark.checkpoint.dir, or, only where that is unset and all runs in one process, a temporary one."""
+    sc = t.spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = t.spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tabulon-checkpoint-"))
+    return t.over(t.df.checkpoint())
 
 
 def _hidden(flagged: Table, changed: Table) -> DataFrame:

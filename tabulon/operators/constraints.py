@@ -41,12 +41,14 @@ def check_violations(table: Table) -> DataFrame:
     return rows.over(rows.df.withColumn("check_name", name).where("check_name IS NOT NULL")).df
 
 
-def row_rules(table: Table) -> list[tuple[str, type[Exception], Column]]:
+def row_rules(table: Table, keyed: bool = True) -> list[tuple[str, type[Exception], Column]]:
     """(message, error, broken) of the rules that one row alone can break."""
     rules: list[tuple[str, type[Exception], Column]] = []
     for c in table.schema.stored:
         own = F.col(f"`{c.name}`")
-        if c.name in table.schema.primary_key:
+        if c.name in table.schema.primary_key and not keyed:
+            pass
+        elif c.name in table.schema.primary_key:
             rules.append((f"primary key column {c.name!r} is null", ConstraintViolationError, own.isNull()))
         elif not c.allow_null and not table.df.schema[c.name].nullable:
             continue
@@ -58,9 +60,17 @@ def row_rules(table: Table) -> list[tuple[str, type[Exception], Column]]:
     return rules
 
 
-def validate(table: Table, only: Sequence[str] | None = None) -> None:
-    """Raises the first broken rule. ``only``: the columns that changed; keys without one of them still hold."""
-    rules = row_rules(table)
+def validate_rest(table: Table) -> None:
+    """Validation after a merge, which leaves primary keys whole: of all other rules. Without any, nothing runs."""
+    validate(table, [c.name for c in table.schema.stored if c.name not in table.schema.primary_key], keyed=False)
+
+
+def validate(table: Table, only: Sequence[str] | None = None, keyed: bool = True) -> None:
+    """Raises the first broken rule. ``only``: the columns that changed; keys without one of them still hold. ``keyed``:
+    whether primary key columns may have become null."""
+    if not table.schema.enforced:
+        return
+    rules = row_rules(table, keyed)
     if rules:
         broken = table.live().df.agg(*[F.coalesce(F.max(b.cast("int")), F.lit(0)).alias(f"r{i}") for i, (_, _, b) in enumerate(rules)]).first()
         for i, (message, error, _) in enumerate(rules):

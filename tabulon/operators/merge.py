@@ -5,7 +5,7 @@ Every function returns the new table and a frame of outcomes (``outcome``, ``n``
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from typing import TYPE_CHECKING
 
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.errors import ConstraintViolationError, SchemaMismatchError
+from tabulon.errors import ConstraintViolationError, DuplicatePrimaryKeyError, SchemaMismatchError
+from tabulon.operators import constraints
 from tabulon.operators.tracking import ADDED, CHANGED, DELETED, MODIFIED, ORIGINAL, PROPOSED, RID, STATE, UNCHANGED, ChangeSet, current, names, next_id, struct_type, track
 from tabulon.schema import ColumnSpec
 
@@ -38,32 +39,86 @@ def _fit_schema(table: Table, source: Table, action: str) -> Table:
     difference = table.compare_schema(source)
     for found in difference["typeMismatches"]:
         raise SchemaMismatchError(f"merge: column {found['columnName']!r} is {found['thisType']} here and {found['otherType']} in the source")
-    missing = [source.schema[n] for n in difference["missingColumns"] if not source.schema[n].computed]
+    missing = [source.schema[n] for n in difference["missingColumns"]]
     if missing and action == "error":
         raise SchemaMismatchError(f"merge: table {table.name!r} lacks {[c.name for c in missing]}")
+    mine, theirs = table.schema.primary_key, source.schema.primary_key
+    if mine and theirs and [k.lower() for k in mine] != [k.lower() for k in theirs]:
+        raise SchemaMismatchError(f"merge: the primary key is {list(mine)} here and {list(theirs)} in the source")
     if action == "add":
         for spec in missing:
-            table = table.add_column(spec.name, spec.data_type, default=spec.default, caption=spec.caption)
-        if not table.schema.primary_key and source.schema.primary_key:
-            table = table.set_primary_key(source.schema.primary_key, validate=False)
-    if table.schema.primary_key and source.schema.primary_key and [k.lower() for k in table.schema.primary_key] != [k.lower() for k in source.schema.primary_key]:
-        raise SchemaMismatchError("merge: the primary keys differ")
+            table = table.add_column(
+                spec.name, spec.data_type, allow_null=spec.allow_null, default=spec.default, caption=spec.caption, expression=spec.expression, read_only=spec.read_only,
+                unique=spec.unique, max_length=spec.max_length, source_column=spec.source_column, metadata=spec.metadata,
+            )
+        if not mine and theirs:
+            table = table.set_primary_key(theirs, validate=False)
+    lost = [k for k in table.schema.primary_key if not source.schema.find(k)]
+    if lost:
+        raise SchemaMismatchError(f"merge: the source {source.name!r} lacks the primary key columns {lost}")
     return table
 
 
-def merge(table: Table, source: Table, preserve_changes: bool = False, missing_schema_action: str = "add") -> tuple[Table, DataFrame]:
+def _no_null_keys(rows: DataFrame, key: Sequence[str]) -> None:
+    if rows.where(_any([F.col(f"`{k}`").isNull() for k in key])).limit(1).take(1):
+        raise ConstraintViolationError(f"the primary key {list(key)} of a source row holds a null")
+
+
+def _same_key(left: str, right: str, key: Sequence[str]) -> Column:
+    """Equality of keys; without null-safety, as null keys never match, so the join is one on plain columns."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.`{k}`") == F.col(f"{right}.`{k}`") for k in key])
+
+
+def merge(table: Table, source: Table, preserve_changes: bool = False, missing_schema_action: str = "error", validate: bool = True) -> tuple[Table, DataFrame]:
     """Source rows update the row with their key or are added; outcomes are updated, inserted, preserved and skipped. With
-    ``preserve_changes`` an added row, and a locally changed value, stays."""
+    ``preserve_changes`` an added row, and a locally changed value, stays.
+
+    Rows of a source without a primary key may repeat a key: they act in their order, so the last one counts (with
+    ``preserve_changes`` the first one that changes a column, as the row has local changes then); each row but one of a key
+    has the outcome ``superseded``. A null key raises, and so does a broken constraint, unless ``validate`` is off."""
     if table.name != source.name and table.name != "Table" and source.name != "Table":
         raise SchemaMismatchError(f"merge: table {source.name!r} is not {table.name!r}")
     table = track(_fit_schema(table, source, missing_schema_action))
+    key = table.schema.primary_key
     common = [c.name for c in table.schema.stored if (s := source.schema.find(c.name)) and not s.computed]
-    incoming = source.live().df.select(*[F.col(f"`{source.schema[n].name}`").cast(table.schema[n].data_type).alias(n) for n in common])
+    live = source.live().df
+    order = F.col(RID) if RID in live.columns else F.monotonically_increasing_id()
+    incoming = live.select(*[F.col(f"`{source.schema[n].name}`").cast(table.schema[n].data_type).alias(n) for n in common], order.alias(RID))
     gone = source.get_changes(DELETED).df.count() if source.tracked else 0
-    out, labelled = _upsert(table, incoming, {n: F.lit(True) for n in common}, preserve_changes, insert=True, update=True, kept_state=None)
+    present: dict[str, Column] = {n: F.lit(True) for n in common}
+    more: list[DataFrame] = []
+    if key:
+        _no_null_keys(incoming, key)
+        if not source.schema.primary_key:
+            rest = [n for n in common if n not in key]
+            keys = [F.col(f"`{k}`") for k in key]
+            counts = incoming.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).where("n > 0")
+            more.append(counts.select(F.lit("superseded").alias("outcome"), F.col("n").cast("long").alias("n")))
+            if not rest:
+                incoming = incoming.select(*keys).distinct()
+            elif preserve_changes:
+                held = table.df.where(F.col(STATE) != DELETED).select(*[F.col(f"`{n}`") for n in common], F.lit(True).alias("__t"))
+                met = incoming.alias("s").join(held.alias("t"), _same_key("s", "t", key), "left")
+                new = F.col("t.__t").isNull()
+                first = lambda n: F.when(new | ~F.col(f"s.`{n}`").eqNullSafe(F.col(f"t.`{n}`")), F.col(f"s.{RID}"))
+                grouped = met.groupBy(*[F.col(f"s.`{k}`").alias(k) for k in key])
+                incoming = grouped.agg(*[F.min_by(F.struct(F.col(f"s.`{n}`").alias("v")), first(n)).alias(n) for n in rest])
+                incoming = incoming.select(*keys, *[F.col(f"`{n}`.v").alias(n) for n in rest], *[F.col(f"`{n}`").isNotNull().alias(f"__has_{i}") for i, n in enumerate(rest)])
+                present |= {n: F.col(f"s.__has_{i}") for i, n in enumerate(rest)}
+            else:
+                last = incoming.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{n}`") for n in rest]), RID).alias("__last"))
+                incoming = last.select(*keys, *[F.col("__last").getField(n).alias(n) for n in rest])
+    if RID in incoming.columns:
+        incoming = incoming.drop(RID)
+    out, labelled = _upsert(table, incoming, present, preserve_changes, insert=True, update=True, kept_state=None)
+    if validate:
+        constraints.validate_rest(out)
+    outcomes = _outcomes(labelled)
     if gone:
-        labelled = labelled.unionByName(table.spark.range(gone).select(F.lit("skipped").alias(OUTCOME)), allowMissingColumns=True)
-    return out, _outcomes(labelled)
+        more.append(table.spark.range(1).select(F.lit("skipped").alias("outcome"), F.lit(gone).cast("long").alias("n")))
+    for frame in more:
+        outcomes = outcomes.unionByName(frame)
+    return out, outcomes.groupBy("outcome").agg(F.sum("n").alias("n")) if more else outcomes
 
 
 def _upsert(table: Table, incoming: DataFrame, present: Mapping[str, Column], preserve: bool, insert: bool, update: bool, kept_state: str | None) -> tuple[Table, DataFrame]:
@@ -79,7 +134,7 @@ def _upsert(table: Table, incoming: DataFrame, present: Mapping[str, Column], pr
         return table.over(table.df.unionByName(rows)), rows.select(F.lit("inserted").alias(OUTCOME))
     live, deleted = table.df.where(F.col(STATE) != DELETED), table.df.where(F.col(STATE) == DELETED)
     t, s = live.withColumn("__t", F.lit(True)).alias("t"), incoming.withColumn("__s", F.lit(True)).alias("s")
-    both = t.join(s, reduce(lambda a, b: a & b, [F.col(f"t.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in key]), "full")
+    both = t.join(s, _same_key("t", "s", key), "full")
     new_row, matched = F.col("t.__t").isNull(), F.col("t.__t").isNotNull() & F.col("s.__s").isNotNull()
     state = F.col(f"t.{STATE}")
     values, changes, keeps = {}, [], []
@@ -121,10 +176,12 @@ def _upsert(table: Table, incoming: DataFrame, present: Mapping[str, Column], pr
 
 def merge_rows(
     table: Table, rows: Iterable[object] | DataFrame, primary_key: object = None, update_existing: bool = True, add_missing: bool = True, mark_modified: bool = False,
-    auto_create_columns: bool = True, ignore_extra_columns: bool = False, order_by: str | None = None,
+    auto_create_columns: bool = True, ignore_extra_columns: bool = False, order_by: str | None = None, validate: bool = True,
 ) -> tuple[Table, DataFrame]:
     """Upsert of plain rows. A local row touches only the columns it has, and of rows with one key each column's last one
-    counts; a DataFrame has all its columns and, with duplicate keys, needs ``order_by``."""
+    counts; a DataFrame has all its columns, and of rows with one key the last by ``order_by`` counts (without it, repeated
+    keys raise, as a DataFrame has no order). Null keys and broken constraints raise; ``validate=False`` leaves out the
+    constraints and the look for repeated keys."""
     from tabulon.sources import inference
 
     if primary_key:
@@ -147,12 +204,20 @@ def merge_rows(
             table = table.add_column(c, kinds.get(c))
     key = table.schema.primary_key
     order = F.col("__n")
+    given_names = rows.columns if local is None else {k for r in local for k in r}  # type: ignore[union-attr]
+    lost = [k for k in key if not any(table.schema.find(n) is table.schema[k] for n in given_names)]
+    if lost and given_names:
+        raise SchemaMismatchError(f"merge_rows: the rows lack the primary key columns {lost}")
     if local is None:
         own = {table.schema[c].name: c for c in rows.columns if table.schema.find(c)}  # type: ignore[union-attr]
         frame = rows.select(*[F.col(f"`{c}`").cast(table.schema[n].data_type).alias(n) for n, c in own.items()], *([F.col(order_by).alias("__n")] if order_by else []))  # type: ignore[union-attr]
         if order_by:
             rest = [n for n in own if n not in key]
             frame = frame.groupBy(*key).agg(*[F.max_by(F.struct(F.col(f"`{n}`")), order).getField(n).alias(n) for n in rest]) if rest else frame.select(*key).distinct()
+        elif validate:
+            repeated = frame.groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).take(1)
+            if repeated:
+                raise DuplicatePrimaryKeyError(f"merge_rows: several rows with the key {[repeated[0][k] for k in key]}; give order_by")
         present = {n: F.lit(True) for n in own}
     else:
         specs = [c for c in table.schema.stored if any(table.schema.find(k) is c for r in local for k in r)]
@@ -171,7 +236,10 @@ def merge_rows(
                 aggregates.append(F.max(has).alias(f"__has_{place[c.name]}"))
         frame = frame.groupBy(*[F.col(f"`{k}`") for k in key]).agg(*aggregates) if aggregates else frame.select(*key).distinct()
         present = {c.name: F.coalesce(F.col(f"s.__has_{place[c.name]}"), F.lit(False)) for c in specs if c.name not in key}
+    _no_null_keys(frame, key)
     out, labelled = _upsert(table, frame, present, False, add_missing, update_existing, MODIFIED if mark_modified else UNCHANGED)
+    if validate:
+        constraints.validate_rest(out)
     return out, _outcomes(labelled)
 
 
@@ -182,10 +250,12 @@ def _converted(spec: ColumnSpec, value: object) -> object:
 
 
 def apply_change_set(
-    table: Table, changes: ChangeSet | Mapping, missing_row_action: str = "ignore", conflict_policy: str = "overwrite", strict: bool = False
+    table: Table, changes: ChangeSet | Mapping, missing_row_action: str = "ignore", conflict_policy: str = "overwrite", strict: bool = False, validate: bool = True
 ) -> tuple[Table, DataFrame]:
     """Applies changes by key, then by original key (so keys may change). Outcomes: added, modified, deleted, skipped. A row
-    with local changes is a conflict: overwritten, preserved or an error. Errors leave the table as it was."""
+    with local changes is a conflict: overwritten, preserved or an error. ``strict`` refuses another table's changes, another
+    primary key and unknown columns. Of several changes to one row the last kind (added, modified, deleted) counts. Errors,
+    a broken constraint among them, leave the table as it was."""
     for value, allowed in ((missing_row_action, ("ignore", "add", "error")), (conflict_policy, ("overwrite", "preserve", "error"))):
         if value not in allowed:
             raise SchemaMismatchError(f"{value!r} is none of {allowed}")
@@ -193,6 +263,16 @@ def apply_change_set(
     key = table.schema.primary_key
     if not key:
         raise SchemaMismatchError("change sets need a primary key")
+    if strict:
+        name, theirs = (changes.table_name, changes.primary_key) if isinstance(changes, ChangeSet) else (changes.get("tableName"), changes.get("primaryKey"))
+        if name and name != table.name:
+            raise SchemaMismatchError(f"changes of table {name!r} do not belong to {table.name!r}")
+        if theirs and list(theirs) != list(key):
+            raise SchemaMismatchError(f"the changes' primary key is {list(theirs)}, the table's {list(key)}")
+        if isinstance(changes, Mapping):
+            unknown = [k for part in ("added", "modified", "deleted") for r in changes.get(part, ()) for k in (r.get("values") or {}) if not table.schema.find(k)]
+            if unknown:
+                raise SchemaMismatchError(f"table {table.name!r} has no columns {unknown}")
     found = changes if isinstance(changes, ChangeSet) else from_object(table, changes)
     held = found.df.schema["values"].dataType.names if isinstance(found.df.schema["values"].dataType, T.StructType) else []
     unknown = [n for n in held if not table.schema.find(n)]
@@ -200,31 +280,36 @@ def apply_change_set(
         raise SchemaMismatchError(f"table {table.name!r} has no columns {unknown}")
     shared = {table.schema[n].name: n for n in held if (c := table.schema.find(n)) and not c.computed}
     rank = F.when(F.col("state") == ADDED, 1).when(F.col("state") == MODIFIED, 2).otherwise(3)
-    c = found.df.withColumn("__order", rank)
-    # of several changes to one key the later group counts
-    c = c.withColumn("__k", F.to_json("key")).withColumn("__ok", F.to_json(F.coalesce("original_key", "key")))
-    c = c.groupBy("__ok").agg(F.max_by(F.struct(*[F.col(x) for x in c.columns if x != "__ok"]), "__order").alias("c")).select("c.*", "__ok")
+    places = {k: next((n for n in found.df.schema["key"].dataType.names if n.lower() == k.lower()), None) for k in key}
+    part = lambda struct, k: F.col(struct).getField(places[k]).cast(table.schema[k].data_type) if places[k] else F.lit(None).cast(table.schema[k].data_type)
+    one = [f"__k{i}" for i in range(len(key))]  # the key a change names
+    old = [f"__o{i}" for i in range(len(key))]  # the key its row had before: a change's identity
+    c = found.df.select("state", "values", *[part("key", k).alias(n) for k, n in zip(key, one, strict=True)], *[F.coalesce(part("original_key", k), part("key", k)).alias(n) for k, n in zip(key, old, strict=True)], rank.alias("__order"))
+    c = c.groupBy(*old).agg(F.max_by(F.struct("state", "values", *one), "__order").alias("c")).select("c.*", *old)
     every = names(table)
-    t = table.df.where(F.col(STATE) != DELETED).select(F.struct(*[F.col(x) for x in table.df.columns]).alias("row"), F.to_json(F.struct(*[F.col(f"`{k}`") for k in key])).alias("__tk"))
-    by_key = t.select(F.col("row").alias("row1"), F.col("__tk").alias("__k"), F.lit(True).alias("m1"))
-    by_old = t.select(F.col("row").alias("row2"), F.col("__tk").alias("__ok"), F.lit(True).alias("m2"))
-    joined = c.join(by_key, "__k", "left").join(by_old, "__ok", "left")
-    row = F.coalesce(F.col("row1"), F.col("row2"))
-    exists = row.isNotNull()
-    state, local = F.col("state"), row.getField(STATE).isin(*CHANGED)
+    # where a change looks for its row: under its key, or else under the original one
+    differ = _any([~F.col(a).eqNullSafe(F.col(b)) for a, b in zip(one, old, strict=True)])
+    looks = c.select(*old, *[F.col(a).alias(f"__l{i}") for i, a in enumerate(one)], F.lit(1).alias("__pref"))
+    looks = looks.unionByName(c.where(differ).select(*old, *[F.col(b).alias(f"__l{i}") for i, b in enumerate(old)], F.lit(2).alias("__pref")))
+    live = table.df.where(F.col(STATE) != DELETED).select(F.struct(*[F.col(f"`{x}`") for x in table.df.columns]).alias("row"))
+    on = reduce(lambda a, b: a & b, [F.col("row").getField(k) == F.col(f"__l{i}") for i, k in enumerate(key)])
+    met = looks.join(live, on).groupBy(*old).agg(F.min_by("row", "__pref").alias("row"))
+    joined = c.alias("c").join(met.alias("m"), reduce(lambda a, b: a & b, [F.col(f"c.{o}").eqNullSafe(F.col(f"m.{o}")) for o in old]), "left").select("c.*", "m.row")
+    exists = F.col("row").isNotNull()
+    state, local = F.col("state"), F.col("row").getField(STATE).isin(*CHANGED)
     verdict = (
         F.when(exists & local & F.lit(conflict_policy == "error"), "conflict")
         .when(exists & local & F.lit(conflict_policy == "preserve"), "skipped")
-        .when(~exists & (state != ADDED) & F.lit(missing_row_action == "error"), "missing")
+        .when(~exists & (state != ADDED) & F.lit(missing_row_action == "error") , "missing")
         .when(~exists & (state != ADDED) & F.lit(missing_row_action == "ignore"), "skipped")
         .otherwise(F.lower(state))
     )
-    labelled = joined.select("*", row.alias("row"), verdict.alias(OUTCOME)).drop("row1", "row2", "m1", "m2")
-    bad = labelled.where(F.col(OUTCOME).isin("conflict", "missing")).limit(1).take(1)
+    labelled = joined.withColumn(OUTCOME, verdict)
+    bad = labelled.where(F.col(OUTCOME).isin("conflict", "missing")).limit(1).take(1) if "error" in (missing_row_action, conflict_policy) else []
     if bad:
-        raise ConstraintViolationError(f"change set: {'a row has local changes' if bad[0][OUTCOME] == 'conflict' else 'a row is missing'}: {bad[0]['__ok']}")
+        raise SchemaMismatchError(f"change set: {'a row has local changes' if bad[0][OUTCOME] == 'conflict' else 'a row is missing'}: {[bad[0][o] for o in old]}")
     done = labelled.where(F.col(OUTCOME) != "skipped")
-    exists, removed = F.col("row").isNotNull(), F.col("state") == DELETED
+    removed = F.col("state") == DELETED
     value = {}
     for n in every:
         default = F.lit(table.schema[n].default_value()).cast(table.schema[n].data_type)
@@ -241,8 +326,12 @@ def apply_change_set(
         F.when(exists & (was == UNCHANGED), before).when(exists, F.col("row").getField(ORIGINAL)).otherwise(after).alias(ORIGINAL),
         F.lit(None).cast(struct_type(table)).alias(PROPOSED),
     )
-    touched = done.where(exists).select(F.col("row").getField(RID).alias(RID))
-    out = table.over(table.df.join(touched, RID, "left_anti").select(*table.df.columns).unionByName(new.select(*table.df.columns)))
+    # rows that a change has taken, by their typed key; deleted rows never match
+    taken = done.where(exists).select(*[F.col("row").getField(k).alias(f"__t{i}") for i, k in enumerate(key)])
+    untouched = reduce(lambda a, b: a & b, [F.col(f"`{k}`") == F.col(f"__t{i}") for i, k in enumerate(key)]) & (F.col(STATE) != DELETED)
+    out = table.over(table.df.join(taken, untouched, "left_anti").select(*table.df.columns).unionByName(new.select(*table.df.columns)))
+    if validate:
+        constraints.validate(out)
     return out, _outcomes(labelled)
 
 

@@ -122,6 +122,8 @@ def update(table: Table, where: object, values: Mapping[str, object], validate:
     differs = reduce(lambda a, b: a | b, [~F.col(f"`{n}`").eqNullSafe(c) for n, c in new.items()], F.lit(False))
     changed = hit & differs
     table.emit("rowsChanging", lambda: table.over(table.df.where(changed)).frame())
+    for name in new:
+        table.emit("columnChanging", lambda n=name: (n, table.over(table.df.where(changed)).frame()))
     columns = [F.when(hit, new[n]).otherwise(F.col(f"`{n}`")).alias(n) if n in new else F.col(f"`{n}`") for n in names(table)]
     first = changed & (F.col(STATE) == UNCHANGED)
     out = table.over(
@@ -131,6 +133,8 @@ def update(table: Table, where: object, values: Mapping[str, object], validate:
     )
     if validate:
         constraints.validate(out, only=list(new))
+    for name in new:
+        out.emit("columnChanged", lambda n=name: (n, out.get_changes(MODIFIED).frame()))
     out.emit("rowsChanged", lambda: out.get_changes(MODIFIED).frame())
     return out
 

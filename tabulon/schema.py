@@ -74,6 +74,7 @@ class TableSchema:
     uniques: tuple[Unique, ...] = ()
     checks: tuple[Check, ...] = ()
     case_sensitive: bool = False
+    enforced: bool = True  # constraints; off between the beginning and the end of a load
     handlers: Mapping[str, tuple[Callable, ...]] = field(default_factory=dict, compare=False)
 
     def __post_init__(self) -> None:

@@ -8,11 +8,14 @@ camelCase forms are accepted too.
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +52,28 @@ class Accessor:
         return self._resolve(name).column
 
 
+class PythonRow:
+    """A row as seen by a function that runs in Python: values by name, in any case."""
+
+    def __init__(self, row: Row):
+        self._values = {n.lower(): v for n, v in zip(row.__fields__, row, strict=True)}
+
+    def __getitem__(self, name: str) -> object:
+        return self._values[name.lower()]
+
+    def get(self, name: str) -> object:
+        return self._values[name.lower()]
+
+    def __getattr__(self, name: str) -> object:
+        if name.startswith("__") or name.lower() not in self._values:
+            raise AttributeError(name)
+        return self._values[name.lower()]
+
+
+#: What Python raises when a function of a row does with a Column what only a value can do.
+_NO_COLUMN = (PySparkException, TypeError, AttributeError)
+
+
 class Table:
     def __init__(self, df: DataFrame, schema: TableSchema, tracked: bool = False):
         self.df, self.schema, self.tracked = df, schema, tracked
@@ -134,11 +159,11 @@ class Table:
         schema = self.schema.with_column(spec)
         df = self.df
         if spec.computed:
-            typed = Table(df, schema, self.tracked).resolve(name)
             if spec.tag == "any":
                 kind = Table(df, schema, self.tracked).frame().schema[name].dataType
                 schema = replace(self.schema, columns=(*self.schema.columns, replace(spec, data_type=kind, tag=tags.of_spark(kind))))
-            del typed
+            else:
+                Table(df, schema, self.tracked).resolve(name)  # an unknown name raises here
         else:
             value = spec.default_value()
             filled = (value if isinstance(value, Column) else F.lit(tags.convert(value, spec.tag) if value is not None else None)).cast(spec.data_type)
@@ -225,7 +250,12 @@ class Table:
                 raise SchemaMismatchError(f"computed columns in a circle: {' > '.join((*seen, spec.name))}")
             inner = lambda p: self.resolve(p, prefix, version, (*seen, spec.name))
             if callable(spec.expression):
-                column = spec.expression(Accessor(inner))
+                try:
+                    column = spec.expression(Accessor(inner))
+                except _NO_COLUMN:
+                    if spec.tag == "any":
+                        raise SchemaMismatchError(f"computed column {spec.name!r}: give a type, as its function is no column expression") from None
+                    column = self.in_python(spec.expression, spec.data_type, lambda v: v, prefix)
                 column = column if isinstance(column, Column) else F.lit(column)
                 return Typed(column if spec.tag == "any" else column.cast(spec.data_type), expr.kind_of(spec.data_type) if spec.tag != "any" else "other")
             found = expr.compile_value(str(spec.expression), inner)
@@ -270,10 +300,20 @@ class Table:
         if isinstance(where, Mapping):
             return criteria_.criteria(where, self.resolve)
         if callable(where):
-            found = where(self.accessor())
+            try:
+                found = where(self.accessor())
+            except _NO_COLUMN:
+                return self.in_python(where, T.BooleanType())
             return found if isinstance(found, Column) else F.lit(bool(found))
         raise SchemaMismatchError(f"no filter: {where!r}")
 
+    def in_python(self, function: Callable, kind: T.DataType, convert: Callable = bool, prefix: str = "", columns: Sequence[str] | None = None) -> Column:
+        """The slow path, for functions that are no Column expression (``and``, ``len``, ``in``): values go to Python by Arrow
+        batches, row by row. Nothing is pushed down."""
+        names = columns if columns is not None else [c.name for c in self.schema.stored]
+        whole = F.struct(*[F.col(f"{prefix}`{n}`").alias(n) for n in names])
+        return F.udf(lambda row: None if (found := function(PythonRow(row))) is None else convert(found), kind, useArrow=True)(whole)
+
     # -- reading -------------------------------------------------------------------------------------------------------
 
     def live(self) -> Table:
@@ -450,13 +490,34 @@ class Table:
         return tracking.delete(self, where)
 
     def remove(self, where: object) -> Table:
-        """Takes rows out for good, whatever their state."""
+        """Takes rows out for good, whatever their state. A handler of ``rowsRemoving`` that raises prevents it."""
+        self.emit("rowsRemoving", self.where(where).frame)
+        out = self.over(self.df.where(~F.coalesce(self.condition(where), F.lit(False))))
         self.emit("rowsRemoved", self.where(where).frame)
-        return self.over(self.df.where(~F.coalesce(self.condition(where), F.lit(False))))
+        return out
 
     def clear(self) -> Table:
+        self.emit("tableClearing", None)
+        out = self.over(self.df.limit(0))
         self.emit("tableCleared", None)
-        return self.over(self.df.limit(0))
+        return out
+
+    def get(self, key: object, name: str, version: str = "current") -> object:
+        """One value of the row with a primary key, of its current, original or proposed version."""
+        rows = self.at_key(key)
+        found = None if rows is None else rows.live().df.select(self.resolve(name, version=version.lower()).column).limit(1).first()
+        return None if found is None else found[0]
+
+    def begin_load_data(self) -> Table:
+        """Constraints rest until ``end_load_data``, which checks them all once."""
+        return self.set_enforce_constraints(False)
+
+    def end_load_data(self) -> Table:
+        return self.set_enforce_constraints(True)
+
+    def set_enforce_constraints(self, on: bool) -> Table:
+        out = self.over(self.df, replace(self.schema, enforced=on))
+        return out.validate() if on and not self.schema.enforced else out
 
     def begin_edit(self, where: object, values: Mapping[str, object] | None = None) -> Table:
         return tracking.begin_edit(self, where, values or {})
@@ -504,8 +565,8 @@ class Table:
     def get_commands(self) -> dict[str, DataFrame]:
         return tracking.commands(self)
 
-    def merge(self, source: Table, preserve_changes: bool = False, missing_schema_action: str = "add") -> tuple[Table, DataFrame]:
-        return merge.merge(self, source, preserve_changes, missing_schema_action)
+    def merge(self, source: Table, preserve_changes: bool = False, missing_schema_action: str = "error", validate: bool = True) -> tuple[Table, DataFrame]:
+        return merge.merge(self, source, preserve_changes, missing_schema_action, validate)
 
     def merge_rows(self, rows: object, **options: object) -> tuple[Table, DataFrame]:
         return merge.merge_rows(self, rows, **{snake(k): v for k, v in options.items()})  # type: ignore[arg-type]
@@ -519,8 +580,13 @@ class Table:
         return loader.load_rows(self, rows, **options)
 
     def load_from_query(self, rows: object) -> Table:
-        """Replaces the rows; nothing happens without any."""
+        """Replaces the rows by those of a list, a DataFrame, or what a callable, a future or an awaitable gives; nothing
+        happens without any."""
         rows = rows() if callable(rows) else rows.result() if hasattr(rows, "result") else rows
+        if inspect.isawaitable(rows):
+            rows = asyncio.run(_awaited(rows))
+        if isinstance(rows, DataFrame):
+            return self.load_rows(rows, clear_before_load=True) if rows.limit(1).take(1) else self
         return self.load_rows(rows, clear_before_load=True) if isinstance(rows, (list, tuple)) and rows else self
 
     load_from_query_async = load_from_query
@@ -605,4 +671,8 @@ class Table:
         raise AttributeError(f"Table has no attribute {name!r}")
 
 
+async def _awaited(rows: object) -> object:
+    return await rows  # type: ignore[misc]
+
+
 __all__ = ["Accessor", "ConstraintViolationError", "Table", "snake"]

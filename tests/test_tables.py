@@ -190,9 +190,9 @@ def test_change_set_round_trip(spark):
         assert outcomes(found) == {"added": 1, "modified": 1, "deleted": 1}
     local = base.update("id = 1", {"name": "mine"})
     assert sorted(values(local.apply_change_set(changes, conflict_policy="preserve")[0], "id", "name"))[0] == (1, "mine")
-    with pytest.raises(ConstraintViolationError):
+    with pytest.raises(SchemaMismatchError):
         local.apply_change_set(changes, conflict_policy="error")
-    with pytest.raises(ConstraintViolationError):
+    with pytest.raises(SchemaMismatchError):
         base.where("id = 3").apply_change_set(changes, missing_row_action="error")
     assert len(t.get_change_set(include_columns=["name"]).df.select("values.*").columns) == 1
 
@@ -200,12 +200,12 @@ def test_change_set_round_trip(spark):
 def test_merge(spark):
     target = users(spark).update("id = 2", {"name": "local"})
     source = Table.from_objects(spark, [{"id": 1, "name": "ONE", "email": "1@x", "role": "r"}, {"id": 2, "name": "TWO", "email": "new", "role": None}, {"id": 5, "name": "five", "email": "5", "role": "z"}], table_name="Users", primary_key="id")
-    out, found = target.merge(source, preserve_changes=True)
+    out, found = target.merge(source, preserve_changes=True, missing_schema_action="add")
     assert values(out, "id", "name", "email", "role") == [(1, "ONE", "1@x", "r"), (2, "local", "new", None), (3, None, "3@x", None), (5, "five", "5", "z")]
     assert outcomes(found) == {"updated": 2, "inserted": 1} and states(out)[5] == "ADDED"
     assert "role" not in target.merge(source, missing_schema_action="ignore")[0].columns
     with pytest.raises(SchemaMismatchError):
-        target.merge(source, missing_schema_action="error")
+        target.merge(source)
     again, found = out.merge(source)
     assert outcomes(again.merge(source)[1]) == {"skipped": 3}
 
@@ -295,7 +295,7 @@ def test_data_set_round_trip(spark):
     other.apply_change_set(d.get_change_set())
     assert states(other.table("G"))[1] == "DELETED"
     merged = DataSet("m")
-    merged.merge(d)
+    merged.merge(d, missing_schema_action="add")
     assert sorted(merged.tables) == ["C", "G", "P"] and len(merged.relations) == 2
 
 
@@ -369,3 +369,109 @@ def test_streaming_upsert(spark, tmp_path):
     stream = spark.readStream.schema("id long, name string, at long").parquet(str(source)).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     stream.awaitTermination(60)
     assert sorted((r["id"], r["name"]) for r in sink.table.frame().collect()) == [(1, "newer"), (2, "bob"), (3, None), (7, "seven")]
+
+
+# -- rules that merges keep ----------------------------------------------------------------------------------------------
+
+
+def test_merge_of_rows_that_repeat_a_key(spark):
+    target = Table.from_objects(spark, [{"id": 1, "v": "a"}, {"id": 2, "v": "b"}], table_name="t", primary_key="id")
+    source = Table.from_objects(spark, [{"id": 1, "v": "x"}, {"id": 1, "v": "y"}, {"id": 9, "v": "p"}, {"id": 9, "v": "q"}], table_name="t")
+    out, found = target.merge(source)
+    assert values(out, "id", "v") == [(1, "y"), (2, "b"), (9, "q")] and outcomes(found) == {"updated": 1, "inserted": 1, "superseded": 2}
+    kept, _ = target.merge(source, preserve_changes=True)
+    assert values(kept, "id", "v") == [(1, "x"), (2, "b"), (9, "p")]
+    with pytest.raises(DuplicatePrimaryKeyError):
+        target.merge_rows(source.frame())
+    assert values(target.merge_rows(source.df, order_by="__rid")[0], "id", "v") == [(1, "y"), (2, "b"), (9, "q")]
+
+
+def test_merges_keep_constraints(spark):
+    t = Table.from_objects(spark, [{"id": 1, "v": "a"}, {"id": 2, "v": "b"}], table_name="t", primary_key="id").add_unique_constraint("v")
+    bad = Table.from_objects(spark, [{"id": 3, "v": "b"}], table_name="t", primary_key="id")
+    for action in (lambda: t.merge(bad), lambda: t.merge_rows([{"id": 1, "v": "b"}]), lambda: t.apply_change_set(bad.clear().add_row({"id": 3, "v": "b"}).get_change_set())):
+        with pytest.raises(ConstraintViolationError):
+            action()
+    assert t.merge(bad, validate=False)[0].count() == 3
+    loading = t.begin_load_data().merge_rows([{"id": 1, "v": "b"}])[0]
+    with pytest.raises(ConstraintViolationError):
+        loading.end_load_data()
+    with pytest.raises(ConstraintViolationError):
+        t.merge(Table.from_objects(spark, [{"id": None, "v": "n"}, {"id": 4, "v": "m"}], table_name="t"))
+    with pytest.raises(SchemaMismatchError):
+        t.merge(Table.from_objects(spark, [{"v": "n"}], table_name="t"))
+
+
+def test_added_columns_keep_their_rules(spark):
+    source = Table.from_objects(spark, [{"id": 1}], table_name="t", primary_key="id").add_column("code", "string", max_length=3, unique=True, default="x").add_column("twice", "integer", expression="id * 2")
+    out, _ = Table.from_objects(spark, [{"id": 2}], table_name="t", primary_key="id").merge(source, missing_schema_action="add", validate=False)
+    assert out.column("code").max_length == 3 and out.column("code").unique and sorted(r["twice"] for r in out.frame().collect()) == [2, 4]
+
+
+def test_functions_that_are_no_columns_run_in_python(spark):
+    t = users(spark).add_column("size", "integer", expression=lambda r: len(r.name or ""))
+    assert sorted(r["id"] for r in t.select(lambda r: r.name is not None and r.name.lower() in ("ann", "bob")).frame().collect()) == [1, 2]
+    assert sorted(r["size"] for r in t.frame().collect()) == [0, 3, 3]
+    with pytest.raises(ConstraintViolationError):
+        t.add_check_constraint(lambda r: len(r["NAME"] or "") > 0 and r.id > 0)
+
+
+def test_loads_from_frames_and_awaitables(spark):
+    async def later():
+        return [{"id": 7, "name": "g", "email": None}]
+
+    t = users(spark)
+    assert values(t.load_from_query(t.where("id = 2").frame()), "id") == [(2,)]
+    assert values(t.load_from_query(later), "id") == [(7,)] and t.load_from_query([]) is t
+    assert results.extract_rows({"rows": [{"a": 1}]}) == [{"a": 1}] and results.extract_recordsets({"recordsets": [[{"a": 1}], [{"a": 2}]]}) == [[{"a": 1}], [{"a": 2}]]
+
+
+def test_events_come_before_and_after_and_may_prevent(spark):
+    seen = []
+
+    def refuse(_):
+        raise InvalidRowStateError("no")
+
+    t = users(spark)
+    for name in ("rowsRemoving", "rowsRemoved", "tableClearing", "tableCleared", "columnChanging", "columnChanged"):
+        t = t.on(name, lambda _, n=name: seen.append(n))
+    t.remove("id = 1").clear()
+    t.update("id = 2", {"name": "x"})
+    assert seen == ["rowsRemoving", "rowsRemoved", "tableClearing", "tableCleared", "columnChanging", "columnChanged"]
+    with pytest.raises(InvalidRowStateError):
+        t.on("rowsRemoving", refuse).remove("id = 1")
+
+
+def test_versions_of_one_value(spark):
+    t = users(spark).update("id = 1", {"name": "new"}).begin_edit("id = 2", {"name": "proposed"})
+    assert (t.get(1, "name"), t.get(1, "name", "original"), t.get(2, "name"), t.get(2, "name", "proposed"), t.get(99, "name")) == ("new", "Ann", "bob", "proposed", None)
+
+
+def test_children_need_parents(spark):
+    d = family(spark, "cascade")
+    with pytest.raises(ConstraintViolationError):
+        d.add_rows("C", [{"id": 50, "p": 99}])
+    with pytest.raises(ConstraintViolationError):
+        d.update("C", "id = 1", {"p": 99})
+    assert d.table("C").count() == family(spark, "cascade").table("C").count()
+
+
+def test_written_data_set_is_read_again(spark, tmp_path):
+    d = family(spark, "cascade").delete("P", "id = 1")
+    d.write(str(tmp_path / "set"))
+    again = DataSet.read(spark, str(tmp_path / "set"))
+    assert again.change_count() == d.change_count() and [k.delete_rule for k in again.foreign_keys] == [k.delete_rule for k in d.foreign_keys]
+    assert states(again.table("G")) == states(d.table("G"))
+
+
+def test_the_engine_stands_without_the_optional_packages(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "tabulon", tmp_path / "tabulon", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
