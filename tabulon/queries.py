@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.dataset import DataSet
@@ -32,6 +32,15 @@ def query(sql: str) -> Callable[[Query], Query]:
     return register
 
 
+def placed(frame: DataFrame) -> DataFrame:
+    """Sorted rows with their place in that order: partitions of a sort follow one another, so their sizes shift the numbers."""
+    numbered = frame.withColumn("__at", F.monotonically_increasing_id())
+    part, at = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = numbered.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # one row a partition
+    return numbered.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn("place", F.col("__before") + at + 1).drop("__p", "__at", "__before")
+
+
 def scalar(spark: SparkSession, value: object, kind: str) -> DataFrame:
     return spark.createDataFrame([(value,)], f"value {kind}")
 
@@ -300,10 +309,10 @@ def sort_multi_topk(spark, d):
     return t.frame().limit(50).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@query("SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer ORDER BY k DESC NULLS LAST, c_custkey LIMIT 1000")
+@query("SELECT c_custkey, nullif(c_nationkey, 3) AS k, row_number() OVER (ORDER BY nullif(c_nationkey, 3) DESC NULLS LAST, c_custkey) AS place FROM customer")
 def sort_nulls_last(spark, d):
     t = Table.from_df(table(spark, d, "customer").frame().selectExpr("c_custkey", "nullif(c_nationkey, 3) AS k"), "t", "c_custkey")
-    return t.sort("k", "desc").frame().limit(1000)
+    return placed(t.sort("k", "desc").frame())
 
 
 # -- relations and constraints -------------------------------------------------------------------------------------------
@@ -431,20 +440,21 @@ def edit_versions(spark, d):
 
 
 @query("""SELECT coalesce(t.p_partkey, s.p_partkey) AS p_partkey,
-    CASE WHEN t.p_partkey IS NULL THEN s.p_size WHEN t.p_partkey <= 50 THEN 99 WHEN s.p_partkey IS NULL THEN t.p_size ELSE s.p_size END AS p_size,
-    CASE WHEN t.p_partkey IS NULL THEN 'ADDED' WHEN t.p_partkey <= 50 AND t.p_size <> 99 THEN 'MODIFIED' WHEN s.p_partkey IS NOT NULL AND t.p_partkey > 50 AND s.p_size <> t.p_size THEN 'MODIFIED' ELSE 'UNCHANGED' END AS state
-    FROM part t FULL JOIN (SELECT p_partkey + (CASE WHEN p_partkey > 150 THEN 1000000 ELSE 0 END) AS p_partkey, p_size + 1 AS p_size FROM part WHERE p_partkey <= 200) s USING (p_partkey)""")
+    CASE WHEN t.p_partkey IS NULL THEN s.p_size WHEN t.p_brand = 'Brand#11' THEN 99 WHEN s.p_partkey IS NULL THEN t.p_size ELSE s.p_size END AS p_size,
+    CASE WHEN t.p_partkey IS NULL THEN 'ADDED' WHEN t.p_brand = 'Brand#11' AND t.p_size <> 99 THEN 'MODIFIED' WHEN s.p_partkey IS NOT NULL AND t.p_brand <> 'Brand#11' AND s.p_size <> t.p_size THEN 'MODIFIED' ELSE 'UNCHANGED' END AS state
+    FROM part t FULL JOIN (SELECT p_partkey + (CASE WHEN p_size > 40 THEN 100000000 ELSE 0 END) AS p_partkey, p_size + (CASE WHEN p_size < 20 THEN 1 ELSE 0 END) AS p_size FROM part) s USING (p_partkey)""")
 def merge_preserve(spark, d):
-    target = table(spark, d, "part").update("p_partkey <= 50", {"p_size": 99}, validate=False)
-    rows = spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 200")
-    source = Table.from_df(rows.withColumn("p_size", (F.col("p_size") + 1).cast("int")).withColumn("p_partkey", F.expr("p_partkey + CASE WHEN p_partkey > 150 THEN 1000000 ELSE 0 END")), "part", "p_partkey")
+    """The whole part table: rows changed here and there, changed there alone, the same, and new ones."""
+    target = table(spark, d, "part").update("p_brand = 'Brand#11'", {"p_size": 99}, validate=False)
+    rows = spark.read.parquet(f"{d}/part.parquet")
+    source = Table.from_df(rows.withColumn("p_partkey", F.expr("p_partkey + CASE WHEN p_size > 40 THEN 100000000 ELSE 0 END")).withColumn("p_size", F.expr("p_size + CASE WHEN p_size < 20 THEN 1 ELSE 0 END")), "part", "p_partkey")
     return target.merge(source, preserve_changes=True)[0].df.select("p_partkey", "p_size", F.col(STATE).alias("state"))
 
 
-@query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey < 5 THEN 'x' || n_nationkey END AS role FROM nation")
+@query("SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 'x' || c_custkey END AS role FROM customer")
 def merge_add_column(spark, d):
-    source = Table.from_df(spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey < 5").selectExpr("n_nationkey", "n_name", "n_regionkey", "'x' || n_nationkey AS role"), "nation", "n_nationkey")
-    return table(spark, d, "nation").merge(source)[0].frame().select("n_nationkey", "n_name", "role")
+    source = Table.from_df(spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal < 0").withColumn("role", F.expr("'x' || c_custkey")), "customer", "c_custkey")
+    return table(spark, d, "customer").merge(source, missing_schema_action="add")[0].frame().select("c_custkey", "c_name", "role")
 
 
 @query("""SELECT r_regionkey, CASE r_regionkey WHEN 1 THEN 'last' ELSE r_name END AS r_name, CASE WHEN r_regionkey = 1 THEN 'first' END AS note FROM region
@@ -510,9 +520,9 @@ def find_one(spark, d):
     return spark.createDataFrame([found] if found else [], parts.frame().schema)
 
 
-@query("SELECT p_partkey, p_size FROM part ORDER BY abs(p_size - 25), p_partkey LIMIT 30")
+@query("SELECT p_partkey, p_size, row_number() OVER (ORDER BY abs(p_size - 25), p_partkey) AS place FROM part")
 def sort_by_function(spark, d):
-    return table(spark, d, "part").sort_by(lambda r: F.abs(r.p_size - 25)).frame().limit(30).select("p_partkey", "p_size")
+    return placed(table(spark, d, "part").sort_by(lambda r: F.abs(r.p_size - 25)).frame().select("p_partkey", "p_size"))
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 ORDER BY o_orderpriority, o_orderkey DESC LIMIT 40 OFFSET 10")
@@ -572,6 +582,6 @@ def preview_rows(spark, d):
 @query("SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = (SELECT max(r_name) FROM region)")
 def data_set_merge(spark, d):
     target, source = DataSet("s"), company(spark, d)
-    target.merge(source)
+    target.merge(source, missing_schema_action="add")
     region = target.table("region")
     return target.get_child_rows(region.where({"r_name": region.compute("MAX(r_name)")}), "region_nation").frame().select("n_name")
