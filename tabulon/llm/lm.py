@@ -1,19 +1,23 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, history). Both factors are softmaxes over sums of weights of hashed
-history features: the word before, the two words before, and the word before the last alone (a skip), each beside a bias.
-All training words of HEAD_COUNT occurrences (of small tables the HEAD_WORDS most frequent) form classes of equal size, about
-as many as a class has words, neighbours in an order by the frequent word that most often stands just before them, then by
-frequency. All other words, known or not, belong to one of a few classes by their last letters; within such a class a word has
-its add-one share of the class's training tokens, with one place for all unknown words. So the probabilities of all known words
-and the unknown ones sum to one.
-
-Statistics cover every training document: word counts, follow counts, and gradients. Training makes ROUNDS passes over
-disjoint thirds of the training documents: each task takes gradient steps (Adagrad, small batches) from the shared weights
-on its share, and its changes are averaged by row, weighted by how many steps touched the row. The head vocabulary and the
-weights grow with the training tokens: there are as many feature rows as histories (for words within classes: histories with
-a class) of HISTORY_COUNT occurrences, estimated from all occurrences of the SEEN_PART-th of them by hash, and FEATURE_ROWS at
-least. All histories are learned from and share these rows. Of the other words the most frequent SENT_WORDS travel to all tasks as a
+P(word | history) = P(class | history) * P(subclass | class, history) * P(word | subclass, history). Each factor is a softmax
+over sums of weights of hashed history features: the word before, the two words before, and the word before the last alone
+(a skip), beside biases that the counts give. All training words of HEAD_COUNT occurrences (the HEAD_WORDS most frequent at least, MOST_HEAD at
+most) are modelled; k classes have k subclasses of k words each, neighbours in an order by the frequent word that most often
+stands just before them, then by frequency. All other words, known or not, belong to one of a few classes by their last
+letters; within such a class a word has its add-one share of the class's training tokens, with one place for all unknown
+words. So the probabilities of all known words and the unknown ones sum to one.
+
+Statistics cover every training document: word counts, follow counts, and gradients. Texts are cut into words twice, for the
+counts and for the ids; all other passes read stored ids. Training makes ROUNDS passes over disjoint parts of the training
+documents. A part is dealt by hash into shards of about SHARD_TOKENS tokens, so what is learned depends on the documents and
+not on the cluster: for each shard a task takes gradient steps (Adagrad, small batches) from the shared weights, and hands on
+the changed rows in half precision; they are averaged by row, weighted by how many steps touched the row.
+
+The modelled words and the weights grow with the training tokens up to a size that every worker holds: there are as many
+feature rows as histories (for the inner factors: histories with a class) of HISTORY_COUNT occurrences, estimated from all
+occurrences of the SEEN_PART-th of them by hash, FEATURE_ROWS at least and MOST_ROWS at most (32 MB a table). All histories
+are learned from and share these rows by hash. Of the other words the most frequent SENT_WORDS travel to all tasks as a
 sorted table of hashes and counts, also of a fixed size; the rare rest, which grows with the corpus, is joined.
 
 Scores are in sparse batches: only the weight rows of the features at hand are gathered.
@@ -25,7 +29,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import functools
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -37,32 +41,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut
+from tabulon.llm.common import Cut, claim, text_slices, tidy
 
-#: Occurrences from which on every word is modelled, and words that are modelled at least.
-HEAD_COUNT = 32
+#: Occurrences from which on a word is modelled, words that are modelled at least, and at most: ids fit 16 bits.
+HEAD_COUNT = 16
 HEAD_WORDS = 4096
-CLASSES = 64
-CLASS_WORDS = HEAD_WORDS // CLASSES
+MOST_HEAD = 32**3
 TAIL_CLASSES = 16
 ANCHORS = 32
-#: Occurrences of a history for which there is a row, and rows at least; one history of SEEN_PART is counted.
-HISTORY_COUNT = 64
+#: Occurrences of a history for which there is a row, and rows of a table at least and at most; one history of SEEN_PART is counted.
+HISTORY_COUNT = 8
 FEATURE_ROWS = 1 << 15
+MOST_ROWS = 1 << 18
 SEEN_PART = 16
 ROUNDS = 3
-BATCH = 8192
-RATE = 0.15
-#: Words counted in a task before it hands the counts on.
-COUNTED_WORDS = 400_000
-ROWS_A_BLOCK = 1024
+SHARD_TOKENS = 1_500_000
+BATCH = 16384
+RATE = 0.4
+#: Words counted in a task, and their bytes, before it hands the counts on.
+COUNTED_WORDS = 300_000
+COUNTED_BYTES = 16_000_000
+ROWS_A_BLOCK = 4096
 #: Words beyond the head whose counts are sent to all tasks, at most (12 bytes each).
 SENT_WORDS = 500_000
-#: Words whose ids a worker remembers.
-WORDS_REMEMBERED = 300_000
+#: Words that a worker remembers, and their bytes in all.
+WORDS_REMEMBERED = 150_000
+BYTES_REMEMBERED = 4_000_000
+SLICE_CHARS = 1_000_000
+SLICE_TOKENS = 250_000
 #: ASCII capitals to small letters, nothing else.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b""
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -74,22 +84,32 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAIL_CLASSES
 
 
+class _Tails(dict):
+    """Tail classes of the last two bytes."""
+
+    def __missing__(self, last: bytes) -> int:
+        value = self[last] = tail_class(last)
+        return value
+
+
+_tails = _Tails()
+
+
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of a model; word id // class_words is a head word's class, tail classes have the ids from ``places`` on."""
+    """Sizes of a model. A place below k**3 is a modelled word's, its digits to the base k are class, subclass and word; tail
+    classes have the places from k**3 on, and what lies beyond a text's beginning the last one."""
 
-    classes: int = CLASSES
-    class_words: int = CLASS_WORDS
-    outer_rows: int = FEATURE_ROWS
-    inner_rows: int = FEATURE_ROWS
+    k: int = 16
+    rows: tuple[int, int, int] = (FEATURE_ROWS,) * 3
 
     @property
     def places(self) -> int:
-        return self.classes * self.class_words
+        return self.k**3
 
     @property
-    def outcomes(self) -> int:
-        return self.classes + TAIL_CLASSES
+    def edge(self) -> int:
+        return self.places + TAIL_CLASSES
 
 
 # -- counts ------------------------------------------------------------------------------------------------------------
@@ -103,70 +123,159 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(items), 50_000):
             part = items[start : start + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
+        counts.clear()
 
+    fresh = 0  # at least the bytes of the words held
     for batch in batches:
         for text in batch.column(0):
-            counts.update(words(text.as_py()))
-            if len(counts) > COUNTED_WORDS:
+            text = text.as_py() or ""
+            counts.update(words(text))
+            fresh += 4 * len(text)
+            if fresh > COUNTED_BYTES:
+                fresh = sum(map(len, counts))
+            if len(counts) > COUNTED_WORDS or fresh > COUNTED_BYTES // 2:
                 yield from out()
-                counts.clear()
+                fresh = 0
     yield from out()
 
 
-@dataclass
-class Head:
-    """The modelled vocabulary: ids by word, below ``places``."""
+class Counts:
+    """Training counts of the words sent to all tasks, by a 64-bit hash; -1 for words that are not among them."""
+
+    def __init__(self, found: list[bytes], numbers: np.ndarray):
+        import xxhash
+
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], numbers[order].astype(np.int32 if not len(numbers) or numbers.max() < 2**31 else np.int64)
+
+    def __call__(self, new: list[bytes]) -> np.ndarray:
+        import xxhash
+
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))
+        if not len(self.hashes):
+            return np.full(len(new), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], -1).astype(np.int64)
+
+
+# -- texts to ids ------------------------------------------------------------------------------------------------------
+
+
+class _Numbers(dict):
+    """Numbers of words: modelled ones by rank, others as they are met."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+
+class Coder:
+    """Ids of words: a modelled word's rank, a tail class for all others; with what is known of those words' counts."""
 
-    ids: dict[bytes, int]
-    places: int
+    def __init__(self, ranks: dict[bytes, int], places: int, sent: Counts):
+        self.ranks, self.places, self.sent = ranks, places, sent
+        self.forget()
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """(ids of all tokens, tokens of each text, words of each text); tail words have ids from ``places`` on."""
-        if len(self.known) > WORDS_REMEMBERED:
-            self.known = _Known(self.ids, self.places)
+    def __getstate__(self) -> dict:
+        return {"ranks": self.ranks, "places": self.places, "sent": self.sent}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def forget(self) -> None:
+        """Of all words but the modelled ones; their ids and counts stand in arrays by number."""
+        self.numbers, self.bytes = _Numbers(self.ranks), 0
+        self.ids = np.arange(len(self.ranks))
+        self.counts = np.zeros(len(self.ranks), np.int64)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """(ids of all tokens, training counts where sent and -1 elsewhere, 0 for modelled words; lengths; the texts' words)."""
+        if len(self.numbers) - len(self.ranks) > WORDS_REMEMBERED or self.bytes > BYTES_REMEMBERED:
+            self.forget()
         split = [words(t) for t in texts]
+        found = np.array(list(map(self.numbers.__getitem__, itertools.chain.from_iterable(split))), np.int64)
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        if fresh:
+            classes = np.array([self.places + _tails[w[-2:]] for w in fresh], np.int64)
+            self.ids = np.concatenate((self.ids, classes))
+            self.counts = np.concatenate((self.counts, self.sent(fresh)))
+            self.bytes += sum(map(len, fresh))
         lengths = np.array([len(x) for x in split], np.int64)
-        ids = np.fromiter((i for own in split for i in map(self.known.__getitem__, own)), dtype=np.int64, count=int(lengths.sum()))
-        return ids, lengths, split
+        return self.ids[found], self.counts[found], lengths, split
 
-    @functools.cached_property
-    def _fresh(self) -> _Known:
-        return _Known(self.ids, self.places)
 
-    @property
-    def known(self) -> _Known:
-        return self.__dict__["_fresh"] if "_fresh" in self.__dict__ else self._fresh
+ENCODED = "doc_id long, held_out boolean, n_tokens long, n_near long, near_base double, tail_model double, ids binary, rare array<struct<word: binary, n: int>>"
 
-    @known.setter
-    def known(self, value: _Known) -> None:
-        self.__dict__["_fresh"] = value
 
-    def __getstate__(self) -> dict:
-        return {"ids": self.ids, "places": self.places}
+def _encode(coder, counts, base_log: float, rooms: np.ndarray):
+    """``counts``: training counts of modelled words by rank; ``rooms``: log10 of what the words of a tail class share."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language model", int)
+        by_rank = counts.value
+        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+        names = [x.split(" ")[0] for x in ENCODED.split(", ")[:7]] + ["rare"]
+        for batch in batches:
+            for first, texts in text_slices(batch.column(2), SLICE_CHARS):
+                ids, number, lengths, split = coder.value(texts)
+                starts = np.cumsum(lengths) - lengths
+                places = coder.value.places
+                head = ids < places
+                near = number >= 0  # the others wait for their counts
+                number = np.where(head, by_rank[np.where(head, ids, 0)], np.maximum(number, 0))
+                share = np.log10(number + 1.0)
+                tail = np.where(near & ~head, share - rooms[np.where(head, 0, ids - places)], 0.0)
+                sums = [np.add.reduceat(x, starts) for x in ((near & (number > 0)).astype(np.int64), np.where(near, share + base_log, 0.0), tail)]
+                far = np.nonzero(~near)[0]
+                cuts = np.searchsorted(far, np.append(starts, len(ids))).tolist()
+                flat = list(itertools.chain.from_iterable(split))
+                far = far.tolist()
+                rows = [[{"word": w, "n": n} for w, n in Counter(map(flat.__getitem__, far[a:z])).items()] for a, z in zip(cuts, cuts[1:], strict=False)]
+                packed = np.split(ids.astype(np.uint16), starts[1:])
+                own = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(1), pa.array(lengths), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64()), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(rows, kind)],
+                    names=names,
+                )
 
-class _Known(dict):
-    """Ids of words met so far: the head's, and tail classes."""
+    return run
 
-    def __init__(self, ids: dict[bytes, int], places: int):
-        super().__init__(ids)
-        self.places = places
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = self.places + tail_class(word)
-        return value
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, ids, lengths) of consecutive rows of about SLICE_TOKENS tokens."""
+    held: list[bytes] = []
+    first = total = 0
+
+    def out() -> tuple[int, int, np.ndarray, np.ndarray]:
+        return first, len(held), np.frombuffer(b"".join(held), np.uint16).astype(np.int64), np.array([len(x) // 2 for x in held], np.int64)
+
+    for at, value in enumerate(column):
+        held.append(value.as_py())
+        total += len(held[-1]) // 2
+        if total >= SLICE_TOKENS:
+            yield out()
+            held, first, total = [], at + 1, 0
+    if held:
+        yield out()
+
 
+# -- the model ---------------------------------------------------------------------------------------------------------
 
-def _before(ids: np.ndarray, lengths: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids one and two places back, a mark of its own beyond a text's beginning."""
-    edge = places + TAIL_CLASSES
+
+def _before(ids: np.ndarray, lengths: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places one and two back, the edge beyond a text's beginning."""
     one, two = np.roll(ids, 1), np.roll(ids, 2)
     starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-    one[starts] = two[starts] = edge
     second = starts + 1
     two[second[second < len(ids)]] = edge
-    if len(starts):  # a second place that is another text's first has its edge already
-        two[starts] = edge
+    one[starts] = two[starts] = edge
     return one, two
 
 
@@ -182,351 +291,306 @@ def _histories(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
     return [_mix(k) for k in (a + np.uint64(1 << 60), (b << np.uint64(30)) + a + np.uint64(2 << 60), b + np.uint64(3 << 60))]
 
 
-def _in_class(history: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Hashes of histories with a class."""
-    return _mix(history + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+def _within(history: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Hashes of histories with a class or subclass."""
+    return _mix(history + (classes.astype(np.uint64) + np.uint64(1)) * GOLDEN)
 
 
 class Weights:
-    """``outer`` scores classes, ``inner`` the words of a class; the last rows are biases (one row a class for inner)."""
+    """A table for each factor: rows of hashed histories, then the biases (one for the first factor, one a class, one a
+    subclass)."""
 
     def __init__(self, shape: Shape | None = None) -> None:
         self.shape = shape or Shape()
-        self.outer = np.zeros((self.shape.outer_rows + 1, self.shape.outcomes), dtype=np.float32)
-        self.inner = np.zeros((self.shape.inner_rows + self.shape.classes, self.shape.class_words), dtype=np.float32)
-
-    def outer_rows(self, histories: list[np.ndarray]) -> list[np.ndarray]:
-        return [(h % np.uint64(self.shape.outer_rows)).astype(np.int64) for h in histories]
-
-    def inner_rows(self, histories: list[np.ndarray], classes: np.ndarray) -> list[np.ndarray]:
-        return [*((_in_class(h, classes) % np.uint64(self.shape.inner_rows)).astype(np.int64) for h in histories), self.shape.inner_rows + classes]
-
-    def outcomes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether a head word, outcome of the outer factor) of each id."""
-        head = ids < self.shape.places
-        return head, np.where(head, ids // self.shape.class_words, ids - self.shape.places + self.shape.classes)
-
-
-def _log_softmax(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray | None = None) -> np.ndarray:
-    scores = table[rows[0]]
+        k, rows = self.shape.k, self.shape.rows
+        self.tables = [np.zeros((r + b, w), np.float32) for r, b, w in zip(rows, (1, k, k * k), (k + TAIL_CLASSES, k, k), strict=True)]
+
+    def factors(self, places: np.ndarray, histories: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
+        """(factor, tokens it is for, their rows, their outcomes)."""
+        k, limits = self.shape.k, self.shape.rows
+        head = np.nonzero(places < self.shape.places)[0]
+        all_ = np.arange(len(places))
+        first = np.where(places < self.shape.places, places // (k * k), places - self.shape.places + k)
+        bias = np.full(len(places), limits[0])
+        yield 0, all_, [*((h % np.uint64(limits[0])).astype(np.int64) for h in histories), bias], first
+        if len(head):
+            own = places[head]
+            inner = [h[head] for h in histories]
+            for factor, above in ((1, own // (k * k)), (2, own // k)):
+                rows = [(_within(h, above + factor * k) % np.uint64(limits[factor])).astype(np.int64) for h in inner]
+                yield factor, head, [*rows, limits[factor] + above], (own // k) % k if factor == 1 else own % k
+
+
+def _scores(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    scores = table.take(rows[0], axis=0)
     for own in rows[1:]:
-        scores += table[own]
-    if bias is not None:
-        scores += bias
-    scores -= scores.max(axis=1, keepdims=True)
-    scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
+        scores += table.take(own, axis=0)
+    if scores.size and scores.max() > 60:  # beyond, the exponential may overflow
+        scores -= scores.max(axis=1, keepdims=True)
     return scores
 
 
-def log_probabilities(weights: Weights, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _log_softmax(table: np.ndarray, rows: list[np.ndarray], outcomes: np.ndarray) -> np.ndarray:
+    """The log of each row's outcome's share."""
+    scores = _scores(table, rows)
+    own = scores[np.arange(len(outcomes)), outcomes]
+    np.exp(scores, out=scores)
+    return own - np.log(scores @ np.ones(scores.shape[1], np.float32))
+
+
+def log_probabilities(weights: Weights, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log of each token's probability; of a tail word's, only its class's."""
-    one, two = _before(ids, lengths, weights.shape.places)
-    out = np.empty(len(ids), dtype=np.float64)
-    for start in range(0, len(ids), BATCH):
+    one, two = _before(places, lengths, weights.shape.edge)
+    out = np.zeros(len(places), dtype=np.float64)
+    for start in range(0, len(places), BATCH):
         part = slice(start, start + BATCH)
-        own = ids[part]
-        head, outcome = weights.outcomes(own)
-        histories = _histories(one[part], two[part])
-        at = np.arange(len(own))
-        logs = _log_softmax(weights.outer, weights.outer_rows(histories), weights.outer[-1])[at, outcome].astype(np.float64)
-        where = np.nonzero(head)[0]
-        if len(where):
-            inner = _log_softmax(weights.inner, weights.inner_rows([h[where] for h in histories], outcome[where]))
-            logs[where] += inner[np.arange(len(where)), own[where] % weights.shape.class_words]
-        out[part] = logs
+        for factor, which, rows, outcomes in weights.factors(places[part], _histories(one[part], two[part])):
+            out[start + which] += _log_softmax(weights.tables[factor], rows, outcomes)
     return out
 
 
 class Trainer:
-    """Gradient steps of one task from shared weights."""
+    """Gradient steps of one shard from shared weights."""
 
     def __init__(self, weights: Weights, rate: float):
         self.weights = Weights(weights.shape)
-        self.weights.outer[:], self.weights.inner[:] = weights.outer, weights.inner
+        for mine, shared in zip(self.weights.tables, weights.tables, strict=True):
+            mine[:] = shared
         self.rate = rate
-        self.squares = [np.full(len(t), 1e-3, np.float32) for t in (self.weights.outer, self.weights.inner)]
-        self.touched = [np.zeros(len(t), np.float32) for t in (self.weights.outer, self.weights.inner)]
-
-    def _change(self, which: int, table: np.ndarray, names: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> None:
-        sums = sums / np.sqrt(counts)[:, None]
-        self.squares[which][names] += np.einsum("ij,ij->i", sums, sums) * (8 / sums.shape[1])
-        self.touched[which][names] += counts
-        table[names] -= (self.rate / np.sqrt(self.squares[which][names]))[:, None] * sums
-
-    def _step(self, which: int, table: np.ndarray, rows: list[np.ndarray], targets: np.ndarray, biased: bool) -> None:
-        slope = np.exp(_log_softmax(table, rows, table[-1] if biased else None))
+        self.squares = [np.full(len(t), 1e-3, np.float32) for t in self.weights.tables]
+        self.touched = [np.zeros(len(t), np.float32) for t in self.weights.tables]
+
+    def _step(self, which: int, rows: list[np.ndarray], targets: np.ndarray) -> None:
+        table, squares, touched = self.weights.tables[which], self.squares[which], self.touched[which]
+        slope = _scores(table, rows)
+        np.exp(slope, out=slope)
+        slope /= (slope @ np.ones(slope.shape[1], np.float32))[:, None]
         slope[np.arange(len(targets)), targets] -= 1
-        for own in rows:
-            order = np.argsort(own, kind="stable")
-            ordered = own[order]
-            starts = np.nonzero(np.diff(ordered, prepend=-1))[0]
-            counts = np.diff(np.append(starts, len(ordered))).astype(np.float32)
-            self._change(which, table, ordered[starts], np.add.reduceat(slope[order], starts, axis=0), counts)
-        if biased:
-            self._change(which, table, np.array([len(table) - 1]), slope.sum(axis=0, keepdims=True), np.array([len(targets)], np.float32))
-
-    def learn(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        one, two = _before(ids, lengths, self.weights.shape.places)
-        for start in range(0, len(ids), BATCH):
+        # the slopes of each row are summed: rows and places in one sorted number; the biases stay what the counts say
+        keys = np.concatenate(rows[:-1]) << 16 | np.tile(np.arange(len(targets)), len(rows) - 1)
+        keys.sort()
+        ordered, order = keys >> 16, keys & 0xFFFF
+        starts = np.nonzero(np.diff(ordered, prepend=-1))[0]
+        counts = np.diff(np.append(starts, len(ordered)))
+        names, many = ordered[starts], counts > 1
+        sums = slope.take(order[starts], axis=0)
+        if many.any():
+            own = counts[many]
+            # two numbers are added at once as parts of a complex one; widths are even
+            pairs = np.add.reduceat(slope.take(order[np.repeat(many, counts)], axis=0).view(np.complex64), np.cumsum(own) - own, axis=0)
+            sums[many] = pairs.view(np.float32) / np.sqrt(own.astype(np.float32))[:, None]
+        total = squares[names] + np.einsum("ij,ij->i", sums, sums) * (8 / sums.shape[1])
+        squares[names] = total
+        touched[names] += counts
+        sums *= (self.rate / np.sqrt(total))[:, None]
+        table[names] = table.take(names, axis=0) - sums
+
+    def learn(self, places: np.ndarray, lengths: np.ndarray) -> None:
+        one, two = _before(places, lengths, self.weights.shape.edge)
+        for start in range(0, len(places), BATCH):
             part = slice(start, start + BATCH)
-            own, histories = ids[part], _histories(one[part], two[part])
-            head, outcome = self.weights.outcomes(own)
-            self._step(0, self.weights.outer, self.weights.outer_rows(histories), outcome, True)
-            where = np.nonzero(head)[0]
-            if len(where):
-                rows = self.weights.inner_rows([h[where] for h in histories], outcome[where])
-                self._step(1, self.weights.inner, rows, own[where] % self.weights.shape.class_words, False)
+            for factor, _, rows, outcomes in self.weights.factors(places[part], _histories(one[part], two[part])):
+                self._step(factor, rows, outcomes)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int = 0, chars: int = 2_000_000) -> Iterator[list[str | None]]:
-    for batch in batches:
-        held, total = [], 0
-        for text in batch.column(column):
-            held.append(text.as_py())
-            total += len(held[-1] or "")
-            if total > chars:
-                yield held
-                held, total = [], 0
-        if held:
-            yield held
+CHANGES = "which int, block int, rows binary, touched binary, changes binary"
 
 
-def _train(head, shared, rate: float):
-    """A task's changes of the weights, in blocks of rows: their sum weighted by touches, and the touches."""
+def _train(shared, order, rate: float):
+    """A shard's changes of the weights: in each block of rows those touched, by how many steps, and their differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = None
-        for texts in _texts(batches):
-            trainer = trainer or Trainer(shared.value, rate)
-            ids, lengths, _ = head.value.encode(texts)
-            trainer.learn(ids, lengths)
-        if trainer is None:
+        claim("language model", int)
+        held = [(h, ids) for batch in batches for h, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        if not held:
             return
-        for which, (mine, before) in enumerate(((trainer.weights.outer, shared.value.outer), (trainer.weights.inner, shared.value.inner))):
-            for start in range(0, len(mine), ROWS_A_BLOCK):
-                part = slice(start, start + ROWS_A_BLOCK)
-                touched = trainer.touched[which][part]
-                if touched.any():
-                    change = (mine[part] - before[part]) * touched[:, None]
-                    packed = zlib.compress(change.astype(np.float32).tobytes() + touched.tobytes(), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([start], pa.int32()), pa.array([packed], pa.binary())], names=["which", "start", "changes"])
+        held.sort()  # the same steps whatever the order of arrival
+        column = pa.array([ids for _, ids in held], pa.binary())
+        del held
+        weights, place = shared.value, order.value
+        trainer = Trainer(weights, rate)
+        for _, _, ids, lengths in _slices(column):
+            trainer.learn(place[ids], lengths)
+        for which, (mine, before) in enumerate(zip(trainer.weights.tables, weights.tables, strict=True)):
+            for block in range(-(-len(mine) // ROWS_A_BLOCK)):
+                rows = np.nonzero(trainer.touched[which][block * ROWS_A_BLOCK : (block + 1) * ROWS_A_BLOCK])[0]
+                if len(rows):
+                    at = rows + block * ROWS_A_BLOCK
+                    values = [[which], [block], [rows.astype(np.uint16).tobytes()], [trainer.touched[which][at].tobytes()], [(mine[at] - before[at]).astype(np.float16).tobytes()]]
+                    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["which", "block", "rows", "touched", "changes"])
 
     return run
 
 
-def _merge(shape: Shape):
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The averaged changes of each block; a partition holds whole blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _merged(batches, (shape.outcomes, shape.class_words))
-
-    return run
-
-
-def _merged(batches: Iterator[pa.RecordBatch], widths: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    sums: dict[tuple[int, int], np.ndarray] = {}
+    sums: dict[tuple[int, int], list[np.ndarray]] = {}
     for batch in batches:
-        for which, start, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            own = np.frombuffer(zlib.decompress(packed.as_py()), np.float32)
-            sums[which, start] = sums[which, start] + own if (which, start) in sums else own.copy()
-    for (which, start), total in sums.items():
-        width = widths[which]
-        rows = len(total) // (width + 1)
-        change = total[: rows * width].reshape(rows, width) / np.maximum(total[rows * width :], 1)[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([start], pa.int32()), pa.array([change.astype(np.float32).tobytes()], pa.binary())], names=["which", "start", "changes"])
-
-
-def _follow(head, anchors: dict[int, int]):
-    """(word id, anchor, times): how often an anchor is the last anchor within three places before a head word."""
+        for which, block, rows, touched, changes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            at, weight = np.frombuffer(rows, np.uint16), np.frombuffer(touched, np.float32)
+            change = np.frombuffer(changes, np.float16).reshape(len(at), -1).astype(np.float32)
+            if (which, block) not in sums:
+                sums[which, block] = [np.zeros(ROWS_A_BLOCK, np.float32), np.zeros((ROWS_A_BLOCK, change.shape[1]), np.float32)]
+            sums[which, block][0][at] += weight
+            sums[which, block][1][at] += change * weight[:, None]
+    for (which, block), (weight, change) in sums.items():
+        rows = np.nonzero(weight)[0]
+        mean = (change[rows] / weight[rows, None]).astype(np.float16)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([which], pa.int32()), pa.array([block], pa.int32()), pa.array([rows.astype(np.uint16).tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())],
+            names=["which", "block", "rows", "changes"],
+        )
+
+
+def _follow(places: int, anchors: dict[int, int]):
+    """(word id, anchor, times): how often an anchor is the last anchor within three places before a modelled word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = head.value.places
-        table = np.zeros((places, ANCHORS), dtype=np.int64)
+        table = np.zeros(places * ANCHORS, dtype=np.int64)
         place = np.full(places + TAIL_CLASSES + 1, -1, dtype=np.int64)
         for word, anchor in anchors.items():
             place[word] = anchor
-        for texts in _texts(batches):
-            ids, lengths, _ = head.value.encode(texts)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            last = np.full(len(ids), -1, dtype=np.int64)
-            for back in (3, 2, 1):
-                own = np.roll(place[ids], back)
-                own[: min(back, len(own))] = -1
-                own[np.roll(doc, back) != doc] = -1
-                last = np.where(own >= 0, own, last)
-            use = (last >= 0) & (ids < places)
-            table += np.bincount(ids[use] * ANCHORS + last[use], minlength=table.size).reshape(table.shape)
-        word, anchor = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(anchor), pa.array(table[word, anchor])], names=["word", "anchor", "times"])
+        for batch in batches:
+            for _, _, ids, lengths in _slices(batch.column(0)):
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                last = np.full(len(ids), -1, dtype=np.int64)
+                for back in (3, 2, 1):
+                    own = np.roll(place[ids], back)
+                    own[: min(back, len(own))] = -1
+                    own[np.roll(doc, back) != doc] = -1
+                    last = np.where(own >= 0, own, last)
+                use = (last >= 0) & (ids < places)
+                table += np.bincount(ids[use] * ANCHORS + last[use], minlength=len(table))
+        at = np.nonzero(table)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at // ANCHORS), pa.array(at % ANCHORS), pa.array(table[at])], names=["word", "anchor", "times"])
 
     return run
 
 
-def _seen(head, shape: Shape):
-    """(table, history, times): occurrences of the SEEN_PART-th of all histories by hash, alone for the outer table, with the
-    class that follows for the inner."""
+def _seen(order, shape: Shape):
+    """(table, history, times): occurrences of the SEEN_PART-th of all histories by hash, for the inner factors with the class
+    or subclass that follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(Shape(shape.classes, shape.class_words, 1, 1))
-        for texts in _texts(batches):
-            ids, lengths, _ = head.value.encode(texts)
-            histories = _histories(*_before(ids, lengths, shape.places))
-            known, outcome = weights.outcomes(ids)
-            for which, found in enumerate((histories, [_in_class(h[known], outcome[known]) for h in histories])):
-                every = np.concatenate(found)
-                keys, times = np.unique(every[every % np.uint64(SEEN_PART) == 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), which, np.int32)), pa.array(keys.view(np.int64)), pa.array(times)], names=["which", "history", "times"])
+        k, place = shape.k, order.value
+        for batch in batches:
+            for _, _, ids, lengths in _slices(batch.column(0)):
+                own = place[ids]
+                histories = _histories(*_before(own, lengths, shape.edge))
+                head = own < shape.places
+                inner, known = [h[head] for h in histories], own[head]
+                for which, found in enumerate((histories, [_within(h, known // (k * k) + k) for h in inner], [_within(h, known // k + 2 * k) for h in inner])):
+                    kept = np.concatenate([h[h % np.uint64(SEEN_PART) == 0] for h in found])
+                    keys, times = np.unique(kept, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), which, np.int32)), pa.array(keys.view(np.int64)), pa.array(times)], names=["which", "history", "times"])
 
     return run
 
 
-def _grown(training: DataFrame, head, shape: Shape) -> Shape:
-    """The shape with as many rows as there are histories of HISTORY_COUNT occurrences."""
-    seen = training.select("text").mapInArrow(_seen(head, shape), "which int, history long, times long").groupBy("which", "history").agg(F.sum("times").alias("times"))
-    found = {r["which"]: r["n"] * SEEN_PART for r in seen.where(F.col("times") >= HISTORY_COUNT).groupBy("which").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return Shape(shape.classes, shape.class_words, *(max(FEATURE_ROWS, found.get(which, 0)) for which in (0, 1)))
+def _grown(training: DataFrame, order, shape: Shape) -> Shape:
+    """The shape with as many rows as there are histories of HISTORY_COUNT occurrences, within bounds."""
+    seen = training.select("ids").mapInArrow(_seen(order, shape), "which int, history long, times long").groupBy("which", "history").agg(F.sum("times").alias("times"))
+    with tidy(training.sparkSession):
+        met = {r["which"]: r["n"] * SEEN_PART for r in seen.where(F.col("times") >= HISTORY_COUNT).groupBy("which").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return Shape(shape.k, tuple(min(MOST_ROWS, max(FEATURE_ROWS, met.get(which, 0))) for which in range(3)))  # type: ignore[arg-type]
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_near long, near_base double, model double, rare array<struct<word: binary, n: int>>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_near long, near_base double, model double"
 
 
-class Counts:
-    """Training counts of the words sent to all tasks, by a 64-bit hash; -1 for words that are not among them."""
-
-    def __init__(self, found: list[bytes], numbers: np.ndarray):
-        import xxhash
-
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
-        order = np.argsort(hashes)
-        self.hashes, self.numbers = hashes[order], numbers[order].astype(np.int64)
-        self.known: dict[bytes, int] = {}
-
-    def __getstate__(self) -> dict:
-        return {"hashes": self.hashes, "numbers": self.numbers, "known": {}}
-
-    def __call__(self, tail: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        if len(self.known) > WORDS_REMEMBERED:
-            self.known = {}
-        new = list(set(tail).difference(self.known))
-        if new:
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))
-            if len(self.hashes):
-                at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-                numbers = np.where(self.hashes[at] == hashes, self.numbers[at], -1)
-            else:
-                numbers = np.full(len(new), -1)
-            self.known.update(zip(new, numbers.tolist(), strict=True))
-        return np.fromiter(map(self.known.__getitem__, tail), dtype=np.int64, count=len(tail))
-
-
-def _score(head, shared, counts, sent, base_log: float, rooms: np.ndarray):
-    """``counts``: training counts of head words by id; ``sent``: of frequent other words; ``rooms``: log10 of what the words
-    of a tail class share."""
+def _score(shared, order):
+    """Of rows (row, doc_id, held_out, n_tokens, n_near, near_base, tail_model, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = np.concatenate((counts.value, np.zeros(TAIL_CLASSES, np.int64)))
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+        claim("language model", int)
         for batch in batches:
-            done = 0
-            for texts in _texts(iter([batch]), column=2):
-                ids, lengths, split = head.value.encode(texts)
-                logs = log_probabilities(shared.value, ids, lengths) / math.log(10)
-                starts = np.cumsum(lengths) - lengths
-                places = head.value.places
-                tail = np.nonzero(ids >= places)[0]
-                flat = [w for own in split for w in own]
-                words_there = list(map(flat.__getitem__, tail.tolist()))
-                found = sent.value(words_there)
-                number = numbers[ids]
-                number[tail] = np.maximum(found, 0)
-                near = np.ones(len(ids), dtype=bool)  # the others wait for their counts
-                near[tail] = found >= 0
-                share = np.log10(number + 1.0)
-                base = np.where(near, share + base_log, 0.0)
-                logs[tail] += np.where(found >= 0, share[tail] - rooms[ids[tail] - places], 0.0)
-                sums = [np.add.reduceat(x, starts) for x in ((near & (number > 0)).astype(np.int64), base, logs)]
-                far = tail[found < 0]
-                cuts = np.searchsorted(far, np.append(starts, len(ids))).tolist()
-                far = far.tolist()
-                rows = [[{"word": w, "n": n} for w, n in Counter(map(flat.__getitem__, far[a:z])).items()] for a, z in zip(cuts, cuts[1:], strict=False)]
-                own = batch.slice(done, len(texts))
-                done += len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(lengths), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64()), pa.array(rows, kind)],
-                    names=["doc_id", "held_out", "n_tokens", "n_near", "near_base", "model", "rare"],
-                )
+            for first, number, ids, lengths in _slices(batch.column(7)):
+                logs = log_probabilities(shared.value, order.value[ids], lengths) / math.log(10)
+                own = batch.slice(first, number)
+                sums = np.add.reduceat(logs, np.cumsum(lengths) - lengths) + own.column(6).to_numpy()
+                yield pa.RecordBatch.from_arrays([*own.columns[:6], pa.array(sums)], names=[x.split(" ")[0] for x in SCORED.split(", ")])
 
     return run
 
 
+def _ordered(encoded: DataFrame, places: int, head: int, frequent: np.ndarray) -> np.ndarray:
+    """The place of each id: modelled words sorted by the anchor that pulls most, then by frequency."""
+    anchors = {i: k for k, i in enumerate(range(1, min(head, ANCHORS + 1)))}  # the end is the first word
+    times = np.zeros((places, ANCHORS))
+    counted = encoded.where("NOT held_out").select("ids").mapInArrow(_follow(places, anchors), "word long, anchor long, times long")
+    with tidy(encoded.sparkSession):
+        follow = counted.groupBy("word", "anchor").agg(F.sum("times").alias("times")).toArrow()  # at most MOST_HEAD * ANCHORS numbers
+    times[follow["word"].to_numpy(), follow["anchor"].to_numpy()] = follow["times"].to_numpy()
+    pull = (times + 0.1) / (times.sum(axis=1, keepdims=True) + 3.2) / ((times.sum(axis=0) + 1) / (times.sum() + ANCHORS))
+    by_place = np.lexsort((-frequent, pull.argmax(axis=1)))
+    order = np.arange(places + TAIL_CLASSES + 1)
+    order[by_place] = np.arange(places)
+    return order
+
+
 def score_documents(df: DataFrame, held_out: str, key: str = "doc_id", column: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. ``held_out`` is a SQL condition
     on ``doc_id``; rows for which it is true are not learned from."""
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(column).alias("text")).withColumn("held_out", F.coalesce(F.expr(held_out), F.lit(False)))
-    training = docs.where(~F.col("held_out"))
-    counts = cut(training.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    counts = Cut(docs.where(~F.col("held_out")).select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    total = counts.df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     train_tokens, distinct = int(total["n"]), int(total["v"])
     base_log = -math.log10(train_tokens + distinct + 1)
 
-    # the head: all words of HEAD_COUNT occurrences, or HEAD_WORDS words where those are fewer; the end among them
-    often = (F.col("word") == F.lit(END)) | (F.col("n") >= HEAD_COUNT)
-    many = counts.where(often).count()
-    top = counts.where(often).toArrow() if many >= HEAD_WORDS else counts.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("n"), "word").limit(HEAD_WORDS).toArrow()
-    top = sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda r: (r[0] != END, -r[1], r[0]))
-    size = max(HEAD_WORDS, many)
-    classes = math.isqrt(size - 1) + 1
-    shape = Shape(classes, -(-size // classes))
+    top = counts.df.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("n"), "word").limit(MOST_HEAD).toArrow()
+    top = [(w, n) for i, (w, n) in enumerate(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)) if i < HEAD_WORDS or n >= HEAD_COUNT]
+    k = next(k for k in range(16, 33, 2) if k**3 >= len(top))
+    shape = Shape(k)
     places = shape.places
-    plain = sc.broadcast(Head({w: i for i, (w, _) in enumerate(top)}, places))
-    anchors = {i: k for k, i in enumerate(range(1, min(len(top), ANCHORS + 1)))}
-    times = np.zeros((places, ANCHORS))
-    follow = training.select("text").mapInArrow(_follow(plain, anchors), "word long, anchor long, times long").groupBy("word", "anchor").agg(F.sum("times").alias("times")).toArrow()
-    times[follow["word"].to_numpy(), follow["anchor"].to_numpy()] = follow["times"].to_numpy()  # ANCHORS numbers a head word
-    frequent = np.array([n for _, n in top] + [0] * (places - len(top)), dtype=np.float64)
-    pull = (times + 0.1) / (times.sum(axis=1, keepdims=True) + 3.2) / ((times.sum(axis=0) + 1) / (times.sum() + ANCHORS))
-    best = pull.argmax(axis=1)
-    order = np.lexsort((-frequent, best))
-    ids = np.empty(places, dtype=np.int64)
-    ids[order] = np.arange(places)
-    head = sc.broadcast(Head({w: int(ids[i]) for i, (w, _) in enumerate(top)}, places))
-    numbers = np.zeros(places, dtype=np.int64)
-    numbers[ids] = frequent.astype(np.int64)
+    frequent = np.array([n for _, n in top] + [0] * (places - len(top)), dtype=np.int64)
 
     # tail classes: their training tokens and words; a word's class follows from its last two bytes
-    rest = counts.where(~often) if many >= HEAD_WORDS else counts.join(F.broadcast(_words_frame(df, [w for w, _ in top])), "word", "left_anti")
-    tails = rest.withColumn("class", F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(TAIL_CLASSES)).cast("int"))
+    mine = F.broadcast(spark.createDataFrame([(bytearray(w),) for w, _ in top], "word binary"))  # at most MOST_HEAD words
+    tails = counts.df.join(mine, "word", "left_anti").withColumn("class", F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(TAIL_CLASSES)).cast("int"))
     mass, kinds = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
-    for r in tails.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        mass[r["class"]], kinds[r["class"]] = r["n"], r["v"]
-
-    shape = _grown(training, head, shape)
+    with tidy(spark):
+        for r in tails.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+            mass[r["class"]], kinds[r["class"]] = r["n"], r["v"]
+        sent = _sent(tails)
+    rooms = np.log10(mass + kinds + 1)
+    coder = sc.broadcast(Coder({w: i for i, (w, _) in enumerate(top)}, places, sent))
+    coded = docs.select("doc_id", "held_out", "text").mapInArrow(_encode(coder, sc.broadcast(frequent), base_log, rooms), ENCODED)
+    encoded = Cut(coded.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("doc_id", "ids")), "encoded")
+
+    place = _ordered(encoded.df, places, len(top), frequent.astype(np.float64))
+    order = sc.broadcast(place)
+    training = encoded.df.where("NOT held_out").select("h", "ids")
+    shape = _grown(training, order, shape)
     weights = Weights(shape)
-    # the biases begin at the unigram shares, places of the head that no word has at next to nothing
-    by_class = numbers.reshape(shape.classes, shape.class_words)
-    shares = np.append(by_class.sum(axis=1), mass)
-    weights.outer[-1] = np.log(shares + 0.5) - np.log(shares.sum() + 0.5 * shape.outcomes)
-    weights.inner[shape.inner_rows :] = np.log(by_class + 1e-3) - np.log(by_class.sum(axis=1, keepdims=True) + 1)
+    # the biases begin at the unigram shares, places that no word has at next to nothing
+    by_place = np.zeros(places)
+    by_place[place[:places]] = frequent
+    classes, words_of = by_place.reshape(k, k, k).sum(axis=2), by_place.reshape(k * k, k)
+    first = np.append(classes.sum(axis=1), mass)
+    weights.tables[0][-1] = np.log(first + 0.5) - np.log(first.sum() + 0.5 * len(first))
+    weights.tables[1][shape.rows[1] :] = np.log(classes + 1e-3) - np.log(classes.sum(axis=1, keepdims=True) + 1)
+    weights.tables[2][shape.rows[2] :] = np.log(words_of + 1e-3) - np.log(words_of.sum(axis=1, keepdims=True) + 1)
     shared = sc.broadcast(weights)
-    workers = max(2, sc.defaultParallelism)
+    shards = max(2, math.ceil(train_tokens / rounds / SHARD_TOKENS)) if rounds else 0
     for number in range(rounds if train_tokens else 0):
-        part = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == number).select("text").coalesce(workers)
-        changes = part.mapInArrow(_train(head, shared, RATE / (1 + number)), "which int, start int, changes binary")
-        merged = changes.repartition(workers, "which", "start").mapInArrow(_merge(shape), "which int, start int, changes binary")
-        for r in merged.toLocalIterator():  # a change for each weight, a part at a time
-            table = (weights.outer, weights.inner)[r["which"]]
-            change = np.frombuffer(r["changes"], np.float32).reshape(-1, table.shape[1])
-            table[r["start"] : r["start"] + len(change)] += change
+        part = training.where(F.pmod("h", F.lit(rounds)) == number)
+        part = part.repartitionById(shards, F.pmod(F.shiftright("h", 16), F.lit(shards)).cast("int"))
+        changes = part.mapInArrow(_train(shared, order, RATE), CHANGES)
+        merged = Cut(changes.repartition(8, "which", "block").mapInArrow(_merge, "which int, block int, rows binary, changes binary"), "changes")
+        for r in merged.df.toLocalIterator():  # a change for each weight at most
+            table, at = weights.tables[r["which"]], np.frombuffer(r["rows"], np.uint16).astype(np.int64) + r["block"] * ROWS_A_BLOCK
+            table[at] += np.frombuffer(r["changes"], np.float16).reshape(len(at), -1)
+        merged.drop()
+        shared.destroy()
         shared = sc.broadcast(weights)
 
-    rooms = np.log10(mass + kinds + 1)
-    sent = sc.broadcast(_sent(tails))
-    scored = cut(docs.select("doc_id", "held_out", "text").mapInArrow(_score(head, shared, sc.broadcast(numbers), sent, base_log, rooms), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
-    each = scored.select("row", F.explode("rare").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))
-    joined = each.join(counts, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+    small = encoded.df.select("row", "doc_id", "held_out", "n_tokens", "n_near", "near_base", "tail_model", "ids")
+    scored = small.mapInArrow(_score(shared, order), SCORED)
+    each = encoded.df.select("row", F.explode("rare").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))
+    joined = each.join(counts.df, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     room = F.element_at(F.array(*[F.lit(float(x)) for x in rooms]), (F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(TAIL_CLASSES)) + 1).cast("int"))
     sums = joined.groupBy("row").agg(
         F.sum(F.col("times") * (F.log10(F.col("c") + 1.0) + F.lit(base_log))).alias("far_base"),
@@ -534,7 +598,7 @@ def score_documents(df: DataFrame, held_out: str, key: str = "doc_id", column: s
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).cast("long").alias("far_known"),
     )
     zero = F.lit(0.0)
-    return scored.drop("rare").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_near") + F.coalesce("far_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("near_base") + F.coalesce("far_base", zero)).alias("base_score"), (F.col("model") + F.coalesce("far_model", zero)).alias("score"),
     )
@@ -553,8 +617,3 @@ def _sent(tails: DataFrame) -> Counts:
         return Counts([], np.zeros(0, np.int64))
     table = tails.where(step >= least).select("word", "n").toArrow()
     return Counts(table["word"].to_pylist(), table["n"].to_numpy())
-
-
-def _words_frame(df: DataFrame, found: list[bytes]) -> DataFrame:
-    """At most HEAD_WORDS words as a table."""
-    return df.sparkSession.createDataFrame([(bytearray(w),) for w in found], "word binary")

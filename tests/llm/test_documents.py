@@ -105,6 +105,36 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted(r["doc_id"] for r in one.collect()) == [1, 3] and one.columns[0] == "doc_id"
 
 
+def test_missing_and_repeated_keys(spark):
+    same, other = "a b c d e f", "g h i j k l m"
+    rows = [(1, same, "s"), (1, same, "s"), (1, other, "s"), (None, same, "s"), (None, other, "s"), (4, "n o p q r", "s"), (None, None, "s")]
+    got = ngram_join.near_duplicates(frame(spark, rows), count_bits=12).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(1, 2, 1), (1, 2, 1), (1, 3, 1), (None, 2, None), (None, 3, None), (4, 1, 4), (None, 0, None)], key=str)
+    assert Counter(r["text"] for r in ngram_join.drop_near_copies(frame(spark, rows)).collect()) == {same: 1, other: 1, "n o p q r": 1, None: 1}
+    kept = exact_dedup.drop_copies(frame(spark, rows))
+    assert Counter(r["text"] for r in kept.collect()) == {same: 1, other: 1, "n o p q r": 1, None: 1} and kept.columns[0] == "doc_id"
+    mixed = mixing.repeat_documents(frame(spark, rows), share_percent=200)
+    assert Counter(r["text"] for r in mixed.collect()) == {same: 6, other: 4, "n o p q r": 2}
+
+
+def test_classes_with_one_number_are_told_apart(spark, monkeypatch):
+    """Should numbers collide, others are drawn."""
+    tried = []
+
+    class Twice:
+        def __init__(self, df, label):
+            self.real = ngram_join_cut(df, label)
+            self.df, self.drop = self.real.df, self.real.drop
+            if label == "marks" and not tried:
+                tried.append(label)
+                self.df = self.df.withColumn("top", self.df.top + 1)
+
+    ngram_join_cut = ngram_join.Cut
+    monkeypatch.setattr(ngram_join, "Cut", Twice)
+    got = ngram_join.near_duplicates(frame(spark, [(1, "a b c", "s"), (2, "a b c", "s"), (3, "d", "s")]), count_bits=12)
+    assert tried and sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 # -- mixing --------------------------------------------------------------------------------------------------------------
 
 
@@ -145,6 +175,18 @@ def test_schedule_is_even_and_complete(spark):
     assert 8 <= first["b"] <= 12
 
 
+def test_the_mix_is_in_slot_order(spark):
+    rows = [(i, "w " * 50, "ab"[i % 2]) for i in range(400)]
+    docs = frame(spark, rows)
+    slots = {r["doc_id"]: r["first_slot"] for r in mixing.mix(docs, block=100).collect()}
+    order = [r["doc_id"] for r in mixing.repeat_documents(docs, block=100).collect()]
+    seen = list(dict.fromkeys(order))
+    assert [slots[i] for i in seen] == sorted(slots[i] for i in seen) and Counter(order).most_common(1)[0][1] <= 2
+    for start in range(0, len(order) - 100, 50):  # sources take turns all along
+        share = sum(i % 2 for i in order[start : start + 50]) / 50
+        assert abs(share - sum(i % 2 for i in order) / len(order)) < 0.15
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(frame(spark, []).limit(0)).count() == 0
     assert [tuple(r)[:2] for r in mixing.mix(frame(spark, [(1, None, "a")])).collect()] == [(1, 0)]
@@ -272,19 +314,25 @@ def test_scores_and_base(spark, monkeypatch, sent):
     assert lm.score_documents(frame(spark, []).limit(0), "doc_id % 4 = 1").count() == 0
 
 
+def random_weights(seed):
+    r = np.random.default_rng(seed)
+    w = lm.Weights(lm.Shape(6, (64, 64, 64)))
+    for table in w.tables:
+        table[:] = r.normal(size=table.shape)
+    return w
+
+
 def test_probabilities_sum_to_one():
-    r = np.random.default_rng(14)
-    w = lm.Weights()
-    w.outer[:], w.inner[:] = r.normal(size=w.outer.shape), r.normal(size=w.inner.shape)
-    every = np.arange(lm.HEAD_WORDS + lm.TAIL_CLASSES)
+    w = random_weights(14)
+    every = np.arange(w.shape.places + lm.TAIL_CLASSES)
     flat = np.stack((np.full(len(every), 5), every), axis=1).ravel()
     logs = lm.log_probabilities(w, flat, np.full(len(every), 2))[1::2]
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_words_of_a_class_are_chosen_by_both_words_before():
-    w = lm.Weights()
-    w.inner[:] = np.random.default_rng(15).normal(size=w.inner.shape)
+    w = random_weights(15)
+    w.tables[0][:] = w.tables[1][:] = 0
     logs = lm.log_probabilities(w, np.array([3, 5, 7, 4, 5, 7]), np.array([3, 3]))
     assert abs(logs[2] - logs[5]) > 1e-3
 
@@ -295,6 +343,17 @@ def test_model_grows_with_the_counts(spark, monkeypatch):
     monkeypatch.setattr(lm, "HISTORY_COUNT", 40)
     monkeypatch.setattr(lm, "FEATURE_ROWS", 16)
     text = " ".join(f"w{k}" for k in range(5000))
-    got = lm.score_documents(frame(spark, [(i, text, "s") for i in range(40)]), "false").collect()
+    rows = [(i, text, "s") for i in range(40)]
+    got = lm.score_documents(frame(spark, rows), "false").collect()
     assert len(got) == 40 and shapes[0].places > 5000
-    assert shapes[0].outer_rows == pytest.approx(15_000, rel=0.2) and shapes[0].inner_rows == pytest.approx(15_000, rel=0.2)
+    assert all(n == pytest.approx(15_000, rel=0.2) for n in shapes[0].rows)
+    monkeypatch.setattr(lm, "MOST_ROWS", 2000)
+    assert len(lm.score_documents(frame(spark, rows), "false").collect()) == 40 and shapes[1].rows == (2000, 2000, 2000)
+
+
+def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)
+    r = random.Random(16)
+    rows = [(i, " ".join(f"w{r.randrange(50)}" for _ in range(60)), "s") for i in range(200)]
+    a, b = ({x["doc_id"]: x["score"] for x in lm.score_documents(frame(spark, rows).repartition(n), "doc_id % 4 = 1").collect()} for n in (2, 7))
+    assert all(a[i] == pytest.approx(b[i], rel=1e-6) for i in a)
