@@ -58,6 +58,19 @@ def view(table: Table, rows: object = ROWS) -> dict:
     }
 
 
+def row(table: Table, key: object) -> dict | None:
+    """The row with a primary key, with its state and versions."""
+    from tabulon.operators.tracking import ORIGINAL, PROPOSED, STATE, track
+
+    rows = track(table).at_key(key)
+    found = None if rows is None else rows.live().frame(hidden=True).limit(1).first()
+    if found is None:
+        return None
+    full = found.asDict(recursive=True)
+    versions = {"originalValues": shown(full[ORIGINAL]), "proposedValues": shown(full[PROPOSED])}
+    return {"type": "Row", "tableName": table.name, "rowState": full[STATE], "values": {n: shown(full[n]) for n in table.schema.names}, **versions}
+
+
 def text(table: Table, rows: object = ROWS) -> str:
     """A box-drawing table."""
     found = preview(table, rows)

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from tabulon import errors
+from tabulon import errors, types
 from tabulon.dataset import DataSet
 from tabulon.operators import tracking
 from tabulon.operators.tracking import ORIGINAL, STATE
@@ -370,3 +370,125 @@ def data_set_apply_change_set(spark, d):
     data.replace_table(data.table("customer").update("c_acctbal < 0", {"c_acctbal": 0}, validate=False))
     other.apply_change_set(data.get_change_set())
     return other.table("customer").df.select("c_custkey", "c_acctbal", F.col(f"{ORIGINAL}.c_acctbal").alias("before"))
+
+
+# -- names, types, counts, views, events ---------------------------------------------------------------------------------
+
+
+@query("""SELECT * FROM (VALUES ('pg', '23', 'integer'), ('pg', '1114', 'date'), ('mysql', '253', 'string'), ('mysql', '246', 'number'), ('mssql', 'bit', 'boolean'), ('mssql', 'money', 'number'),
+    ('sqlite', 'VARCHAR(20)', 'string'), ('sqlite', 'DATETIME', 'date'), ('oracle', 'NUMBER(10,2)', 'number'), ('oracle', 'TIMESTAMP(6)', 'date'), ('', 'timestamptz', 'date'), ('', 'odd', 'any')) v(provider, kind, tag)""")
+def provider_types(spark, d):
+    asked = [("pg", 23), ("pg", 1114), ("mysql", 253), ("mysql", 246), ("mssql", "bit"), ("mssql", "money"), ("sqlite", "VARCHAR(20)"), ("sqlite", "DATETIME"), ("oracle", "NUMBER(10,2)"), ("oracle", "TIMESTAMP(6)"), ("", "timestamptz"), ("", "odd")]
+    return rows_of(spark, [(p, str(k), types.from_database(k, p)) for p, k in asked], "provider string, kind string, tag string")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name, 'integer' AS id_tag, 25 AS name_length FROM nation")
+def load_field_metadata(spark, d):
+    fields = [{"name": "id", "dataTypeID": 23}, {"name": "name", "dataTypeID": 1043, "length": 25}]
+    t = Table.from_query_result(spark, {"rows": [{"id": str(r.n_nationkey), "name": r.n_name} for r in table(spark, d, "nation").rows()], "fields": fields})
+    return t.frame().withColumn("id_tag", F.lit(t.column("id").tag)).withColumn("name_length", F.lit(t.column("name").max_length))
+
+
+@query("SELECT n_nationkey, upper(n_name) AS label FROM nation")
+def load_name_functions(spark, d):
+    rows = [{"N_NATIONKEY": r.n_nationkey, "n label": r.n_name.upper()} for r in table(spark, d, "nation").rows()]
+    return Table.from_objects(spark, rows, rename_columns=lambda n: n.lower().replace("n ", "")).frame().select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "label")
+
+
+@query("SELECT n_nationkey, n_name, 'fresh' AS mark FROM nation UNION ALL SELECT 100, 'made', 'fresh' UNION ALL SELECT 101, 'made', 'own'")
+def new_rows_with_defaults(spark, d):
+    t = table(spark, d, "nation").remove_column("n_regionkey").add_column("mark", "string", default=lambda: "fresh")
+    return t.add_rows([t.new_row(n_nationkey=100, n_name="made"), {"n_nationkey": 101, "n_name": "made", "mark": "own"}]).frame()
+
+
+@query("SELECT count(*) AS pairs, count(*) FILTER (n_regionkey = r_regionkey) AS valid FROM nation, region")
+def relation_is_valid(spark, d):
+    data = company(spark, d)
+    regions, nations = data.table("region").rows(), data.table("nation").rows()
+    found = [data.is_valid("region_nation", r, n) for r in regions for n in nations]
+    return rows_of(spark, [(len(found), sum(found))], "pairs bigint, valid bigint")
+
+
+@query("SELECT * FROM (VALUES ('c_custkey', TRUE, FALSE), ('C_NAME', TRUE, FALSE), ('twice', TRUE, TRUE), ('nothing', FALSE, FALSE)) v(name, there, computed)")
+def column_lookups(spark, d):
+    t = table(spark, d, "customer").add_column("twice", "number", expression="c_acctbal * 2")
+    return rows_of(spark, [(n, t.column_exists(n), t.column_exists(n) and t.column(n).computed) for n in ("c_custkey", "C_NAME", "twice", "nothing")], "name string, there boolean, computed boolean")
+
+
+@query("""SELECT (SELECT count(*) FROM customer) + 3 AS all_rows, (SELECT count(*) FROM customer WHERE c_nationkey = 5) AS deleted, (SELECT count(*) FROM customer WHERE c_acctbal < 0 AND c_nationkey <> 5) AS modified, 3::BIGINT AS added, TRUE AS changed""")
+def change_set_members(spark, d):
+    t = changed_customers(spark, d)
+    c = t.get_change_set()
+    return rows_of(spark, [(t.count(), c.deleted.count(), c.modified.count(), c.added.count(), c.has_changes() and t.has_changes() and not c.is_empty())], "all_rows bigint, deleted bigint, modified bigint, added bigint, changed boolean")
+
+
+@query("SELECT 'first' AS place, o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) UNION ALL SELECT 'third', o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1 OFFSET 2) UNION ALL SELECT 'count', count(*) FROM orders")
+def view_rows(spark, d):
+    v = table(spark, d, "orders").create_view().order_by("o_totalprice", "desc")
+    return rows_of(spark, [("first", v.first_row().o_orderkey), ("third", v.row(2).o_orderkey), ("count", v.count())], "place string, o_orderkey bigint")
+
+
+@query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation")
+def iterated_rows(spark, d):
+    return rows_of(spark, [(r.n_nationkey, r.n_name, i) for i, r in enumerate(table(spark, d, "nation"))], "n_nationkey int, n_name string, place bigint")
+
+
+@query("SELECT 'Table' AS type, 'nation' AS name, 25::BIGINT AS n_rows, 3::BIGINT AS shown, (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS modified")
+def debug_views(spark, d):
+    v = table(spark, d, "nation").update("n_regionkey = 1", {"n_name": "x"}).to_debug_view(3)
+    return rows_of(spark, [(v["type"], v["tableName"], v["rowCount"], len(v["preview"]), v["changes"]["modifiedCount"])], "type string, name string, n_rows bigint, shown bigint, modified bigint")
+
+
+@query("SELECT c_custkey, c_name, upper(c_name) AS \"C_NAME_\" FROM customer WHERE c_nationkey = 3")
+def case_sensitive_names(spark, d):
+    rows = table(spark, d, "customer").frame().selectExpr("c_custkey", "c_name", "upper(c_name) AS C_NAME_", "c_nationkey AS K", "c_nationkey + 1 AS k_")
+    t = Table.from_df(rows, "t", "c_custkey", case_sensitive=True)
+    kept = t if not t.column_exists("k") and t.column_exists("K") else t.where("1 = 0")
+    return kept.select("K = 3").frame().select("c_custkey", "c_name", "C_NAME_")
+
+
+@query("SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'customer', count(*) FROM customer")
+def data_set_clone(spark, d):
+    data = company(spark, d)
+    copy = data.clone()
+    copy.replace_table(copy.table("region").clear())
+    for name in ("orders", "region"):
+        data.remove_table(name)
+    kept = [(n, copy.table(n).count()) for n in data.tables if copy.has_table(n) and not data.has_table("orders")]
+    return rows_of(spark, kept, "t string, n bigint")
+
+
+@query("SELECT unnest(['rowsAdding', 'rowsAdded', 'rowsChanging', 'columnChanging', 'columnChanged', 'rowsChanged', 'rowsDeleting', 'rowsDeleted', 'rowsRemoving', 'rowsRemoved', 'tableClearing', 'tableCleared']) AS event, unnest(range(12)) AS place")
+def events_in_order(spark, d):
+    seen: list[str] = []
+    t = table(spark, d, "nation")
+    for name in ("rowsAdding", "rowsAdded", "rowsChanging", "rowsChanged", "columnChanging", "columnChanged", "rowsDeleting", "rowsDeleted", "rowsRemoving", "rowsRemoved", "tableClearing", "tableCleared"):
+        t = t.on(name, lambda _, n=name: seen.append(n))
+    t.add_row({"n_nationkey": 99, "n_name": "x", "n_regionkey": 1}).update("n_nationkey = 99", {"n_name": "y"}).delete("n_nationkey = 98").remove("n_nationkey = 97").clear()
+    return rows_of(spark, list(zip(seen, range(len(seen)), strict=True)), "event string, place bigint")
+
+
+@query("SELECT c_custkey + CASE WHEN c_nationkey = 7 THEN 0 ELSE 0 END AS c_custkey, CASE WHEN c_nationkey = 7 THEN NULL ELSE c_nationkey END AS c_nationkey, CASE WHEN c_nationkey = 7 THEN 'MODIFIED' ELSE 'UNCHANGED' END AS state FROM customer")
+def fk_null_on_update(spark, d):
+    data = company(spark, d)
+    data.add_foreign_key_constraint("nation_customer", update_rule="setnull")
+    return data.update("nation", {"n_nationkey": 7}, {"n_nationkey": 1007}).table("customer").df.select("c_custkey", "c_nationkey", F.col(STATE).alias("state"))
+
+
+@query("SELECT * FROM (VALUES ('loading', 'none'), ('loaded', 'ConstraintViolationError'), ('set', 'ConstraintViolationError')) v(name, error)")
+def load_brackets(spark, d):
+    t = table(spark, d, "nation").add_unique_constraint("n_name").begin_load_data()
+    broken = t.update("n_nationkey < 3", {"n_name": "one"})
+    data = company(spark, d).begin_load_data()
+    data.add_foreign_key_constraint("nation_customer")
+    data.update("customer", "c_custkey = 1", {"c_nationkey": 99})
+    return rows_of(spark, raised(("loading", lambda: t.update("n_nationkey < 3", {"n_name": "one"})), ("loaded", broken.end_load_data), ("set", data.end_load_data)), "name string, error string")
+
+
+@query("SELECT c_custkey, 'ROW' AS kind, c_acctbal AS original, 0::DOUBLE AS current FROM customer WHERE c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_acctbal < 0)")
+def row_access(spark, d):
+    t = table(spark, d, "customer")
+    key = t.where("c_acctbal < 0").compute("MIN(c_custkey)")
+    found = t.update("c_acctbal < 0", {"c_acctbal": 0}, validate=False)
+    seen = found.row_debug_view(key)
+    return rows_of(spark, [(key, "ROW" if seen["type"] == "Row" and seen["rowState"] == "MODIFIED" else "", float(found.get(key, "c_acctbal", "original")), float(seen["values"]["c_acctbal"]))], "c_custkey bigint, kind string, original double, current double")

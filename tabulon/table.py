@@ -654,6 +654,11 @@ class Table:
 
         return debug.view(self, rows)
 
+    def row_debug_view(self, key: object) -> dict | None:
+        from tabulon import debug
+
+        return debug.row(self, key)
+
     def to_debug_string(self, rows: int = 10) -> str:
         from tabulon import debug
 
