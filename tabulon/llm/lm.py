@@ -14,10 +14,9 @@ documents. A part is dealt by hash into shards of about SHARD_TOKENS tokens, so
 not on the cluster: for each shard a task takes gradient steps (Adagrad, small batches) from the shared weights, and hands on
 the changed rows in half precision; they are averaged by row, weighted by how many steps touched the row.
 
-The modelled words and the weights grow with the training tokens up to a size that every worker holds: there are as many
-feature rows as histories (for the inner factors: histories with a class) of HISTORY_COUNT occurrences, estimated from all
-occurrences of the SEEN_PART-th of them by hash, FEATURE_ROWS at least and MOST_ROWS at most (32 MB a table). All histories
-are learned from and share these rows by hash. Of the other words the most frequent SENT_WORDS travel to all tasks as a
+The modelled words and the weights grow with the training tokens up to a size that every worker holds: there is a feature row
+for every TOKENS_A_ROW tokens, FEATURE_ROWS at least and MOST_ROWS at most (16 MB a table as it is sent, in half precision).
+All histories are learned from and share these rows by hash. Of the other words the most frequent SENT_WORDS travel to all tasks as a
 sorted table of hashes and counts, also of a fixed size; the rare rest, which grows with the corpus, is joined.
 
 Scores are in sparse batches: only the weight rows of the features at hand are gathered.
@@ -49,13 +48,12 @@ HEAD_WORDS = 4096
 MOST_HEAD = 32**3
 TAIL_CLASSES = 16
 ANCHORS = 32
-#: Occurrences of a history for which there is a row, and rows of a table at least and at most; one history of SEEN_PART is counted.
-HISTORY_COUNT = 8
+#: Training tokens for which a table has a row, and its rows at least and at most.
+TOKENS_A_ROW = 8
 FEATURE_ROWS = 1 << 15
 MOST_ROWS = 1 << 18
-SEEN_PART = 16
 ROUNDS = 3
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 4_000_000
 BATCH = 16384
 RATE = 0.4
 #: Words counted in a task, and their bytes, before it hands the counts on.
@@ -305,6 +303,12 @@ class Weights:
         k, rows = self.shape.k, self.shape.rows
         self.tables = [np.zeros((r + b, w), np.float32) for r, b, w in zip(rows, (1, k, k * k), (k + TAIL_CLASSES, k, k), strict=True)]
 
+    def __getstate__(self) -> dict:
+        return {"shape": self.shape, "tables": [t.astype(np.float16) for t in self.tables]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.shape, self.tables = state["shape"], [t.astype(np.float32) for t in state["tables"]]
+
     def factors(self, places: np.ndarray, histories: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
         """(factor, tokens it is for, their rows, their outcomes)."""
         k, limits = self.shape.k, self.shape.rows
@@ -468,32 +472,9 @@ def _follow(places: int, anchors: dict[int, int]):
     return run
 
 
-def _seen(order, shape: Shape):
-    """(table, history, times): occurrences of the SEEN_PART-th of all histories by hash, for the inner factors with the class
-    or subclass that follows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, place = shape.k, order.value
-        for batch in batches:
-            for _, _, ids, lengths in _slices(batch.column(0)):
-                own = place[ids]
-                histories = _histories(*_before(own, lengths, shape.edge))
-                head = own < shape.places
-                inner, known = [h[head] for h in histories], own[head]
-                for which, found in enumerate((histories, [_within(h, known // (k * k) + k) for h in inner], [_within(h, known // k + 2 * k) for h in inner])):
-                    kept = np.concatenate([h[h % np.uint64(SEEN_PART) == 0] for h in found])
-                    keys, times = np.unique(kept, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), which, np.int32)), pa.array(keys.view(np.int64)), pa.array(times)], names=["which", "history", "times"])
-
-    return run
-
-
-def _grown(training: DataFrame, order, shape: Shape) -> Shape:
-    """The shape with as many rows as there are histories of HISTORY_COUNT occurrences, within bounds."""
-    seen = training.select("ids").mapInArrow(_seen(order, shape), "which int, history long, times long").groupBy("which", "history").agg(F.sum("times").alias("times"))
-    with tidy(training.sparkSession):
-        met = {r["which"]: r["n"] * SEEN_PART for r in seen.where(F.col("times") >= HISTORY_COUNT).groupBy("which").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return Shape(shape.k, tuple(min(MOST_ROWS, max(FEATURE_ROWS, met.get(which, 0))) for which in range(3)))  # type: ignore[arg-type]
+def _grown(train_tokens: int) -> int:
+    """Rows of a table: one for every TOKENS_A_ROW training tokens, within bounds."""
+    return min(MOST_ROWS, max(FEATURE_ROWS, train_tokens // TOKENS_A_ROW))
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_near long, near_base double, model double"
@@ -543,7 +524,7 @@ def score_documents(df: DataFrame, held_out: str, key: str = "doc_id", column: s
     top = counts.df.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("n"), "word").limit(MOST_HEAD).toArrow()
     top = [(w, n) for i, (w, n) in enumerate(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)) if i < HEAD_WORDS or n >= HEAD_COUNT]
     k = next(k for k in range(16, 33, 2) if k**3 >= len(top))
-    shape = Shape(k)
+    shape = Shape(k, (_grown(train_tokens),) * 3)
     places = shape.places
     frequent = np.array([n for _, n in top] + [0] * (places - len(top)), dtype=np.int64)
 
@@ -563,7 +544,6 @@ def score_documents(df: DataFrame, held_out: str, key: str = "doc_id", column: s
     place = _ordered(encoded.df, places, len(top), frequent.astype(np.float64))
     order = sc.broadcast(place)
     training = encoded.df.where("NOT held_out").select("h", "ids")
-    shape = _grown(training, order, shape)
     weights = Weights(shape)
     # the biases begin at the unigram shares, places that no word has at next to nothing
     by_place = np.zeros(places)

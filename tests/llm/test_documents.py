@@ -337,18 +337,16 @@ def test_words_of_a_class_are_chosen_by_both_words_before():
     assert abs(logs[2] - logs[5]) > 1e-3
 
 
-def test_model_grows_with_the_counts(spark, monkeypatch):
-    shapes, grown = [], lm._grown
-    monkeypatch.setattr(lm, "_grown", lambda *a: shapes.append(grown(*a)) or shapes[-1])
-    monkeypatch.setattr(lm, "HISTORY_COUNT", 40)
+def test_model_grows_with_the_tokens(spark, monkeypatch):
+    rows, grown = [], lm._grown
+    monkeypatch.setattr(lm, "_grown", lambda n: rows.append(grown(n)) or rows[-1])
     monkeypatch.setattr(lm, "FEATURE_ROWS", 16)
     text = " ".join(f"w{k}" for k in range(5000))
-    rows = [(i, text, "s") for i in range(40)]
-    got = lm.score_documents(frame(spark, rows), "false").collect()
-    assert len(got) == 40 and shapes[0].places > 5000
-    assert all(n == pytest.approx(15_000, rel=0.2) for n in shapes[0].rows)
+    for copies in (20, 40):
+        found = lm.score_documents(frame(spark, [(i, text, "s") for i in range(copies)]), "false", rounds=1).collect()
+        assert len(found) == copies and rows[-1] == copies * 5001 // lm.TOKENS_A_ROW and all(r["score"] < 0 for r in found)
     monkeypatch.setattr(lm, "MOST_ROWS", 2000)
-    assert len(lm.score_documents(frame(spark, rows), "false").collect()) == 40 and shapes[1].rows == (2000, 2000, 2000)
+    assert len(lm.score_documents(frame(spark, [(1, text, "s")] * 40), "false", rounds=1).collect()) == 40 and rows[-1] == 2000
 
 
 def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
