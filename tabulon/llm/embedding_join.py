@@ -25,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.llm.common import Cut, tidy
 from tabulon.llm.components import components, forest
 
-TREES = 8
+TREES = 6
 #: Leaves up to this size are split on within one task, larger ones over the whole table; vectors, and bytes of them.
 TASK_VECTORS, TASK_BYTES = 16_384, 32 << 20
 #: All vectors of a leaf are compared; long vectors have smaller leaves.
@@ -39,7 +40,7 @@ BLOCK_VECTORS, BLOCK_BYTES = 4_096, 16 << 20
 #: A child with more than this share of its parent means the parent is dense and stays whole.
 DENSE = 0.9
 #: Margin of a split, in standard deviations of a random projection of a pair just at the threshold.
-MARGIN = 0.6
+MARGIN = 0.3
 #: Leaves whose split points are sent to all tasks at most; beyond, leaves are split inside tasks.
 MOST_SPLITS = 1_000_000
 NEAR = 1e-9
@@ -58,44 +59,53 @@ def margin(threshold: float, size: int) -> float:
     return MARGIN * math.sqrt(2 - 2 * threshold) / math.sqrt(size)
 
 
-def _valid(vector: list | None) -> np.ndarray | None:
-    if not vector or any(x is None for x in vector):
-        return None
-    x = np.array(vector, dtype=np.float64)
-    if not np.isfinite(x).all():
-        return None
-    top = np.abs(x).max()
-    if top == 0:
-        return None
-    x = x / top  # no overflow or underflow in the squares
-    return x / math.sqrt(math.fsum(x * x))
+def _valid(vector: list | None) -> bool:
+    """Whether a vector has a direction."""
+    return bool(vector) and all(x is not None and math.isfinite(x) for x in vector) and any(vector)
 
 
-def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        units, digests = [], []
-        for key, value in zip(batch.column(0), batch.column(1), strict=True):
-            vector = value.as_py()
-            unit = _valid(vector) if key.is_valid else None
-            units.append(None if unit is None else unit.tobytes())
-            digests.append(None if unit is None else hashlib.blake2b((np.array(vector, np.float64) + 0.0).tobytes(), digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "digest", "unit"])
+def _prepare(kind: str):
+    """Vectors packed as they are, in numbers of ``kind``, with a digest of their values; null where they link with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed, digests = [], []
+            for key, value in zip(batch.column(0), batch.column(1), strict=True):
+                vector = value.as_py()
+                fits = key.is_valid and _valid(vector)
+                packed.append(np.array(vector, kind).tobytes() if fits else None)
+                digests.append(hashlib.blake2b((np.array(vector, np.float64) + 0.0).tobytes(), digest_size=16).digest() if fits else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["vec_id", "digest", "packed"])
+
+    return run
+
+
+def _units(column: pa.Array, kind: str) -> np.ndarray:
+    """Packed vectors of one length as rows of length one, in double precision."""
+    x = _matrix(column, kind).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small(kind: str):
     """Units in single precision, which is enough to find leaves."""
-    for batch in batches:
-        small = [np.frombuffer(x.as_py(), np.float64).astype(np.float32).tobytes() for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary()), batch.column(2)], names=["cid", "small", "leaves"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for _, batch in _by_length(whole, 1):
+                small = [x.tobytes() for x in _units(batch.column(1), kind).astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary()), batch.column(2)], names=["cid", "small", "leaves"])
+
+    return run
 
 
-def _matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+def _matrix(column: pa.Array, kind: type | str = np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), dtype=kind).reshape(len(column), -1)
 
 
 def _roots(trees: int):
     """A leaf for each tree, by the vectors' length alone."""
-    length = F.length("unit")
+    length = F.length("packed")
     return F.array(*[F.xxhash64(F.lit(t), length).bitwiseAND(F.lit(2**63 - 1)) for t in range(trees)])
 
 
@@ -104,6 +114,7 @@ def _child(leaf: int, side: int) -> int:
 
 
 def _by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(numbers in a vector, if they are single, and the rows with vectors of that length)."""
     lengths = np.array([len(x.as_py()) // 4 for x in batch.column(column)])
     for size in np.unique(lengths):
         yield int(size), batch.filter(pa.array(lengths == size))
@@ -190,12 +201,12 @@ def _assign(threshold: float):
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     def run(table: pa.Table) -> pa.Table:
         leaf, low, high = (table[c][0].as_py() for c in ("leaf", "low", "high"))
         order = np.argsort(table["cid"].to_numpy(), kind="stable")
         table = table.take(pa.array(order))
-        x, cids, copies, blocks = _matrix(table["unit"].combine_chunks()), table["cid"].to_numpy(), table["copies"].to_numpy(), table["block"].to_numpy()
+        x, cids, copies, blocks = _units(table["packed"].combine_chunks(), kind), table["cid"].to_numpy(), table["copies"].to_numpy(), table["block"].to_numpy()
         # leaves before this one in which two members may have met already, as bits
         lists = table["leaves"].combine_chunks()
         rows, flat = np.repeat(np.arange(len(x)), np.diff(np.asarray(lists.offsets))), lists.flatten().to_numpy(zero_copy_only=False)
@@ -248,12 +259,14 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, key: str = "vec_id", co
     """(vec_id, n_links, component_id, kept) of every row; links are pairs with cosine >= threshold."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(column).alias("vector"))
-    prepared = Cut(rows.mapInArrow(_prepare, "vec_id long, digest binary, unit binary"), "units")
+    element = df.schema[column].dataType.elementType
+    kind = "<f4" if isinstance(element, T.FloatType) else "<f8"  # single numbers travel as such, all cosines are double
+    prepared = Cut(rows.mapInArrow(_prepare(kind), "vec_id long, digest binary, packed binary"), "vectors")
     valid = prepared.df.where("digest IS NOT NULL")
-    # equal vectors are one class: a number, its smallest id, how often it occurs, and one of its (equal) units
-    classes = valid.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
+    # equal vectors are one class: a number, its smallest id, how often it occurs, and one of its (equal) vectors
+    classes = valid.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("packed").alias("packed"))
     classes = Cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    now = Cut(classes.df.select("cid", "unit", _roots(trees).alias("leaves")).mapInArrow(_halved, FOREST), "forest")
+    now = Cut(classes.df.select("cid", "packed", _roots(trees).alias("leaves")).mapInArrow(_small(kind), FOREST), "forest")
 
     parents: dict[int, int] = {}  # of leaves that a split made: the vectors of their parent
     dense: set[int] = set()
@@ -278,15 +291,15 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, key: str = "vec_id", co
     kept = placed.select("cid", "leaf").join(whole, "leaf", "left_semi").select("cid", "leaf")
     lists = Cut(within.union(kept).groupBy("cid").agg(F.collect_set("leaf").alias("leaves")), "leaves")
     now.drop()
-    final = classes.df.select("cid", "unit", "copies").join(lists.df, "cid").select("cid", "unit", "copies", "leaves")
+    final = classes.df.select("cid", "packed", "copies").join(lists.df, "cid").select("cid", "packed", "copies", "leaves")
     spread = final.withColumn("leaf", F.explode("leaves"))
-    counts = lists.df.join(classes.df.select("cid", F.length("unit").alias("size")), "cid").select(F.explode("leaves").alias("leaf"), "size")
+    counts = lists.df.join(classes.df.select("cid", F.length("packed").alias("size")), "cid").select(F.explode("leaves").alias("leaf"), "size")
     counts = counts.groupBy("leaf").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_VECTORS, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     spread = spread.join(counts, "leaf").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     met = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "copies", "unit", "leaves"
+        "leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "copies", "packed", "leaves"
     )
-    found = Cut(met.groupBy("leaf", "low", "high").applyInArrow(_compare(threshold), "a long, b long, links long"), "compared")
+    found = Cut(met.groupBy("leaf", "low", "high").applyInArrow(_compare(threshold, kind), "a long, b long, links long"), "compared")
     lists.drop()
     numbers = found.df.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     parts = components(found.df.where("b IS NOT NULL").select("a", "b"))
