@@ -36,8 +36,8 @@ from tabulon.llm import common
 
 NONE = np.int32(2**31 - 1)
 #: Chunks remembered by a worker, and their characters in all; then new ones are kept for one part only, as longer ones are.
-CACHE_ENTRIES = 200_000
-CACHE_CHARS = 3_000_000
+CACHE_ENTRIES = 300_000
+CACHE_CHARS = 4_000_000
 LONGEST_REMEMBERED = 200
 #: Words up to this many bytes are merged in lockstep, longer ones alone.
 LOCKSTEP_BYTES = 32

@@ -16,6 +16,7 @@ library reads them by default. Texts are never cut; prefixes are counted in code
 
 from __future__ import annotations
 
+import array
 import functools
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ _SPACE = regex.compile(r"\s+").fullmatch
 
 #: Letters that make a contraction only with the one that follows.
 _OPEN = ("'re", "'ve", "'ll")
+#: Marks that are a piece of their own after letters, whatever follows.
+_MARKS = frozenset(",.;:!?")
 
 
 class PrefixCounter:
@@ -42,7 +45,7 @@ class PrefixCounter:
         self.model = bpe.ByteBPE(path)
         self.neighbours: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.known_pairs = bpe.IntTable(20, -1)
+        self.known_pairs = bpe.IntTable(21, -1)
         self.known: dict[str, list[int]] = {}  # of the pieces at hand: the count of each prefix by code points
         self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # first chunks of a text and space-led ones
         self.chars = 0
@@ -151,7 +154,7 @@ class PrefixCounter:
         for piece in pieces:
             raw = piece.encode("utf-8", errors="replace")
             if len(raw) > bpe.LOCKSTEP_BYTES:
-                self.known[piece] = _by_char(piece, self.piece(raw))
+                self.known[piece] = _by_char(raw, self.piece(raw))
             else:
                 groups.setdefault(-(-len(raw) // 4) * 4, []).append((piece, raw))
         for width, group in groups.items():
@@ -159,7 +162,7 @@ class PrefixCounter:
                 own = group[start : start + 20_000]
                 tables = self._lockstep([raw for _, raw in own], width).T
                 for (piece, raw), table in zip(own, tables.tolist(), strict=True):
-                    self.known[piece] = _by_char(piece, table[: len(raw) + 1])
+                    self.known[piece] = _by_char(raw, table[: len(raw) + 1])
 
     def _table(self, piece: str) -> list[int]:
         if piece not in self.known:
@@ -246,19 +249,32 @@ class PrefixCounter:
                 new[0].add(chunks[0])
                 new[1].update(chunks[1:])
         cut_up: list[tuple[int, str, str, list[str]]] = []
+        plain_words: list[tuple[int, str, str, int]] = []
         pieces: set[str] = set()
         for led in (0, 1):
             new[led].difference_update(self.chunks[led])
             for chunk in new[led]:
-                text = " " * led + chunk + " "  # the space that leads the next chunk belongs to this one's table
-                own = self.model.pretokens(text)
-                pieces.update(own)
-                cut_up.append((led, chunk, text, own))
+                # the space that leads the next chunk belongs to this one's table
+                if chunk.isalpha() or chunk[-1:] in _MARKS and chunk[:-1].isalpha():  # letters are one piece, a mark another
+                    marked = not chunk.isalpha()
+                    word = " " * led + (chunk[:-1] if marked else chunk)
+                    pieces.add(word)
+                    plain_words.append((led, chunk, word, marked))
+                else:
+                    text = " " * led + chunk + " "
+                    own = self.model.pretokens(text)
+                    pieces.update(own)
+                    cut_up.append((led, chunk, text, own))
         self.learn(pieces)
+        for led, chunk, word, marked in plain_words:
+            table = self.known[word]
+            total = table[-1]
+            ends = [total + 1, total + 2] if marked else [total + 1]
+            self.chunks[led][chunk] = array.array("i", [total + marked, *table[led + 1 :], *ends]).tobytes()
         for led, chunk, text, own in cut_up:
             table = self._ordinary(own, text)[0]
-            self.chunks[led][chunk] = np.array([table[led + len(chunk)], *table[led + 1 :]], np.int32).tobytes()
-        del cut_up
+            self.chunks[led][chunk] = array.array("i", [table[led + len(chunk)], *table[led + 1 :]]).tobytes()
+        del cut_up, plain_words
         first, rest = self.chunks[0].__getitem__, self.chunks[1].__getitem__
         for text, chunks in zip(texts, parsed, strict=True):
             if chunks is None:
@@ -289,15 +305,11 @@ class PrefixCounter:
         return [int(t[-1]) for t in self.tables(texts)]
 
 
-def _by_char(piece: str, table: list[int]) -> list[int]:
+def _by_char(raw: bytes, table: list[int]) -> list[int]:
     """From a table by bytes to one by code points."""
-    if len(table) == len(piece) + 1:
+    if raw.isascii():
         return table
-    out, at = [0], 0
-    for c in piece:
-        at += len(c.encode("utf-8", errors="replace"))
-        out.append(table[at])
-    return out
+    return [*(n for n, byte in zip(table, raw, strict=False) if byte & 0xC0 != 0x80), table[-1]]
 
 
 _counters: dict[str, PrefixCounter] = {}
