@@ -161,20 +161,27 @@ def redact(text: str | None, mask: str = "[{}]") -> str:
 
 
 def digest_spans(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row, from the spans that the finder gives."""
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_url, n_account, n_spans) of every row, from the spans that
+    the finder gives; n_spans counts all kinds."""
+    added = KINDS[len(BASE) :]
+    names = [key, *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"n_{k}" for k in added), "n_spans"]
+    kinds = [*[T.LongType()] * len(BASE), T.StringType(), T.StringType(), *[T.LongType()] * (len(added) + 1)]
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(n, k) for n, k in zip(names[1:], kinds, strict=True))])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         search = finder()
-        counts: list[list[int]] = [[] for _ in BASE]
-        digests, spans = [], []
+        counts: dict[str, list[int]] = {k: [] for k in KINDS}
+        digests, spans, totals = [], [], []
         for value in batch.column(1):
             found = search(value.as_py() or "")
             base = [x for x in found if x[1] in BASE]
-            for kind, own in zip(BASE, counts, strict=True):
-                own.append(sum(x[1] == kind for x in base))
+            for kind, own in counts.items():
+                own.append(sum(x[1] == kind for x in found))
             digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
             spans.append(joined(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=schema.names)
+            totals.append(len(found))
+        numbers = [pa.array(counts[k], pa.int64()) for k in KINDS]
+        columns = [*numbers[: len(BASE)], pa.array(digests, pa.string()), pa.array(spans, pa.string()), *numbers[len(BASE) :], pa.array(totals, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     return common.map_batches(df.select(key, column), run, schema)
