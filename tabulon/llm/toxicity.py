@@ -18,6 +18,7 @@ largest label; null labels are left out. Only key, text and labels are read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -38,9 +39,11 @@ SAMPLE = 1000
 FEATURE_BITS = 18
 #: Sequences are learned in pieces of so many tokens (scoring knows no pieces).
 PIECE = 256
+#: Longer sequences advance in parts of so many tokens.
+PART = 128
 EPOCHS = 40
 #: A worker remembers words up to so many, and up to so many characters in all.
-WORDS_REMEMBERED = 100_000
+WORDS_REMEMBERED = 200_000
 CHARS_REMEMBERED = 4_000_000
 #: Characters that are tokenised at once.
 SLICE_CHARS = 1_500_000
@@ -63,10 +66,19 @@ def stems(word: str) -> list[str]:
     return [f"w{word}", *(f"p{n}{word[:n]}" for n in (3, 4, 5, 6, 7) if len(word) > n)]
 
 
+_PREFIXES = tuple((n, b"p%d" % n) for n in (3, 4, 5, 6, 7))
+
+
 def features(word: str) -> list[int]:
-    names = [*stems(word), f"s{word[-3:]}", f"s{word[-4:]}", f"n{min(len(word), 12)}"]
+    """Slots of a token's stems, its endings and its length."""
     mask = (1 << FEATURE_BITS) - 1
-    return [zlib.crc32(x.encode("utf-8", errors="replace")) & mask for x in names]
+    if word.isascii():  # the same names, made of bytes
+        raw = word.encode()
+        size = len(raw)
+        names = [b"w" + raw, *[mark + raw[:n] for n, mark in _PREFIXES if size > n], b"s" + raw[-3:], b"s" + raw[-4:], b"n%d" % min(size, 12)]
+    else:
+        names = [x.encode("utf-8", errors="replace") for x in (*stems(word), f"s{word[-3:]}", f"s{word[-4:]}", f"n{min(len(word), 12)}")]
+    return [zlib.crc32(x) & mask for x in names]
 
 
 FEATURES = 9
@@ -93,29 +105,71 @@ class Model:
 
 
 def lockstep(lengths: np.ndarray) -> Iterator[np.ndarray]:
-    """Positions of the t-th token of every sequence long enough, for t = 0, 1, ...; sequences lie one after the other."""
+    """The sequences that have a t-th token, for t = 0, 1, ..."""
     order = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
     down = lengths[order]
     counts = np.searchsorted(-down, -np.arange(int(down[0]) if len(down) else 0), side="left")
-    for t, n in enumerate(counts):
-        yield starts[:n] + t
+    for n in counts:
+        yield order[:n]
+
+
+def forward(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: float) -> np.ndarray:
+    """Forward log-odds x of every token: x = e + start for a sequence's first one, then x = e + g(x of the one before).
+
+    Long sequences are cut in parts that advance in step: what a part makes of the log-odds before it is a fraction of two
+    linear functions of the odds, so a 2 x 2 matrix; the matrices are applied one after the other, and every part begins with
+    the log-odds that they give."""
+    m00, m01, m10, m11 = moves
+    size = PART if len(lengths) and lengths.max() > 2 * PART else max(1, int(lengths.max(initial=1)))
+    out = np.empty_like(emissions)
+    counts = -(-lengths // size)
+    first = np.cumsum(counts) - counts
+    sequence = np.repeat(np.arange(len(lengths)), counts)
+    number = np.arange(len(sequence)) - first[sequence]
+    begins = (np.cumsum(lengths) - lengths)[sequence] + number * size
+    sizes = np.minimum(size, lengths[sequence] - number * size)
+    before = np.zeros(len(sequence))
+
+    def inside(parts: np.ndarray, opening: bool) -> None:
+        for t, which in enumerate(lockstep(sizes[parts])):
+            own = parts[which]
+            at = begins[own] + t
+            if t == 0 and opening:
+                out[at] = emissions[at] + start
+                continue
+            x = before[own] if t == 0 else out[at - 1]
+            out[at] = emissions[at] + np.logaddexp(m01, m11 + x) - np.logaddexp(m00, m10 + x)
+
+    inside(np.nonzero(number == 0)[0], True)
+    if len(counts) and counts.max() > 1:
+        long = np.nonzero(counts > 1)[0]
+        before[first[long] + 1] = out[begins[first[long]] + size - 1]
+        middle = np.nonzero((number > 0) & (number < counts[sequence] - 1))[0]
+        p, q, r, s = np.ones(len(middle)), np.zeros(len(middle)), np.zeros(len(middle)), np.ones(len(middle))
+        a, b, c, d = np.exp(np.array([m01, m11, m00, m10]) - max(moves))
+        for t in range(size if len(middle) else 0):
+            e = emissions[begins[middle] + t]
+            on, off = sigmoid(e), sigmoid(-e)
+            p, q, r, s = on * (b * p + a * r), on * (b * q + a * s), off * (d * p + c * r), off * (d * q + c * s)
+            total = p + q + r + s
+            p, q, r, s = p / total, q / total, r / total, s / total
+        place = np.full(len(sequence), -1)
+        place[middle] = np.arange(len(middle))
+        for k in range(1, int(counts.max()) - 1):
+            own = first[counts > k + 1] + k
+            at, x = place[own], before[own]
+            on, off = sigmoid(x), sigmoid(-x)
+            before[own + 1] = np.log(p[at] * on + q[at] * off) - np.log(r[at] * on + s[at] * off)
+        inside(np.nonzero(number > 0)[0], False)
+    return out
 
 
 def forward_backward(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(marginal log-odds, forward log-odds, backward log-odds) of every token; emissions are log-odds."""
+    """(marginal log-odds, forward log-odds, backward log-odds) of every token; emissions are log-odds. Backwards, the chain
+    is one like it with the two changing moves swapped."""
     m00, m01, m10, m11 = moves
-    ahead, behind = np.empty_like(emissions), np.zeros_like(emissions)
-    steps = list(lockstep(lengths))
-    for t, at in enumerate(steps):
-        if t == 0:
-            ahead[at] = emissions[at] + start
-        else:
-            x = ahead[at - 1]
-            ahead[at] = emissions[at] + np.logaddexp(m01, m11 + x) - np.logaddexp(m00, m10 + x)
-    for at in steps[:0:-1]:
-        x = emissions[at] + behind[at]
-        behind[at - 1] = np.logaddexp(m10, m11 + x) - np.logaddexp(m00, m01 + x)
+    ahead = forward(emissions, lengths, moves, start)
+    behind = forward(emissions[::-1], lengths[::-1], np.array([m00, m10, m01, m11]), 0.0)[::-1] - emissions
     return ahead + behind, ahead, behind
 
 
@@ -259,11 +313,9 @@ class Tagger:
         self.table = np.zeros((1 << 12, 3))
 
     def _ids(self, documents: list[list[str]]) -> np.ndarray:
-        words = {w for d in documents for w in d}
-        if len(self.weights) + len(words) > WORDS_REMEMBERED or self.chars > CHARS_REMEMBERED:
-            self.weights, self.chars = {}, 0
-        new = [w for w in words if w not in self.weights]
-        self.chars += sum(map(len, new))
+        """Rows of the tokens in the table of weights. The words met first are the frequent ones: once as many are remembered
+        as may be, new ones keep their rows for this call only."""
+        new = list(set().union(*documents).difference(self.weights))
         first = len(self.weights)
         if first + len(new) > len(self.table):
             grown = np.zeros((2 * (first + len(new)), 3))
@@ -275,8 +327,13 @@ class Tagger:
             for k, w in enumerate((self.model.own, self.model.left, self.model.right)):
                 self.table[first + start : first + start + len(part), k] = w[slots].sum(axis=1)
         self.weights.update(zip(new, range(first, first + len(new)), strict=True))
-        get = self.weights.__getitem__
-        return np.fromiter((i for d in documents for i in map(get, d)), dtype=np.int64, count=sum(map(len, documents)))
+        rows = np.array(list(map(self.weights.__getitem__, itertools.chain.from_iterable(documents))), np.int64)
+        if len(self.weights) > WORDS_REMEMBERED or self.chars > CHARS_REMEMBERED:
+            for word in new:
+                del self.weights[word]
+        else:
+            self.chars += sum(map(len, new))
+        return rows
 
     def marginals(self, documents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(log-odds of all tokens, lengths)."""

@@ -293,6 +293,17 @@ def test_forward_backward_is_exact():
         at += n
 
 
+def test_parts_of_long_sequences_give_the_same_marginals(monkeypatch):
+    r = np.random.default_rng(19)
+    lengths = np.array([0, 1, 900, 128, 129, 300, 2000, 5, 0, 257])
+    emissions = r.normal(size=int(lengths.sum())) * 4
+    moves, start = np.array([2.0, -1.5, -1.0, 2.5]), -2.0
+    parts = toxicity.forward_backward(emissions, lengths, moves, start)
+    monkeypatch.setattr(toxicity, "PART", 10**6)
+    for a, b in zip(parts, toxicity.forward_backward(emissions, lengths, moves, start), strict=True):
+        assert np.allclose(a, b, atol=1e-9)
+
+
 # -- language model ------------------------------------------------------------------------------------------------------
 
 
