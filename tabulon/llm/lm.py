@@ -54,7 +54,7 @@ FEATURE_ROWS = 1 << 15
 MOST_ROWS = 1 << 18
 ROUNDS = 3
 SHARD_TOKENS = 4_000_000
-BATCH = 16384
+BATCH = 2048
 RATE = 0.4
 #: Words counted in a task, and their bytes, before it hands the counts on.
 COUNTED_WORDS = 300_000
@@ -63,8 +63,8 @@ ROWS_A_BLOCK = 4096
 #: Words beyond the head whose counts are sent to all tasks, at most (12 bytes each).
 SENT_WORDS = 500_000
 #: Words that a worker remembers, and their bytes in all.
-WORDS_REMEMBERED = 150_000
-BYTES_REMEMBERED = 4_000_000
+WORDS_REMEMBERED = 300_000
+BYTES_REMEMBERED = 6_000_000
 SLICE_CHARS = 1_000_000
 SLICE_TOKENS = 250_000
 #: ASCII capitals to small letters, nothing else.
@@ -195,8 +195,6 @@ class Coder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
         """(ids of all tokens, training counts where sent and -1 elsewhere, 0 for modelled words; lengths; the texts' words)."""
-        if len(self.numbers) - len(self.ranks) > WORDS_REMEMBERED or self.bytes > BYTES_REMEMBERED:
-            self.forget()
         split = [words(t) for t in texts]
         found = np.array(list(map(self.numbers.__getitem__, itertools.chain.from_iterable(split))), np.int64)
         fresh, self.numbers.fresh = self.numbers.fresh, []
@@ -204,9 +202,14 @@ class Coder:
             classes = np.array([self.places + _tails[w[-2:]] for w in fresh], np.int64)
             self.ids = np.concatenate((self.ids, classes))
             self.counts = np.concatenate((self.counts, self.sent(fresh)))
+        ids, counts = self.ids[found], self.counts[found]
+        if len(self.numbers) - len(self.ranks) > WORDS_REMEMBERED or self.bytes > BYTES_REMEMBERED:
+            for word in fresh:  # the words met first are the frequent ones, later ones are forgotten again
+                del self.numbers[word]
+            self.ids, self.counts = self.ids[: len(self.numbers)].copy(), self.counts[: len(self.numbers)].copy()
+        else:
             self.bytes += sum(map(len, fresh))
-        lengths = np.array([len(x) for x in split], np.int64)
-        return self.ids[found], self.counts[found], lengths, split
+        return ids, counts, np.array([len(x) for x in split], np.int64), split
 
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, n_near long, near_base double, tail_model double, ids binary, rare array<struct<word: binary, n: int>>"
