@@ -42,7 +42,7 @@ COUNT_BITS = 24
 BLOCK_BITS = 18
 #: Most bits of the filter that says which sets a verification needs (32 MB); it only ever lets too many pass.
 FILTER_BITS = 28
-WORDS_REMEMBERED = 100_000
+WORDS_REMEMBERED = 200_000
 CHARS_REMEMBERED = 4_000_000
 #: Classes that a task remembers to have met.
 CLASSES_REMEMBERED = 100_000
@@ -65,15 +65,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
+    """Hashes of words. The words met first are the frequent ones: once as many are remembered as may be, others are not."""
+
     chars = 0
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > WORDS_REMEMBERED or self.chars > CHARS_REMEMBERED:
-            self.forget()
-        self.chars += len(word)
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < WORDS_REMEMBERED and self.chars < CHARS_REMEMBERED:
+            self.chars += len(word)
+            self[word] = value
         return value
 
     def forget(self) -> None:
