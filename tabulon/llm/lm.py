@@ -61,7 +61,7 @@ COUNTED_WORDS = 300_000
 COUNTED_BYTES = 16_000_000
 ROWS_A_BLOCK = 4096
 #: Words beyond the head whose counts are sent to all tasks, at most (12 bytes each).
-SENT_WORDS = 500_000
+SENT_WORDS = 300_000
 #: Words that a worker remembers, and their bytes in all.
 WORDS_REMEMBERED = 300_000
 BYTES_REMEMBERED = 6_000_000
@@ -541,10 +541,12 @@ def score_documents(df: DataFrame, held_out: str, key: str = "doc_id", column: s
         sent = _sent(tails)
     rooms = np.log10(mass + kinds + 1)
     coder = sc.broadcast(Coder({w: i for i, (w, _) in enumerate(top)}, places, sent))
+    head = len(top)
+    del top, sent
     coded = docs.select("doc_id", "held_out", "text").mapInArrow(_encode(coder, sc.broadcast(frequent), base_log, rooms), ENCODED)
     encoded = Cut(coded.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("doc_id", "ids")), "encoded")
 
-    place = _ordered(encoded.df, places, len(top), frequent.astype(np.float64))
+    place = _ordered(encoded.df, places, head, frequent.astype(np.float64))
     order = sc.broadcast(place)
     training = encoded.df.where("NOT held_out").select("h", "ids")
     weights = Weights(shape)
