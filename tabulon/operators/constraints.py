@@ -65,6 +65,23 @@ def validate_rest(table: Table) -> None:
     validate(table, [c.name for c in table.schema.stored if c.name not in table.schema.primary_key], keyed=False)
 
 
+def validate_parts(whole: Table, kept: Table, fresh: Table) -> None:
+    """Validation of a table whose ``kept`` rows held all rules before the few ``fresh`` ones came: those are looked at alone,
+    their keys against the kept ones, and the whole only where there are unique constraints."""
+    if not whole.schema.enforced:
+        return
+    validate(fresh)
+    key = whole.schema.primary_key
+    if key:
+        names = [F.col(f"`{k}`").alias(f"__f{i}") for i, k in enumerate(key)]
+        keys = fresh.live().df.select(*names)
+        met = kept.live().df.join(keys, reduce(lambda a, b: a & b, [F.col(f"`{k}`") == F.col(f"__f{i}") for i, k in enumerate(key)]), "left_semi").limit(1).take(1)
+        if met:
+            raise DuplicatePrimaryKeyError(f"primary key of table {whole.name!r} occurs twice: {[met[0][k] for k in key]}")
+    if whole.schema.uniques or any(c.unique and (c.name,) != key for c in whole.schema.stored):
+        validate_rest(whole)
+
+
 def validate(table: Table, only: Sequence[str] | None = None, keyed: bool = True) -> None:
     """Raises the first broken rule. ``only``: the columns that changed; keys without one of them still hold. ``keyed``:
     whether primary key columns may have become null."""

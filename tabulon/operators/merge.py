@@ -329,9 +329,10 @@ def apply_change_set(
     # rows that a change has taken, by their typed key; deleted rows never match
     taken = done.where(exists).select(*[F.col("row").getField(k).alias(f"__t{i}") for i, k in enumerate(key)])
     untouched = reduce(lambda a, b: a & b, [F.col(f"`{k}`") == F.col(f"__t{i}") for i, k in enumerate(key)]) & (F.col(STATE) != DELETED)
-    out = table.over(table.df.join(taken, untouched, "left_anti").select(*table.df.columns).unionByName(new.select(*table.df.columns)))
+    kept, fresh = table.over(table.df.join(taken, untouched, "left_anti").select(*table.df.columns)), table.over(new.select(*table.df.columns))
+    out = table.over(kept.df.unionByName(fresh.df))
     if validate:
-        constraints.validate(out)
+        constraints.validate_parts(out, kept, fresh)
     return out, _outcomes(labelled)
 
 

@@ -393,6 +393,10 @@ def test_merges_keep_constraints(spark):
         with pytest.raises(ConstraintViolationError):
             action()
     assert t.merge(bad, validate=False)[0].count() == 3
+    moved = t.update("id = 1", {"id": 3, "v": "c"}).get_change_set()
+    with pytest.raises(DuplicatePrimaryKeyError):
+        t.apply_change_set({"modified": [{"state": "MODIFIED", "key": {"id": 7}, "originalKey": {"id": 1}, "values": {"id": 2, "v": "q"}}]})
+    assert values(t.apply_change_set(moved)[0], "id", "v") == [(3, "c"), (2, "b")]
     loading = t.begin_load_data().merge_rows([{"id": 1, "v": "b"}])[0]
     with pytest.raises(ConstraintViolationError):
         loading.end_load_data()
