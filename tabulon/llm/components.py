@@ -2,8 +2,9 @@
 
 Links are first thinned to a spanning forest within each partition. Then, until every vertex hangs on its smallest one:
 the large star hangs the larger neighbours of each vertex on its smallest neighbour, the small star its smaller ones. Both
-are a partial minimum for each vertex and one join, so a vertex with a third of all links is no single task's work, and
-nothing is gathered by the driver but a yes or no a round.
+are a partial minimum for each vertex, which needs no gathering, and one join of the links with it; the links of a vertex with a
+large share of them meet in one partition of that join, which adaptive execution splits (the thinning leaves at most one link
+a vertex and partition, so a hub's links are those to distinct vertices). The driver gathers nothing but a yes or no a round.
 """
 
 from __future__ import annotations
