@@ -15,7 +15,7 @@ not on the cluster: for each shard a task takes gradient steps (Adagrad, small b
 the changed rows in half precision; they are averaged by row, weighted by how many steps touched the row.
 
 The modelled words and the weights grow with the training tokens up to a size that every worker holds: there is a feature row
-for every TOKENS_A_ROW tokens, FEATURE_ROWS at least and MOST_ROWS at most (16 MB a table as it is sent, in half precision).
+for every TOKENS_A_ROW tokens, FEATURE_ROWS at least and MOST_ROWS at most (8 MB a table, 12 the first, as they are sent, in half precision).
 All histories are learned from and share these rows by hash. Of the other words the most frequent SENT_WORDS travel to all tasks as a
 sorted table of hashes and counts, also of a fixed size; the rare rest, which grows with the corpus, is joined.
 
@@ -51,7 +51,7 @@ ANCHORS = 32
 #: Training tokens for which a table has a row, and its rows at least and at most.
 TOKENS_A_ROW = 8
 FEATURE_ROWS = 1 << 15
-MOST_ROWS = 1 << 18
+MOST_ROWS = 1 << 17
 ROUNDS = 3
 SHARD_TOKENS = 4_000_000
 BATCH = 2048
@@ -61,10 +61,10 @@ COUNTED_WORDS = 300_000
 COUNTED_BYTES = 16_000_000
 ROWS_A_BLOCK = 4096
 #: Words beyond the head whose counts are sent to all tasks, at most (12 bytes each).
-SENT_WORDS = 300_000
+SENT_WORDS = 1_000_000
 #: Words that a worker remembers, and their bytes in all.
-WORDS_REMEMBERED = 300_000
-BYTES_REMEMBERED = 6_000_000
+WORDS_REMEMBERED = 150_000
+BYTES_REMEMBERED = 3_000_000
 SLICE_CHARS = 1_000_000
 SLICE_TOKENS = 250_000
 #: ASCII capitals to small letters, nothing else.
@@ -138,21 +138,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Counts:
-    """Training counts of the words sent to all tasks, by a 64-bit hash; -1 for words that are not among them."""
+    """Training counts of the words sent to all tasks, by the 64-bit hash that Spark gives them; -1 for other words."""
 
-    def __init__(self, found: list[bytes], numbers: np.ndarray):
-        import xxhash
-
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], numbers[order].astype(np.int32 if not len(numbers) or numbers.max() < 2**31 else np.int64)
 
     def __call__(self, new: list[bytes]) -> np.ndarray:
         import xxhash
 
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))
         if not len(self.hashes):
             return np.full(len(new), -1, np.int64)
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64).view(np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.numbers[at], -1).astype(np.int64)
 
@@ -599,6 +596,6 @@ def _sent(tails: DataFrame) -> Counts:
             break
         least, total = at, total + number
     if least is None:
-        return Counts([], np.zeros(0, np.int64))
-    table = tails.where(step >= least).select("word", "n").toArrow()
-    return Counts(table["word"].to_pylist(), table["n"].to_numpy())
+        return Counts(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    table = tails.where(step >= least).select(F.xxhash64("word").alias("hash"), "n").toArrow()
+    return Counts(table["hash"].to_numpy(), table["n"].to_numpy())
