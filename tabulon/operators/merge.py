@@ -75,7 +75,7 @@ def merge(table: Table, source: Table, preserve_changes: bool = False, missing_s
 
     Rows of a source without a primary key may repeat a key: they act in their order, so the last one counts (with
     ``preserve_changes`` the first one that changes a column, as the row has local changes then); each row but one of a key
-    has the outcome ``superseded``. A null key raises, and so does a broken constraint, unless ``validate`` is off."""
+    has the outcome ``superseded``. A row that one of them changes is updated, even if the last one restores it. A null key raises, and so does a broken constraint, unless ``validate`` is off."""
     if table.name != source.name and table.name != "Table" and source.name != "Table":
         raise SchemaMismatchError(f"merge: table {source.name!r} is not {table.name!r}")
     table = track(_fit_schema(table, source, missing_schema_action))
@@ -86,6 +86,7 @@ def merge(table: Table, source: Table, preserve_changes: bool = False, missing_s
     incoming = live.select(*[F.col(f"`{source.schema[n].name}`").cast(table.schema[n].data_type).alias(n) for n in common], order.alias(RID))
     gone = source.get_changes(DELETED).df.count() if source.tracked else 0
     present: dict[str, Column] = {n: F.lit(True) for n in common}
+    moved = F.lit(False)
     more: list[DataFrame] = []
     if key:
         _no_null_keys(incoming, key)
@@ -106,11 +107,13 @@ def merge(table: Table, source: Table, preserve_changes: bool = False, missing_s
                 incoming = incoming.select(*keys, *[F.col(f"`{n}`.v").alias(n) for n in rest], *[F.col(f"`{n}`").isNotNull().alias(f"__has_{i}") for i, n in enumerate(rest)])
                 present |= {n: F.col(f"s.__has_{i}") for i, n in enumerate(rest)}
             else:
-                last = incoming.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{n}`") for n in rest]), RID).alias("__last"))
-                incoming = last.select(*keys, *[F.col("__last").getField(n).alias(n) for n in rest])
+                row = F.struct(*[F.col(f"`{n}`") for n in rest])
+                last = incoming.groupBy(*keys).agg(F.max_by(row, RID).alias("__last"), (~F.min(row).eqNullSafe(F.max(row))).alias("__moved"))
+                incoming = last.select(*keys, *[F.col("__last").getField(n).alias(n) for n in rest], "__moved")
+                moved = F.col("s.__moved")
     if RID in incoming.columns:
         incoming = incoming.drop(RID)
-    out, labelled = _upsert(table, incoming, present, preserve_changes, insert=True, update=True, kept_state=None)
+    out, labelled = _upsert(table, incoming, present, preserve_changes, insert=True, update=True, kept_state=None, moved=moved)
     if validate:
         constraints.validate_rest(out)
     outcomes = _outcomes(labelled)
@@ -121,9 +124,10 @@ def merge(table: Table, source: Table, preserve_changes: bool = False, missing_s
     return out, outcomes.groupBy("outcome").agg(F.sum("n").alias("n")) if more else outcomes
 
 
-def _upsert(table: Table, incoming: DataFrame, present: Mapping[str, Column], preserve: bool, insert: bool, update: bool, kept_state: str | None) -> tuple[Table, DataFrame]:
+def _upsert(table: Table, incoming: DataFrame, present: Mapping[str, Column], preserve: bool, insert: bool, update: bool, kept_state: str | None, moved: Column | None = None) -> tuple[Table, DataFrame]:
     """``present``: for each incoming column, over the aliased frame ``s``, whether a row has it. ``kept_state``: the state of
-    updated and inserted rows (None: changed rows are MODIFIED, new ones ADDED)."""
+    updated and inserted rows (None: changed rows are MODIFIED, new ones ADDED). ``moved``: over ``s`` too, whether a matched
+    row is changed in any case, as rows before the last differ from it."""
     key = table.schema.primary_key
     every = names(table)
     struct = struct_type(table)
@@ -154,7 +158,7 @@ def _upsert(table: Table, incoming: DataFrame, present: Mapping[str, Column], pr
         values[n] = F.when(new_row, F.when(given, theirs).otherwise(default)).when(take, theirs).otherwise(mine)
         changes.append(differs & ~keep)
         keeps.append(differs & keep)
-    changed, kept = _any(changes) & F.lit(update), _any(keeps)
+    changed, kept = _any(changes if moved is None else [*changes, moved]) & F.lit(update), _any(keeps)
     outcome = F.when(new_row, "inserted").when(matched & changed, "updated").when(matched & kept, "preserved").when(matched, "skipped")
     row = F.struct(*[values[n].alias(n) for n in every])
     old = F.struct(*[F.col(f"t.`{n}`") for n in every])

@@ -287,7 +287,9 @@ def merge_duplicate_keys(spark, d):
     UNION ALL SELECT 'updated', count(DISTINCT o_custkey) FROM orders WHERE o_custkey * 2 IN (SELECT c_custkey FROM customer)""")
 def merge_outcomes(spark, d):
     orders = table(spark, d, "orders").frame().selectExpr("o_custkey * 2 AS c_custkey", "o_totalprice AS c_acctbal")
-    return table(spark, d, "customer").merge(Table.from_df(orders, "customer"))[1]
+    found = table(spark, d, "customer").merge(Table.from_df(orders, "customer"))[1]
+    none = rows_of(spark, [(outcome, 0) for outcome in ("superseded", "inserted", "updated")], found.schema)  # listed without any row too
+    return found.union(none).groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE 1 END::DOUBLE AS c_acctbal, 'X' AS c_mktsegment, 'MODIFIED' AS state FROM customer""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from tabulon import DataSet, Table, column
+from tabulon import DataSet, Table, column, queries_rules
 from tabulon.errors import ColumnNotFoundError, ConstraintViolationError, DuplicatePrimaryKeyError, InvalidRowStateError, ReadOnlyColumnError, SchemaMismatchError, TypeMismatchError
 from tabulon.operators.tracking import STATE
 from tabulon.sources import results
@@ -386,6 +386,20 @@ def test_merge_of_rows_that_repeat_a_key(spark):
     assert values(target.merge_rows(source.df, order_by="__rid")[0], "id", "v") == [(1, "y"), (2, "b"), (9, "q")]
 
 
+def test_a_row_that_the_last_one_restores_is_updated(spark):
+    target = Table.from_objects(spark, [{"id": 1, "v": "a"}, {"id": 2, "v": "b"}, {"id": 3, "v": None}], table_name="t", primary_key="id")
+    source = Table.from_objects(spark, [{"id": 1, "v": "x"}, {"id": 1, "v": "a"}, {"id": 2, "v": "b"}, {"id": 2, "v": "b"}, {"id": 3, "v": "c"}, {"id": 3, "v": None}], table_name="t")
+    out, found = target.merge(source)
+    assert values(out, "id", "v") == [(1, "a"), (2, "b"), (3, None)] and states(out) == {1: "MODIFIED", 2: "UNCHANGED", 3: "MODIFIED"}
+    assert outcomes(found) == {"updated": 2, "skipped": 1, "superseded": 3}
+
+
+def test_merge_outcomes_lists_outcomes_without_rows(spark, tmp_path):
+    spark.createDataFrame([(2, "a", 1, 5.0, "s")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 1, 7.0)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert outcomes(queries_rules.merge_outcomes(spark, str(tmp_path))) == {"superseded": 0, "inserted": 0, "updated": 1}
+
+
 def test_merges_keep_constraints(spark):
     t = Table.from_objects(spark, [{"id": 1, "v": "a"}, {"id": 2, "v": "b"}], table_name="t", primary_key="id").add_unique_constraint("v")
     bad = Table.from_objects(spark, [{"id": 3, "v": "b"}], table_name="t", primary_key="id")
