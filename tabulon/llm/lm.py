@@ -55,6 +55,9 @@ MOST_ROWS = 1 << 17
 ROUNDS = 3
 SHARD_TOKENS = 4_000_000
 BATCH = 2048
+#: Bits of a token's place in a batch; slopes of a row that are added one by one, before the rest in one go.
+PLACE_BITS = 11
+ONE_BY_ONE = 6
 RATE = 0.4
 #: Words counted in a task, and their bytes, before it hands the counts on.
 COUNTED_WORDS = 300_000
@@ -193,7 +196,8 @@ class Coder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
         """(ids of all tokens, training counts where sent and -1 elsewhere, 0 for modelled words; lengths; the texts' words)."""
         split = [words(t) for t in texts]
-        found = np.array(list(map(self.numbers.__getitem__, itertools.chain.from_iterable(split))), np.int64)
+        lengths = np.array([len(x) for x in split], np.int64)
+        found = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(lengths.sum()))
         fresh, self.numbers.fresh = self.numbers.fresh, []
         if fresh:
             classes = np.array([self.places + _tails[w[-2:]] for w in fresh], np.int64)
@@ -206,7 +210,7 @@ class Coder:
             self.ids, self.counts = self.ids[: len(self.numbers)].copy(), self.counts[: len(self.numbers)].copy()
         else:
             self.bytes += sum(map(len, fresh))
-        return ids, counts, np.array([len(x) for x in split], np.int64), split
+        return ids, counts, lengths, split
 
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, n_near long, near_base double, tail_model double, ids binary, rare array<struct<word: binary, n: int>>"
@@ -278,9 +282,17 @@ def _before(ids: np.ndarray, lengths: np.ndarray, edge: int) -> tuple[np.ndarray
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _rows(hashes: np.ndarray, limit: int) -> np.ndarray:
+    """Hashes modulo a number of rows; of a power of two, without a division."""
+    return (hashes % np.uint64(limit) if limit & (limit - 1) else hashes & np.uint64(limit - 1)).view(np.int64)
 
 
 def _histories(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
@@ -316,19 +328,36 @@ class Weights:
         all_ = np.arange(len(places))
         first = np.where(places < self.shape.places, places // (k * k), places - self.shape.places + k)
         bias = np.full(len(places), limits[0])
-        yield 0, all_, [*((h % np.uint64(limits[0])).astype(np.int64) for h in histories), bias], first
+        yield 0, all_, [*(_rows(h, limits[0]) for h in histories), bias], first
         if len(head):
             own = places[head]
             inner = [h[head] for h in histories]
             for factor, above in ((1, own // (k * k)), (2, own // k)):
-                rows = [(_within(h, above + factor * k) % np.uint64(limits[factor])).astype(np.int64) for h in inner]
+                rows = [_rows(_within(h, above + factor * k), limits[factor]) for h in inner]
                 yield factor, head, [*rows, limits[factor] + above], (own // k) % k if factor == 1 else own % k
 
 
+_rooms: dict[int, np.ndarray] = {}
+
+
+def _room(which: int, number: int, width: int) -> np.ndarray:
+    """A reused array of a few hundred KB: fresh ones of that size may cost a page fault for every 4 KB."""
+    held = _rooms.get(which)
+    if held is None or len(held) < number * width:
+        held = _rooms[which] = np.empty(max(BATCH * 64, number * width), np.float32)
+    return held[: number * width].reshape(number, width)
+
+
+def _taken(table: np.ndarray, rows: np.ndarray, which: int) -> np.ndarray:
+    """Rows of a table in a reused array."""
+    return table.take(rows, axis=0, out=_room(which, len(rows), table.shape[1]), mode="clip")
+
+
 def _scores(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    scores = table.take(rows[0], axis=0)
+    """In a reused array."""
+    scores = _taken(table, rows[0], 0)
     for own in rows[1:]:
-        scores += table.take(own, axis=0)
+        scores += _taken(table, own, 1)
     if scores.size and scores.max() > 60:  # beyond, the exponential may overflow
         scores -= scores.max(axis=1, keepdims=True)
     return scores
@@ -369,25 +398,39 @@ class Trainer:
         slope = _scores(table, rows)
         np.exp(slope, out=slope)
         slope /= (slope @ np.ones(slope.shape[1], np.float32))[:, None]
-        slope[np.arange(len(targets)), targets] -= 1
+        number, width = slope.shape
+        slope.reshape(-1)[np.arange(number) * width + targets] -= 1
         # the slopes of each row are summed: rows and places in one sorted number; the biases stay what the counts say
-        keys = np.concatenate(rows[:-1]) << 16 | np.tile(np.arange(len(targets)), len(rows) - 1)
+        kind = np.uint32 if len(table) << PLACE_BITS <= 1 << 32 else np.uint64
+        keys = np.concatenate(rows[:-1], dtype=kind, casting="unsafe")
+        keys <<= kind(PLACE_BITS)
+        keys.reshape(-1, number)[:] |= np.arange(number, dtype=kind)
         keys.sort()
-        ordered, order = keys >> 16, keys & 0xFFFF
-        starts = np.nonzero(np.diff(ordered, prepend=-1))[0]
-        counts = np.diff(np.append(starts, len(ordered)))
-        names, many = ordered[starts], counts > 1
-        sums = slope.take(order[starts], axis=0)
-        if many.any():
-            own = counts[many]
+        ordered, order = keys >> kind(PLACE_BITS), (keys & kind((1 << PLACE_BITS) - 1)).astype(np.intp)
+        starts = np.append(0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)
+        counts = np.append(starts[1:], len(ordered)) - starts
+        falling = np.argsort((len(ordered) - counts).astype(np.uint16), kind="stable")  # most slopes first: those with another one lead
+        starts, counts = starts[falling], counts[falling]
+        names = ordered[starts].astype(np.intp)
+        sums = _taken(slope, order[starts], 2)
+        more = np.searchsorted(-counts, -np.arange(1, ONE_BY_ONE + 1)).tolist()  # rows of more slopes than 1, 2 and so on
+        for back, own in enumerate(more[:-1], 1):
+            sums[:own] += _taken(slope, order[starts[:own] + back], 1)
+        if last := more[-1]:
+            own = counts[:last] - ONE_BY_ONE
+            ends = np.cumsum(own)
+            at = np.arange(ends[-1]) + np.repeat(starts[:last] + ONE_BY_ONE - (ends - own), own)
             # two numbers are added at once as parts of a complex one; widths are even
-            pairs = np.add.reduceat(slope.take(order[np.repeat(many, counts)], axis=0).view(np.complex64), np.cumsum(own) - own, axis=0)
-            sums[many] = pairs.view(np.float32) / np.sqrt(own.astype(np.float32))[:, None]
-        total = squares[names] + np.einsum("ij,ij->i", sums, sums) * (8 / sums.shape[1])
+            sums[:last] += np.add.reduceat(_taken(slope, order[at], 1).view(np.complex64), ends - own, axis=0).view(np.float32)
+        sums[: more[0]] /= np.sqrt(counts[: more[0]].astype(np.float32))[:, None]
+        total = squares[names] + np.multiply(sums, sums, out=_room(1, *sums.shape)) @ np.ones(width, np.float32) * np.float32(8 / width)
         squares[names] = total
-        touched[names] += counts
+        touched[names] += counts.astype(np.float32)
         sums *= (self.rate / np.sqrt(total))[:, None]
-        table[names] = table.take(names, axis=0) - sums
+        changed = _taken(table, names, 1)
+        changed -= sums
+        whole = np.dtype((np.void, table.itemsize * width))  # a row as one item, which is put faster
+        table.view(whole).reshape(-1).put(names, changed.view(whole).reshape(-1))
 
     def learn(self, places: np.ndarray, lengths: np.ndarray) -> None:
         one, two = _before(places, lengths, self.weights.shape.edge)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -359,6 +360,37 @@ def test_words_of_a_class_are_chosen_by_both_words_before():
     assert abs(logs[2] - logs[5]) > 1e-3
 
 
+def stepped(places, k=32, rows=1 << 12):
+    """A trainer, and the largest table after one batch by plain sums of slopes."""
+    trainer = lm.Trainer(lm.Weights(lm.Shape(k, (rows,) * 3)), 0.4)
+    one, two = lm._before(places, np.array([len(places)]), trainer.weights.shape.edge)
+    _, _, found, outcomes = next(trainer.weights.factors(places, lm._histories(one, two)))
+    width = k + lm.TAIL_CLASSES
+    slope = np.full((len(places), width), 1 / width)
+    slope[np.arange(len(places)), outcomes] -= 1
+    sums, counts = np.zeros((rows + 1, width)), np.zeros(rows + 1)
+    for own in found[:-1]:
+        np.add.at(sums, own, slope)
+        np.add.at(counts, own, 1)
+    sums /= np.sqrt(np.maximum(counts, 1))[:, None]
+    return trainer, -sums * (0.4 / np.sqrt(1e-3 + (sums**2).sum(axis=1) * 8 / width))[:, None], counts
+
+
+def test_a_step_sums_the_slopes_of_each_row_in_reused_arrays():
+    r = np.random.default_rng(17)
+    for rows in (1 << 12, 3001):  # rows of one slope, of a few, of hundreds
+        places = np.where(r.random(lm.BATCH) < 0.5, r.integers(0, 5, lm.BATCH), r.integers(0, 32**3 + lm.TAIL_CLASSES, lm.BATCH))
+        trainer, table, counts = stepped(places, rows=rows)
+        assert {1, 2} <= set(counts) and counts.max() > 100
+        trainer.learn(places, np.array([len(places)]))
+        assert np.allclose(trainer.weights.tables[0], table, atol=1e-5) and np.array_equal(trainer.touched[0], counts)
+    tracemalloc.start()
+    trainer.learn(places, np.array([len(places)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 800_000  # 393 KB for the slopes of a batch alone, if they are not in reused arrays
+
+
 def test_model_grows_with_the_tokens(spark, monkeypatch):
     rows, grown = [], lm._grown
     monkeypatch.setattr(lm, "_grown", lambda n: rows.append(grown(n)) or rows[-1])
